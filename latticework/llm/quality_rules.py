@@ -95,7 +95,7 @@ def language_references(docs: DataFrame, references: dict[str, list[str]] = COMM
     return out
 
 
-def judge(docs: DataFrame, references: dict[str, list[str]] = COMMON_WORDS, char_limit: float = 0.30, word_limit: float = 0.60, min_words: int = 50, word_guard: int = 100) -> DataFrame:
+def judge(docs: DataFrame, references: dict[str, list[str]] = COMMON_WORDS, char_limit: float = 0.25, word_limit: float = 0.33, min_words: int = 50, word_guard: int = 150) -> DataFrame:
     """doc_id, the counts, base_failed, kept, char_distance, word_distance and the nearest reference's language.
 
     A text is compared to the reference of the language whose common words it has most of. It is kept if its
