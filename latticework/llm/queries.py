@@ -6,6 +6,13 @@ from importlib import import_module
 
 _WHERE = {
     "op1_token_output": "tokens",
+    "op2_language_codes": "langid",
+    "op3_simhash": "simhash",
+    "op4_toxicity_grammar": "toxicity",
+    "op5_probed_neighbours": "neighbours",
+    "op6_quality_votes": "quality_votes",
+    "op7_url_rules": "url_rules",
+    "op8_best_fit_packing": "packing",
     "op9_mix_sources": "mixing",
     "op10_quality_rules": "quality_rules",
 }
