@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latticework.llm.common import bounded_sample, id_remainder, table
 
@@ -97,8 +98,8 @@ def fit(docs: DataFrame, bound: int = SAMPLE) -> CodeModel | None:
     return model
 
 
-def predict(docs: DataFrame, model: CodeModel | None, ambiguous_below: float = 0.2) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous for each row; the text is all that a prediction sees.
+def predict(docs: DataFrame, model: CodeModel | None, ambiguous_below: float = 0.2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, then lang_pred, score, ambiguous for each row; the text is all that a prediction sees.
 
     Null texts and texts without a letter are `und` with score 0 and ambiguous; so is every text if nothing could be
     learned. ambiguous: the two nearest codewords' chances differ by less than `ambiguous_below`.
@@ -117,9 +118,11 @@ def predict(docs: DataFrame, model: CodeModel | None, ambiguous_below: float = 0
                     top = np.sort(p)[::-1]
                     name, score, doubt = m.languages[int(p.argmax())], float(top[0]), bool(len(top) > 1 and top[0] - top[1] < ambiguous_below)
                 names.append(name), scores.append(score), doubts.append(doubt)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(doubts, pa.bool_())], ["doc_id", "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(doubts, pa.bool_())], [*keep, "lang_pred", "score", "ambiguous"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    rows = docs.select(*keep, *[c for c in ("text",) if c not in keep]).withColumn("text", F.col("text").cast("string"))
+    schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+    return rows.mapInArrow(run, schema)
 
 
 def op2_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

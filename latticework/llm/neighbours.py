@@ -113,7 +113,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 8, b
     members = materialize(members, "index")
     many = members.groupBy("t", "key").agg((F.floor(F.count("*") / chunk) + 1).cast("int").alias("chunks"))
     own = members.join(many, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("c", "t"), F.col("chunks"))).drop("chunks")
-    probing = wanted.join(many, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).cast("long")).drop("chunks")
+    probing = wanted.join(many, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))).drop("chunks")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"c": [], "qv": [], "vec_id": [], "score": []}

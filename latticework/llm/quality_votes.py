@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latticework.llm.common import bounded_sample, id_remainder, table
 
@@ -84,8 +85,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Votes | None
     return Votes(np.stack([np.frombuffer(t, np.float16) for t in got["terms"]]).astype(np.float32), got["quality"].to_numpy())
 
 
-def score(docs: DataFrame, model: Votes | None) -> DataFrame:
-    """doc_id, score for each row from the text alone. Null and empty texts meet all voters alike and get the share of good ones; so does all if nothing could be learned (then 1)."""
+def score(docs: DataFrame, model: Votes | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, then score for each row from the text alone. Null and empty texts meet all voters alike and get the share of good ones; so does all if nothing could be learned (then 1)."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +94,10 @@ def score(docs: DataFrame, model: Votes | None) -> DataFrame:
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             out = np.where([not t for t in texts], m.prior, m.score(texts)) if m else np.ones(len(texts))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(out, pa.float64())], [*keep, "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(*keep, *[c for c in ("text",) if c not in keep]).withColumn("text", F.col("text").cast("string"))
+    return rows.mapInArrow(run, T.StructType([*rows.select(*keep).schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
