@@ -66,7 +66,7 @@ def usable(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("v is not null and vec_id is not null").filter(F.coalesce(fine, F.lit(False)))
 
 
-def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 8, bits: int = 4, probes: int = 40, spread: float = 2.0, chunk: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 4, bits: int = 6, probes: int = 130, spread: float = 1.6, chunk: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, the rows whose vec_id `every` divides.
 
     Equal vectors are one class that keeps its k + 1 smallest ids, enough for any of its members. Each distinct query
