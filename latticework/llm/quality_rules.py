@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm.common import WORD, table
+from latticework.llm.common import WORD, materialize, table
 
 #: Frequent function words of each language.
 COMMON_WORDS = {
@@ -53,7 +53,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def histograms(df: DataFrame, references: dict[str, list[str]] = COMMON_WORDS) -> DataFrame:
-    """Adds chars: counts of the character classes, the last for all else; common: counts of each language's words, a row per language."""
+    """Adds chars, the counts of the character classes, the last for all else, and hits, the text's words that are common in any language."""
     counts = [F.regexp_count("text", F.lit(c)).cast("double") for c in CLASSES]
     df = df.withColumn("counted", F.array(*counts)).withColumn("chars", F.concat("counted", F.array(F.greatest(F.lit(0.0), F.length("text") - sum((F.get("counted", F.lit(i)) for i in range(1, len(counts))), F.get("counted", F.lit(0)))))))
     known = sorted({w for x in references.values() for w in x})
@@ -79,13 +79,12 @@ def word_shares(hits: Column, n_words: Column, words: list[str]) -> Column:
     return let(own, lambda c: F.transform(F.concat(c, F.array(F.greatest(F.lit(0.0), n_words - F.aggregate(c, F.lit(0.0), lambda s, x: s + x)))), lambda x: x / F.greatest(F.lit(1.0), n_words.cast("double"))))
 
 
-def language_references(docs: DataFrame, references: dict[str, list[str]] = COMMON_WORDS) -> dict[str, tuple[list[float], list[float]]]:
-    """Per language: the means of the character classes' and common words' shares over all its documents of 50 words and more."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.filter(F.col("lang").isin(list(references))).select(F.col("lang"), text.alias("text"), F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"))
-    h = histograms(base.filter(F.size("words") >= 50), references).withColumn("share", shares(F.col("chars")))
+def language_references(digest: DataFrame, references: dict[str, list[str]] = COMMON_WORDS) -> dict[str, tuple[list[float], list[float]]]:
+    """Per language: the means of the character classes' shares over its digests of 50 words and more, and the shares of its common words in all their words."""
+    h = digest.filter(F.col("lang").isin(list(references)) & (F.col("n_words") >= 50))
+    share = h.withColumn("share", shares(F.col("chars")))
     n = len(CLASSES) + 1
-    chars = h.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("words"), *[F.avg(F.get("share", F.lit(i))).alias(f"c{i}") for i in range(n)]).collect()  # a row per language
+    chars = share.groupBy("lang").agg(F.sum("n_words").alias("words"), *[F.avg(F.get("share", F.lit(i))).alias(f"c{i}") for i in range(n)]).collect()  # a row per language
     seen = h.select("lang", F.explode("hits").alias("w")).groupBy("lang", "w").count().collect()  # languages times listed words at most
     count = {(r["lang"], r["w"]): r["count"] for r in seen}
     out = {}
@@ -100,10 +99,11 @@ def judge(docs: DataFrame, references: dict[str, list[str]] = COMMON_WORDS, char
 
     A text is compared to the reference of the language whose common words it has most of. It is kept if its
     character classes, and from `word_guard` words on its common words too, lie within the limits; below `min_words`
-    base_failed already decides. Null, empty and blank texts have no word and fail. Rows are independent of each other.
+    base_failed already decides. Texts are read once: their counts and histograms are written, and the references and
+    the verdicts come from these. Null, empty and blank texts have no word and fail. Rows are independent of each other.
     """
-    ref = language_references(docs, references)
-    df = histograms(base_counts(docs), references)
+    df = materialize(histograms(base_counts(docs), references).drop("text", "words"), "digests")
+    ref = language_references(df, references)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
     names = sorted(ref)
