@@ -81,7 +81,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPE
     targets = source_targets(sized, weights, cap)
     due = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     numbered = sized.groupBy("doc_id", "src", "size").count().select("doc_id", "src", "size", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"))
-    rows = numbered.join(F.broadcast(targets), numbered["src"].eqNullSafe(targets["src"])).drop(targets["src"]).withColumn("due", due)
+    rows = numbered.join(targets, numbered["src"].eqNullSafe(targets["src"])).drop(targets["src"]).withColumn("due", due)
     rows = rows.withColumns({"whole": F.floor("due"), "p": F.when(F.col("size") > 0, F.col("due") - F.floor("due")).otherwise(0.0), "h": F.xxhash64("doc_id", "src", "size", "copy", F.lit(seed))})
     fields = ["doc_id", "src", "size", "source_size", "target", "whole", "p", "h"]
     most = sized.groupBy("src").count().agg(F.max("count")).collect()[0][0] or 0  # one number

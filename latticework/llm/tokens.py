@@ -125,7 +125,8 @@ def read_tokens(spark: SparkSession, path: str, columns: tuple[str, ...] = ("doc
     files = spark.read.parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     ahead = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))  # a row per file
-    return files.join(F.broadcast(ahead), "part").withColumn("start", F.col("ahead") + F.col("part_start")).select(*columns)
+    near = files.join(F.broadcast(ahead), "part")  # as many rows as the writer had partitions
+    return near.withColumn("start", F.col("ahead") + F.col("part_start")).select(*columns)
 
 
 def id_checksums(tokens: DataFrame) -> DataFrame:
