@@ -1,4 +1,4 @@
-"""Readers: EDF recordings, electrode tables and subject lists; upserting writes."""
+"""Readers: EDF and BrainVision recordings, electrode tables and subject lists; upserting writes."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: The widths of an EDF file's header fields, then of those that every signal has.
 EDF_HEAD = (("version", 8), ("patient", 80), ("recording", 80), ("date", 8), ("time", 8), ("bytes", 8), ("reserved", 44), ("records", 8), ("seconds", 8), ("signals", 4))
 EDF_SIGNAL = (("label", 16), ("transducer", 80), ("unit", 8), ("pmin", 8), ("pmax", 8), ("dmin", 8), ("dmax", 8), ("filter", 80), ("samples", 8), ("reserved", 32))
-FORMATS = ("edf",)
+FORMATS = ("edf", "brainvision")
 
 
 def parse_edf(raw: bytes) -> tuple[dict, list[dict], list[np.ndarray]]:
@@ -49,10 +49,55 @@ def read_edf(spark: SparkSession, path: str, prefix: str = "EEG ") -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "subject string, channel string, rate double, sample long, value double")
 
 
+def parse_vision_header(text: str) -> dict:
+    """Name of the data file, rate, layout, number format and the channels' (label, resolution) of a BrainVision header."""
+    sections: dict[str, dict[str, str]] = {}
+    own: dict[str, str] = {}
+    for line in text.splitlines():
+        line = line.strip()
+        if line.startswith("[") and line.endswith("]"):
+            own = sections.setdefault(line[1:-1].lower(), {})
+        elif "=" in line and not line.startswith(";"):
+            k, v = line.split("=", 1)
+            own[k.strip().lower()] = v.strip()
+    common = sections["common infos"]
+    channels = []
+    for k in range(1, int(common["numberofchannels"]) + 1):
+        label, _, resolution, *_ = [*sections["channel infos"][f"ch{k}"].split(","), "", "", ""]
+        channels.append((label.replace("\\1", ","), float(resolution or 1)))
+    kind = {"INT_16": "<i2", "INT_32": "<i4", "IEEE_FLOAT_32": "<f4"}[sections["binary infos"]["binaryformat"].upper()]
+    return {"data": common["datafile"], "rate": 1e6 / float(common["samplinginterval"]), "vectorized": common.get("dataorientation", "MULTIPLEXED").upper() == "VECTORIZED", "kind": kind, "channels": channels}
+
+
+def read_brainvision(spark: SparkSession, path: str, drop: tuple[str, ...] = ("ECG",)) -> DataFrame:
+    """subject, channel, rate, sample, value of the header files (.vhdr) in a folder and their data files, less the dropped labels.
+
+    Headers, small texts, meet their data files by name; one task reads a recording at a time.
+    """
+    kinds = spark.read.format("binaryFile").load(path).select("path", "content")
+    heads = kinds.filter(F.col("path").endswith(".vhdr")).select("path", F.col("content").cast("string").alias("head"))
+    heads = heads.withColumn("data", F.concat(F.regexp_extract("path", r"^(.*/)", 1), F.regexp_extract("head", r"(?im)^DataFile=\s*(.+?)\s*$", 1)))
+    both = heads.join(kinds.select(F.col("path").alias("data"), "content"), "data").select("path", "head", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            for name, head, raw in files[["path", "head", "content"]].itertuples(index=False):
+                h = parse_vision_header(head)
+                x = np.frombuffer(raw, h["kind"])
+                n = len(h["channels"])
+                x = x[: len(x) // n * n]
+                x = x.reshape(n, -1) if h["vectorized"] else x.reshape(-1, n).T
+                for (label, resolution), v in zip(h["channels"], x, strict=True):
+                    if label not in drop:
+                        yield pd.DataFrame({"subject": name.rsplit("/", 1)[-1].split(".", 1)[0], "channel": label, "rate": h["rate"], "sample": np.arange(len(v)), "value": v * resolution})
+
+    return both.mapInPandas(run, "subject string, channel string, rate double, sample long, value double")
+
+
 def read_recording(spark: SparkSession, path: str, kind: str) -> DataFrame:
     if kind.lower() not in FORMATS:
         raise ValueError(f"unsupported recording type {kind}")
-    return read_edf(spark, path)
+    return {"edf": read_edf, "brainvision": read_brainvision}[kind.lower()](spark, path)
 
 
 def read_electrodes(spark: SparkSession, path: str) -> DataFrame:

@@ -29,6 +29,14 @@ def test_edf(spark, tmp_path):
         R.read_recording(spark, str(tmp_path), "doc")
 
 
+def test_brainvision(spark, tmp_path):
+    x = np.arange(12, dtype="<i2").reshape(4, 3)
+    (tmp_path / "s2.eeg").write_bytes(x.tobytes())
+    (tmp_path / "s2.vhdr").write_text("Brain Vision Data Exchange Header File\n[Common Infos]\nDataFile=s2.eeg\nDataOrientation=MULTIPLEXED\nNumberOfChannels=3\nSamplingInterval=4000\n[Binary Infos]\nBinaryFormat=INT_16\n[Channel Infos]\nCh1=Fp1,,0.5,uV\nCh2=ECG,,1,uV\nCh3=Cz,,2,uV\n")
+    got = R.read_recording(spark, str(tmp_path), "BrainVision").toPandas().sort_values(["channel", "sample"])
+    assert got["rate"].unique().tolist() == [250.0] and got["value"].tolist() == (2.0 * x[:, 2]).tolist() + (0.5 * x[:, 0]).tolist()
+
+
 def test_electrodes(spark, tmp_path):
     (tmp_path / "e.elp").write_text("9\nEEG Fp1 -90 -72 1\nEEG\tCz 0 0 1\nFID Nz 90 0 1\n")
     e = R.read_electrodes(spark, str(tmp_path / "e.elp"))
@@ -45,7 +53,7 @@ def test_upsert(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    df = spark.createDataFrame([(k, pd.Timestamp("2026-01-01") + pd.Timedelta(seconds=k)) for k in range(50)], "value int, ts timestamp").selectExpr("cast(value as double) value", "ts", "'c' as ch")
+    df = spark.createDataFrame([(k, (pd.Timestamp("2026-01-01") + pd.Timedelta(seconds=k)).to_pydatetime()) for k in range(50)], "value int, ts timestamp").selectExpr("cast(value as double) value", "ts", "'c' as ch")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     want = {(r["start"], r["n"], r["mean"]) for r in epoch_windows(df, "ts", "value", ["ch"]).collect()}
     q = epoch_windows(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "ts", "value", ["ch"]).writeStream.format("memory").queryName("epochs").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
