@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassifier, NaiveBayes
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, MinMaxScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Keys = Sequence[str]
 #: Rows are classes 0 to 2, columns the classifiers 0 against 1 and 1 against 2.
@@ -79,3 +83,25 @@ def train(df: DataFrame, algorithm: str, components: int | None = None, folds: i
     if folds:
         return CrossValidator(estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(), evaluator=BinaryClassificationEvaluator(), numFolds=folds, seed=seed).fit(df)
     return pipeline.fit(df)
+
+
+def nearest_neighbours(train: DataFrame, test: DataFrame, k: int = 5, most: int = 20_000) -> DataFrame:
+    """test with prediction, the majority label of the k nearest training vectors (the smaller label of equals).
+
+    Training sets are cohorts: they are sent to every task, so one beyond `most` rows is refused.
+    """
+    got = train.select(vector_to_array("features").alias("f"), F.col("label").cast("double").alias("label")).limit(most + 1).toPandas()
+    if len(got) > most:
+        raise ValueError(f"more than {most} training rows")
+    x, y = np.stack(got["f"]), got["label"].to_numpy()
+
+    @F.pandas_udf(DoubleType())
+    def vote(v: pd.Series) -> pd.Series:
+        def one(f):
+            near = y[np.argsort(((x - f) ** 2).sum(axis=1), kind="stable")[:k]]
+            values, counts = np.unique(near, return_counts=True)
+            return float(values[counts.argmax()])
+
+        return v.map(one)
+
+    return test.withColumn("prediction", vote(vector_to_array("features")))

@@ -63,3 +63,29 @@ def test_symbols_and_information(spark):
         rows += [(c, e, t, float(v)) for c, s in (("a", x), ("b", x), ("c", y)) for t, v in enumerate(s)]
     w = {(r["ch_i"], r["ch_j"]): r["w"] for r in S.weighted_symbolic_information(S.symbols(spark.createDataFrame(rows, "channel string, epoch int, sample int, value double"), 2)).collect()}
     assert w["a", "b"] == 0 and 0 <= w["a", "c"] < 0.05
+
+
+def test_laplacian_sharpens_a_focus(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    xyz = rng.normal(size=(20, 3))
+    xyz /= np.linalg.norm(xyz, axis=1, keepdims=True)
+    ch = pd.DataFrame({"channel": [f"c{k}" for k in range(20)], "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
+    rows = [(0, f"c{k}", t, float(np.exp(-((xyz[k] - xyz[3]) ** 2).sum()) + 5.0)) for k in range(20) for t in range(2)]
+    out = S.surface_laplacian(spark.createDataFrame(rows, "epoch int, channel string, sample int, value double"), ch).toPandas()
+    one = out[out["sample"] == 0].set_index("channel")["value"]
+    assert len(out) == 40 and one.idxmax() == "c3"
+
+
+def test_components_leave_out_the_spikes(spark):
+    rng = np.random.default_rng(0)
+    n = 800
+    calm, spikes = np.sin(np.arange(n) * 0.2), (rng.random(n) < 0.02) * 20.0
+    mix = np.array([[1.0, 0.6], [0.5, 1.0]]) @ np.stack([calm, spikes])
+    rows = [("s", f"c{k}", t, float(mix[k, t])) for k in range(2) for t in range(n)]
+    df = spark.createDataFrame(rows, "subject string, channel string, sample int, value double")
+    same = S.independent_components(df).toPandas().sort_values(["channel", "sample"])["value"].to_numpy()
+    assert np.allclose(same, mix.ravel(), atol=1e-6)
+    clean = S.independent_components(df, reject=[0]).toPandas().sort_values(["channel", "sample"])["value"].to_numpy().reshape(2, n)
+    assert abs(np.corrcoef(clean[0], calm)[0, 1]) > 0.97

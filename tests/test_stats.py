@@ -66,3 +66,12 @@ def test_train(spark):
         assert T and C.train(df, name).transform(df).filter("prediction = label").count() >= 18
     with pytest.raises(ValueError):
         C.train(df, "other")
+
+
+def test_nearest_neighbours(spark):
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(Vectors.dense([float(i % 2), i / 100]), float(i % 2)) for i in range(20)], ["features", "label"])
+    assert C.nearest_neighbours(df, df, 3).filter("prediction = label").count() == 20
+    with pytest.raises(ValueError):
+        C.nearest_neighbours(df, df, 3, most=10)
