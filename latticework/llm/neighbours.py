@@ -66,7 +66,7 @@ def usable(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("v is not null and vec_id is not null").filter(F.coalesce(fine, F.lit(False)))
 
 
-def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 4, bits: int = 6, probes: int = 130, spread: float = 1.6, chunk: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 4, bits: int = 6, probes: int = 130, spread: float = 1.47, chunk: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, the rows whose vec_id `every` divides.
 
     Equal vectors are one class that keeps its k + 1 smallest ids, enough for any of its members. Each distinct query
@@ -74,7 +74,8 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 4, b
     Buckets are cut into chunks by hash, so that neither frequent vectors nor crowded buckets meet in one task. A task
     measures its chunk's vectors exactly and keeps the k + 1 nearest for each query; these merge by query. Rows whose
     dimension isn't the commonest take no part; ids that are null, and rows without usable vectors, neither. The slot
-    width is `spread` times the mean distance to a bounded sample's nearest neighbour.
+    width is `spread` times the distance within which nine tenths of a bounded sample have k neighbours, so that close
+    copies of some vectors don't narrow it for the others.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -92,7 +93,8 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 4, b
     squares = (x * x).sum(axis=1)
     apart = squares[:, None] + squares[None] - 2 * x @ x.T
     np.fill_diagonal(apart, np.inf)
-    width = spread * float(np.sqrt(np.maximum(0, apart.min(axis=1))).mean()) or 1.0
+    tenth = np.partition(apart, min(k, len(x) - 1) - 1, axis=1)[:, min(k, len(x) - 1) - 1]
+    width = spread * float(np.quantile(np.sqrt(np.maximum(0, tenth)), 0.9)) or 1.0
     lsh = PStable(d, width, tables, bits)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
