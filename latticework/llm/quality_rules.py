@@ -121,8 +121,40 @@ def judge(docs: DataFrame, references: dict[str, list[str]] = COMMON_WORDS, char
     else:
         df = df.withColumns({"nearest": F.lit(None).cast("string"), "char_distance": F.lit(0.0), "word_distance": F.lit(0.0)})
     close = (F.col("char_distance") <= char_limit) & ((F.col("n_words") < word_guard) | (F.col("word_distance") <= word_limit))
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ((F.col("n_words") < min_words) | close)).alias("kept"), "char_distance", "word_distance", "nearest")
+    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ((F.col("n_words") < min_words) | close)).alias("kept"), F.round("char_distance", 9).alias("char_distance"), F.round("word_distance", 9).alias("word_distance"), "nearest")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    listed = ", ".join(f"('{n}', {k}, '{w}')" for n, words in COMMON_WORDS.items() for k, w in enumerate(words))
+    counts = ", ".join(f"CAST(len(regexp_extract_all(t, '{c.replace(chr(39), chr(39) * 2)}')) AS DOUBLE)" for c in CLASSES)
+    divergence = "sqrt(greatest(0.0, sum(CASE WHEN p>0 THEN p*log2(2*p/(p+q))/2 ELSE 0 END + CASE WHEN q>0 THEN q*log2(2*q/(p+q))/2 ELSE 0 END)))"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+ws AS MATERIALIZED (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x<>'') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines, [{counts}] AS c FROM d),
+pos AS (SELECT r, unnest(words) AS w, unnest(range(1, len(words)+1)) AS p FROM ws),
+win AS (SELECT r, p, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM pos WINDOW o AS (PARTITION BY r ORDER BY p)),
+twice AS (SELECT r, p, count(*) OVER (PARTITION BY r, w, w2, w3) AS n FROM win WHERE w3 IS NOT NULL),
+rep AS (SELECT r, count(DISTINCT p+k) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) v(k) WHERE n>1 GROUP BY r),
+base AS MATERIALIZED (SELECT ws.r, doc_id, lang, len(words) AS n_words, length(regexp_replace(t, '[ 	-]+', '', 'g')) AS word_chars, length(t)-length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(lines)-len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, list_append(c, greatest(0.0, length(t)-list_sum(c))) AS chars FROM ws LEFT JOIN rep ON ws.r=rep.r),
+ref AS (SELECT * FROM (VALUES {listed}) v(ln, k, word)),
+cnt AS MATERIALIZED (SELECT r, ln, k, count(*) AS n FROM pos JOIN ref ON rtrim(lower(w), '.,;:!?')=word GROUP BY ALL),
+sh AS MATERIALIZED (SELECT r, lang, n_words, unnest(range(0, len(chars))) AS i, unnest(list_transform(chars, lambda x: CASE WHEN list_sum(chars)>0 THEN x/list_sum(chars) ELSE 0.0 END)) AS p FROM base),
+rc AS (SELECT lang AS ln, i, avg(p) AS q FROM sh WHERE n_words>=50 AND lang IN (SELECT ln FROM ref) GROUP BY ALL),
+rt AS (SELECT lang AS ln, sum(n_words) AS t FROM base WHERE n_words>=50 GROUP BY ALL),
+rk AS (SELECT ref.ln, ref.k, coalesce(sum(n) FILTER (b.n_words>=50 AND b.lang=ref.ln), 0)/any_value(rt.t) AS q FROM ref JOIN rt ON ref.ln=rt.ln LEFT JOIN cnt ON cnt.ln=ref.ln AND cnt.k=ref.k LEFT JOIN base b ON b.r=cnt.r GROUP BY ref.ln, ref.k),
+rw AS (SELECT * FROM rk UNION ALL SELECT ln, -1, 1-sum(q) FROM rk GROUP BY ln),
+tot AS (SELECT b.r, l.ln, coalesce(sum(cnt.n), 0) AS n FROM base b CROSS JOIN (SELECT DISTINCT ln FROM rc) l LEFT JOIN cnt ON cnt.r=b.r AND cnt.ln=l.ln GROUP BY ALL),
+near AS MATERIALIZED (SELECT r, ln, n AS own FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY n DESC, ln) AS k FROM tot) WHERE k=1),
+cd AS (SELECT r, {divergence} AS char_distance FROM (SELECT sh.r, p, q FROM sh JOIN near ON sh.r=near.r JOIN rc ON rc.ln=near.ln AND rc.i=sh.i) GROUP BY r),
+wd AS (SELECT r, {divergence} AS word_distance FROM (SELECT near.r, CASE WHEN rw.k<0 THEN greatest(0, b.n_words-own) ELSE coalesce(cnt.n, 0) END/greatest(1.0, b.n_words) AS p, q FROM near JOIN base b ON b.r=near.r JOIN rw ON rw.ln=near.ln LEFT JOIN cnt ON cnt.r=near.r AND cnt.ln=near.ln AND cnt.k=rw.k) GROUP BY r),
+v AS (SELECT *, n_words<50 OR 100*n_repeat_words>50*n_words AS base_failed FROM base JOIN near USING (r) JOIN cd USING (r) JOIN wd USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND char_distance<=0.25 AND (n_words<150 OR word_distance<=0.33) AS kept, round(char_distance, 9) AS char_distance, round(word_distance, 9) AS word_distance, ln AS nearest FROM v
+"""
+
+
+#: DuckDB SQL for the rows of op10_quality_rules.
+ORACLE = _sql()

@@ -23,4 +23,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can tell the rows: learned scores, hashes of shingles, token ids, approximate searches and random mixes are tested against brute force instead."""
+    from latticework.llm.quality_rules import ORACLE
+
+    return {"op10_quality_rules": ORACLE}

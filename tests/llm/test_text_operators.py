@@ -208,3 +208,12 @@ def test_grammar_composes():
     f = lambda t: dict(zip(toxicity.FEATURES, g.features(t), strict=True))
     assert f("you are an idiot")["aimed insult"] > 0 == f("what an idiot")["aimed insult"] and f("you are not an idiot")["negated"] > 0 == f("you are not an idiot")["insult"]
     assert f("he said: an idiot")["reported"] > 0 and f("i will kill you")["aimed threat"] > 0 and not any(f("a clean text. nothing here").values())
+
+
+def test_quality_rules_equal_their_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    plain = lambda f: sorted(map(repr, f[sorted(f.columns)].astype(object).values.tolist()))
+    assert plain(quality_rules.op10_quality_rules(spark, SF).toPandas()) == plain(con.execute(quality_rules.ORACLE).df())
