@@ -27,8 +27,9 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group, that of the smallest id. Rows that share an id, null too, are one document. Shingles are five words here."""
     groups = simhash.near_duplicates(docs, width=5)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    key = F.struct("doc_id").alias("key")  # a null id in a struct is equal to another, so one shuffle by it serves the join and the choice
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    return docs.select(*COLUMNS, key).join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
