@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from latticework.llm.common import bounded_sample, id_remainder, table
 
-TERMS = 4096
+TERMS = 2048
 DIMENSIONS = 48
 #: Labelled documents that vote, at most about so many; chosen by a hash of the id, so the broadcast stays near 1 MB.
 SAMPLE = 4000
@@ -38,12 +38,14 @@ def terms(text: str) -> np.ndarray:
 
 
 class Votes:
-    """Term weights, the projection to latent dimensions, and the voters' unit vectors and labels."""
+    """Term weights, the projection to latent dimensions, and the voters' unit vectors and labels. Fitting works in place on the rows, some 30 MB."""
 
     def __init__(self, rows: np.ndarray, labels: np.ndarray):
         seen = (rows > 0).sum(axis=0)
         self.weight = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + 0.3
-        x = self.unit(rows * self.weight)
+        x = rows
+        x *= self.weight
+        x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
         rng = np.random.default_rng(1)
         q = x @ rng.standard_normal((x.shape[1], DIMENSIONS + 16)).astype(np.float32)
         for _ in range(3):
@@ -82,7 +84,12 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Votes | None
     got = rows.mapInArrow(count, "doc_id long, quality int, terms binary").toPandas().sort_values(["doc_id", "quality"])
     if not len(got):
         return None
-    return Votes(np.stack([np.frombuffer(t, np.float16) for t in got["terms"]]).astype(np.float32), got["quality"].to_numpy())
+    rows = np.empty((len(got), TERMS), np.float32)
+    for k, t in enumerate(got["terms"]):
+        rows[k] = np.frombuffer(t, np.float16)
+    labels_of = got["quality"].to_numpy()
+    del got
+    return Votes(rows, labels_of)
 
 
 def score(docs: DataFrame, model: Votes | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
