@@ -106,35 +106,38 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 4, b
         for b in batches:
             slots, places = lsh.slots(matrix(b.column("v")))
             keys = [[[int(lsh.keys(s + shift)) for shift in lsh.probes(p, probes)] for s, p in zip(ss, ps, strict=True)] for ss, ps in zip(slots, places, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("c"), b.column("v"), pa.array(keys, pa.list_(pa.list_(pa.int64())))], ["c", "v", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("v"), pa.array(keys, pa.list_(pa.list_(pa.int64())))], ["q", "v", "keys"])
 
     queries = rows.filter(F.col("vec_id") % every == 0).select("vec_id", F.col("vh").alias("c"), "v")
-    asked = materialize(queries.select("c", "v").distinct(), "queries")
+    same = queries.groupBy("c", "v").agg(F.min("vec_id").alias("q"))
+    asked = materialize(same.select("q", "v"), "queries")
     members = classes.mapInArrow(index, "c long, v array<double>, ids array<long>, keys array<long>").select("c", "v", "ids", F.posexplode("keys").alias("t", "key"))
-    wanted = asked.mapInArrow(probe, "c long, v array<double>, keys array<array<long>>").select("c", "v", F.posexplode("keys").alias("t", "keys")).select("c", "v", "t", F.explode("keys").alias("key"))
+    wanted = asked.mapInArrow(probe, "q long, v array<double>, keys array<array<long>>").select("q", "v", F.posexplode("keys").alias("t", "keys")).select("q", "v", "t", F.explode("keys").alias("key"))
     members = materialize(members, "index")
     many = members.groupBy("t", "key").agg((F.floor(F.count("*") / chunk) + 1).cast("int").alias("chunks"))
     own = members.join(many, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("c", "t"), F.col("chunks"))).drop("chunks")
-    probing = wanted.join(many, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))).drop("chunks")
+    probing = wanted.hint("merge").join(many, ["t", "key"])  # Spark's estimate misses the probes, so it would broadcast them
+    probing = probing.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))).drop("chunks")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"c": [], "qv": [], "vec_id": [], "score": []}
+        out = {"q": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             q, x = (matrix(t.column("v").combine_chunks()) for t in (left, right))
-            ids, cs = right.column("ids").to_pylist(), left.column("c").to_pylist()
+            ids, asking = right.column("ids").to_pylist(), left.column("q").to_pylist()
             for i in range(len(q)):
                 dist = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
                 cut = np.partition(dist, min(k, len(dist) - 1))[min(k, len(dist) - 1)]
                 found = sorted((dist[j], m) for j in np.flatnonzero(dist <= cut) for m in ids[j])[: k + 1]
                 for s, m in found:
-                    out["c"].append(cs[i]), out["qv"].append(q[i]), out["vec_id"].append(m), out["score"].append(s)
-        return pa.table({"c": pa.array(out["c"], pa.int64()), "v": pa.array(out["qv"], pa.list_(pa.float64())), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+                    out["q"].append(asking[i]), out["vec_id"].append(m), out["score"].append(s)
+        return pa.table({"q": pa.array(out["q"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
     keys = ["t", "key", "part"]
-    near = probing.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(rerank, "c long, v array<double>, vec_id long, score double").distinct()
-    first = F.row_number().over(Window.partitionBy("c", "v").orderBy("score", "vec_id"))
+    near = probing.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(rerank, "q long, vec_id long, score double").distinct()
+    first = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
     best = near.withColumn("n", first).filter(F.col("n") <= k + 1).drop("n")
-    hits = queries.withColumnRenamed("vec_id", "query_id").distinct().join(best, ["c", "v"]).filter(F.col("vec_id") != F.col("query_id"))
+    members_of = queries.withColumnRenamed("vec_id", "query_id").distinct().join(same, ["c", "v"]).select("query_id", "q")
+    hits = members_of.join(best, "q").filter(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
