@@ -30,6 +30,11 @@ def in_group(df: DataFrame, groups: DataFrame, name: str, column: str, negate: b
     return df.join(F.broadcast(g), column, "left_anti" if negate else "left_semi")
 
 
+def auto_group(name: str, channels: int) -> str:
+    """The list for all channels of a net goes by their number."""
+    return f"allchan_{channels}" if name == "allchan" else name
+
+
 def points(spark, d, n: int = 64) -> DataFrame:
     """Channels at the first three components of the first n vectors."""
     e = table(spark, d, "embeddings").filter(F.col("vec_id") < n)

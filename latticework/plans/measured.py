@@ -43,10 +43,24 @@ def report(spark, d):
     return M.rejection_report(s.withColumn("rejected", F.col("n") < 24), ["channel"]).select("channel", "n_rejected", "n_kept", r9(F.col("minutes")).alias("minutes"))
 
 
-QUERIES = {"measure_scores": scores, "best_density": best, "power_features": power, "rejection_report": report}
+def density_nmi(spark, d):
+    """NMI of every pair of labels' partitions (degree modulo 3), averaged over three densities, in the order of the labels' parity."""
+    m = degrees(spark, d).select("label", "t_idx", F.col("channel").alias("node"), (F.col("value") % 3).cast("int").alias("m"))
+    a, b = m.select(F.col("label").alias("s1"), "t_idx", "node", F.col("m").alias("m1")), m.select(F.col("label").alias("s2"), "t_idx", "node", F.col("m").alias("m2"))
+    joint = a.join(b, ["t_idx", "node"]).filter("s1 < s2").groupBy("s1", "s2", "t_idx", "m1", "m2").agg(F.count("*").cast("double").alias("n"))
+    each = G.partition_nmi(joint, "m1", "m2", keys=["s1", "s2", "t_idx"])
+    mean = each.groupBy("s1", "s2").agg(r9(F.avg("nmi")).alias("nmi"))
+    place = lambda c: (F.col(c) % 2 * 100 + F.col(c)).cast("int")
+    return mean.select("s1", "s2", place("s1").alias("row"), place("s2").alias("col"), "nmi")
+
+
+QUERIES = {"density_nmi": density_nmi, "measure_scores": scores, "best_density": best, "power_features": power, "rejection_report": report}
+
+_DEG = f"WITH {graphs._RK}, t AS (SELECT * FROM (VALUES (20,0.5),(24,0.4),(28,0.3)) t(t_idx,p)), e AS (SELECT label, t_idx, i, j FROM rk JOIN t ON r<=round(n*CAST(p AS DOUBLE)) AND w<>0), deg AS (SELECT label, t_idx, node, CAST(count(*) AS DOUBLE) AS v FROM (SELECT label, t_idx, i AS node FROM e UNION ALL SELECT label, t_idx, j FROM e) GROUP BY ALL)"
 
 ORACLE = {
-    "measure_scores": f"WITH {graphs._RK}, t AS (SELECT * FROM (VALUES (20,0.5),(24,0.4),(28,0.3)) t(t_idx,p)), e AS (SELECT label, t_idx, i, j FROM rk JOIN t ON r<=round(n*CAST(p AS DOUBLE)) AND w<>0), deg AS (SELECT label, t_idx, node, CAST(count(*) AS DOUBLE) AS v FROM (SELECT label, t_idx, i AS node FROM e UNION ALL SELECT label, t_idx, j FROM e) GROUP BY ALL), a AS (SELECT label, t_idx, avg(v) AS m, stddev_samp(v) AS s, max(v) AS x FROM deg GROUP BY ALL) SELECT label, t_idx, 'degree/mean' AS feature, round(m,9) AS score FROM a UNION ALL SELECT label, t_idx, 'degree/sd', round(s,9) FROM a UNION ALL SELECT label, t_idx, 'degree/max', x FROM a",
+    "density_nmi": f"{_DEG}, m AS (SELECT label, t_idx, node, CAST(v%3 AS INT) AS m FROM deg), j AS (SELECT a.label AS s1, b.label AS s2, a.t_idx, a.m AS m1, b.m AS m2, CAST(count(*) AS DOUBLE) AS n FROM m a JOIN m b ON a.t_idx=b.t_idx AND a.node=b.node AND a.label<b.label GROUP BY ALL), p AS (SELECT s1, s2, t_idx, n/sum(n) OVER g AS p, sum(n) OVER (PARTITION BY s1,s2,t_idx,m1)/sum(n) OVER g AS px, sum(n) OVER (PARTITION BY s1,s2,t_idx,m2)/sum(n) OVER g AS py FROM j WINDOW g AS (PARTITION BY s1, s2, t_idx)), k AS (SELECT s1, s2, t_idx, 2*sum(p*ln(p/(px*py)))/(sum(-p*ln(px))+sum(-p*ln(py))) AS nmi FROM p GROUP BY ALL) SELECT s1, s2, CAST(s1%2*100+s1 AS INT) AS row, CAST(s2%2*100+s2 AS INT) AS col, round(avg(nmi),9) AS nmi FROM k GROUP BY s1, s2",
+    "measure_scores": f"{_DEG}, a AS (SELECT label, t_idx, avg(v) AS m, stddev_samp(v) AS s, max(v) AS x FROM deg GROUP BY ALL) SELECT label, t_idx, 'degree/mean' AS feature, round(m,9) AS score FROM a UNION ALL SELECT label, t_idx, 'degree/sd', round(s,9) FROM a UNION ALL SELECT label, t_idx, 'degree/max', x FROM a",
     "best_density": f"{cohort._EM}{cohort._ST}, b AS (SELECT CAST(floor(feature/8) AS INT) AS f, g0, g1, CAST(feature%8 AS INT) AS t_idx, round(auc,9) AS auc, u_min, row_number() OVER (PARTITION BY floor(feature/8), g0, g1 ORDER BY round(auc,9) DESC, feature%8) AS r FROM st) SELECT f AS feature, g0, g1, t_idx, auc, u_min FROM b WHERE r=1",
     "power_features": f"WITH {signals._P}, m AS (SELECT band, channel, avg(power) AS power FROM p JOIN bands ON bin BETWEEN lo AND hi GROUP BY ALL), sh AS (SELECT *, power/sum(power) OVER (PARTITION BY channel) AS rel FROM m) SELECT band, round(avg(power),9) AS power_mean, round(stddev_samp(power),9) AS power_sd, round(avg(rel),9) AS rel_mean, round(stddev_samp(rel),9) AS rel_sd FROM sh GROUP BY band",
     "rejection_report": f"WITH {signals._S}, k AS (SELECT channel, epoch, count(*)<24 AS bad FROM s GROUP BY ALL) SELECT channel, count(*) FILTER (bad) AS n_rejected, count(*) FILTER (NOT bad) AS n_kept, round(count(*) FILTER (NOT bad)*10/60.0,9) AS minutes FROM k GROUP BY 1",
