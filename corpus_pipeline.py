@@ -28,14 +28,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one document of each group, that of the smallest id. Rows that share an id, null too, are one document. Shingles are five words here."""
     groups = simhash.near_duplicates(docs, width=5)
     key = F.struct("doc_id").alias("key")  # a null id in a struct is equal to another, so one shuffle by it serves the join and the choice
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    return docs.select(*COLUMNS, key).join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()  # grows with the documents: never broadcast, at any size
+    return docs.select(*COLUMNS, key).join(kept.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it; those it leaves out go."""
-    taken = materialize(mixing.mix(docs).filter("copies > 0").select("doc_id", "copies"), "taken")
-    return docs.join(taken.withColumnRenamed("doc_id", "taken_id"), F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
+    taken = materialize(mixing.mix(docs).filter("copies > 0").select("doc_id", "copies"), "taken")  # grows with the documents: never broadcast, at any size
+    return docs.join(taken.withColumnRenamed("doc_id", "taken_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
