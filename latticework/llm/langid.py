@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.llm.common import bounded_sample, id_remainder, table
+from latticework.llm.common import bounded_sample, id_remainder, map_texts, table
 
 UNKNOWN = "und"
 BUCKETS = 1 << 14
@@ -76,7 +76,7 @@ def fit(docs: DataFrame, bound: int = SAMPLE) -> CodeModel | None:
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at)), pa.array(at.astype(np.int32)), pa.array(s[at].astype(np.int64))], ["lang", "bucket", "n"])
 
     counts: dict[str, np.ndarray] = {}
-    summed = rows.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    summed = map_texts(rows.select("text", "lang"), count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     for r in summed.toPandas().itertuples():  # languages times buckets at most
         counts.setdefault(r.lang, np.zeros(BUCKETS))[r.bucket] = r.n
     if not counts:
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, bound: int = SAMPLE) -> CodeModel | None:
             right = [(m.codes[m.languages.index(x)] * m.margins(t) > 0).astype(int).tolist() for t, x in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(right, pa.list_(pa.int32()))], ["right"])
 
-    hits = rows.select("text", "lang").mapInArrow(tested, "right array<int>")
+    hits = map_texts(rows.select("text", "lang"), tested, "right array<int>")
     got = hits.agg(F.count("*").alias("n"), *[F.sum(F.get("right", F.lit(i))).alias(f"b{i}") for i in range(model.codes.shape[1])]).collect()[0]
     accuracy = np.clip([(got[f"b{i}"] + 1) / (got["n"] + 2) for i in range(model.codes.shape[1])], 0.5, 0.999)
     model.bit_weights = np.log(accuracy / (1 - accuracy)) + 1e-3
@@ -122,7 +122,7 @@ def predict(docs: DataFrame, model: CodeModel | None, ambiguous_below: float = 0
 
     rows = docs.select(*keep, *[c for c in ("text",) if c not in keep]).withColumn("text", F.col("text").cast("string"))
     schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 def op2_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

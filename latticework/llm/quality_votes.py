@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.llm.common import bounded_sample, id_remainder, table
+from latticework.llm.common import bounded_sample, id_remainder, map_texts, table
 
 TERMS = 2048
 DIMENSIONS = 48
@@ -81,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Votes | None
             packed = [terms(t).astype(np.float16).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(packed, pa.binary())], ["doc_id", "quality", "terms"])
 
-    got = rows.mapInArrow(count, "doc_id long, quality int, terms binary").toPandas().sort_values(["doc_id", "quality"])
+    got = map_texts(rows, count, "doc_id long, quality int, terms binary").toPandas().sort_values(["doc_id", "quality"])
     if not len(got):
         return None
     rows = np.empty((len(got), TERMS), np.float32)
@@ -104,7 +104,7 @@ def score(docs: DataFrame, model: Votes | None, keep: tuple[str, ...] = ("doc_id
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(out, pa.float64())], [*keep, "score"])
 
     rows = docs.select(*keep, *[c for c in ("text",) if c not in keep]).withColumn("text", F.col("text").cast("string"))
-    return rows.mapInArrow(run, T.StructType([*rows.select(*keep).schema.fields, T.StructField("score", T.DoubleType())]))
+    return map_texts(rows, run, T.StructType([*rows.select(*keep).schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
