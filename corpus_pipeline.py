@@ -25,10 +25,10 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, that of the smallest id. Rows that share an id, null too, are one document. Shingles are five words here."""
-    groups = simhash.near_duplicates(docs, width=5)
-    key = F.struct("doc_id").alias("key")  # a null id in a struct is equal to another, so one shuffle by it serves the join and the choice
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()  # grows with the documents: never broadcast, at any size
+    """Keeps one document of each group, that of the smallest id. Rows that share an id, null too, are one document. Groups join texts whose five-word shingles have a similarity of 0.8 or more."""
+    key = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id").alias("key")  # a null id in a struct is equal to another, and comes last
+    groups = materialize(simhash.similar_documents(docs.select(key, "text")), "groups")
+    kept = groups.groupBy("component").agg(F.min("key").alias("key")).select("key").distinct()  # grows with the documents: never broadcast, at any size
     return docs.select(*COLUMNS, key).join(kept.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 

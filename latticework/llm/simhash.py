@@ -10,34 +10,48 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latticework.llm.common import map_texts, materialize, table
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
 TILE = 65_536
+#: Bits within which texts whose sets of shingles have a similarity of 0.8 or more are looked for.
+WIDE = 18
+#: Smallest hashes of a text kept to tell chance neighbours from copies before texts are compared.
+SKETCH = 8
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """The SimHash of the text's word shingles: a bit is 1 if set in over half of their hashes; no word gives 0."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the text's word shingles in order; of the whole text where it has fewer words, none where it has no word."""
     from xxhash import xxh64_intdigest
 
     raw = b" ".join(_WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower()))  # bytes.lower() changes A-Z alone
     if not raw:
-        return 0
+        return np.zeros(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
     n = len(gaps) + 1
     if n <= width:
-        return xxh64_intdigest(raw, SEED)
+        return np.array([xxh64_intdigest(raw, SEED)], np.uint64)
     begin = np.concatenate([[0], gaps + 1])[: n - width + 1].tolist()
     end = np.concatenate([gaps, [len(raw)]])[width - 1 :].tolist()
-    hashes = np.fromiter((xxh64_intdigest(raw[i:j], SEED) for i, j in zip(begin, end, strict=True)), np.uint64, len(begin))
+    return np.fromiter((xxh64_intdigest(raw[i:j], SEED) for i, j in zip(begin, end, strict=True)), np.uint64, len(begin))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of the hashes: a bit is 1 if set in over half of them."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int) -> int:
+    """The SimHash of the text's word shingles; no word gives 0."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, of every whole text."""
 
@@ -161,5 +175,100 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def profiles(docs: DataFrame, width: int) -> DataFrame:
+    """key, cls, fp and sketch of each row. cls is a digest of the text's set of shingles, so equal sets are one class; fp is
+    the set's SimHash; the sketch packs the first halves of the SKETCH smallest hashes, 0 where there are fewer."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, width)) for t in b.column(1).to_pylist()]
+            low = np.zeros((len(sets), SKETCH), np.uint32)
+            for k, s in enumerate(sets):
+                low[k, : len(s[:SKETCH])] = s[:SKETCH] >> np.uint64(32)
+            cls = np.fromiter((xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
+            fps = np.fromiter((majority(s) for s in sets), np.uint64, len(sets))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(list(low.view(np.int64)), pa.list_(pa.int64()))], ["key", "cls", "fp", "sketch"])
+
+    rows = docs.select("key", F.col("text").cast("string").alias("text"))
+    return map_texts(rows, run, T.StructType([rows.schema["key"]]).add("cls", T.LongType()).add("fp", T.LongType()).add("sketch", T.ArrayType(T.LongType())))
+
+
+def sketched_pairs(left: tuple, right: tuple | None, radius: int, rows: int = 128, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of classes (smaller, larger) of two tiles, or within the one, whose fingerprints lie within the radius and
+    whose sketches share two hashes. A tile is classes, fingerprints and sketches."""
+    (c, f, s), (d, g, r) = left, right or left
+    out = []
+    for i in range(0, len(f), rows):
+        for j in range(0 if right else i, len(g), columns):
+            near = np.bitwise_count(f[i : i + rows, None] ^ g[None, j : j + columns]) <= radius
+            if near.any():
+                a, b = np.nonzero(near)
+                for at in range(0, len(a), 65_536):
+                    x, y = i + a[at : at + 65_536], j + b[at : at + 65_536]
+                    own, other = s[x], r[y]
+                    shared = ((own[:, :, None] == other[:, None, :]).any(axis=2) & (own != 0)).sum(axis=1)
+                    hit = (shared >= 2) & (c[x] != d[y])
+                    out.append(np.stack([c[x[hit]], d[y[hit]]]))
+    both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    both = np.unique(np.sort(both, axis=0), axis=1)
+    return both[0], both[1]
+
+
+def candidates(classes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b), a < b, of classes (cls, fp, sketch) that may be near copies. Tiles are cut by hash and all meet all, since so wide a radius lets no population counts be skipped."""
+    n = classes.count()
+    parts = -(-n // min(tile, max(2048, n // 8))) if n else 1
+    pairs = list(combinations_with_replacement(range(parts), 2))
+    plan = classes.sparkSession.createDataFrame([(k, len({*p}), s, p[s]) for k, p in enumerate(pairs) for s in range(len({*p}))], "pair int, sides int, side int, part int")
+    part = F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(parts)).cast("int").alias("part")
+    tiles = classes.select(part, "cls", "fp", "sketch").groupBy("part").agg(F.collect_list(F.struct("cls", "fp", "sketch")).alias("tile"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        by = {}
+        for side, x in zip(t.column("side").to_pylist(), t.column("tile"), strict=True):
+            c, f, s = x.values.flatten()
+            by[side] = c.to_numpy(), f.to_numpy().view(np.uint64), s.flatten().to_numpy().view(np.uint32).reshape(-1, SKETCH)
+        a, b = sketched_pairs(by[0], by.get(1), radius) if len(by) == t.column("sides")[0].as_py() else (np.zeros(0, np.int64),) * 2  # a part may be empty
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    dealt = plan.join(tiles, "part").select("pair", "sides", "side", "tile")
+    return dealt.groupBy("pair").applyInArrow(compare, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = WIDE) -> DataFrame:
+    """key, component: a number for each group of rows linked by pairs whose sets of word shingles have at least this Jaccard similarity.
+
+    Rows have a column key. Rows with equal sets are one class. Pairs of classes within the radius whose sketches agree are
+    confirmed by the exact similarity of their sets, so no link is wrong; the radius decides how many are found.
+    """
+    own = materialize(profiles(docs, width), "profiles")
+    classes = materialize(own.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("key").alias("key")), "classes")
+    pairs = materialize(candidates(classes.select("cls", "fp", "sketch"), radius), "candidates")
+    asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    chosen = asked.hint("merge").join(classes.select("cls", "key"), "cls")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["cls", "found"])
+
+    texts = docs.select("key", F.col("text").cast("string").alias("text")).hint("merge").join(chosen, "key").select("cls", "text").dropDuplicates(["cls"])
+    found = materialize(map_texts(texts, sets, "cls long, found array<long>"), "sets")  # grows with the documents: never broadcast, at any size
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sides = pairs.hint("merge").join(found.select(F.col("cls").alias("a"), F.col("found").alias("x")), "a").hint("merge").join(found.select(F.col("cls").alias("b"), F.col("found").alias("y")), "b")
+    comp = components(map_texts(sides.select("a", "b", "x", "y"), confirm, "a long, b long"))
+    return own.select("key", "cls").join(comp.withColumnRenamed("node", "cls").hint("merge"), "cls", "left").select("key", F.coalesce("root", "cls").alias("component"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
