@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import langid, mixing, packing, quality_votes, simhash
@@ -24,18 +24,26 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_votes.score(docs, model, keep=COLUMNS).filter(F.col("score") >= quality_votes.THRESHOLD).select(*COLUMNS)
 
 
+def row_hash() -> Column:
+    """A hash of the row's values, nulls told apart."""
+    return F.xxhash64(*[x for c in COLUMNS for x in (F.col(c), F.col(c).isNull())])
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, that of the smallest id. Rows that share an id, null too, are one document. Groups join texts whose five-word shingles have a similarity of 0.8 or more."""
-    key = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id").alias("key")  # a null id in a struct is equal to another, and comes last
+    """Keeps one document of each group, that of the smallest id, null last, then of the smallest hash of the row. Groups join texts whose five-word shingles have a similarity of 0.8 or more, whatever their ids."""
+    key = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", row_hash().alias("row")).alias("key")  # a null id in a struct is equal to another, and comes last
     groups = materialize(simhash.similar_documents(docs.select(key, "text")), "groups")
-    kept = groups.groupBy("component").agg(F.min("key").alias("key")).select("key").distinct()  # grows with the documents: never broadcast, at any size
-    return docs.select(*COLUMNS, key).join(kept.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+    kept = groups.groupBy("component").agg(F.min("key").alias("key")).select("key")  # grows with the documents: never broadcast, at any size
+    return docs.select(*COLUMNS, key).join(kept.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)  # equal rows share a key
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; those it leaves out go."""
-    taken = materialize(mixing.mix(docs).filter("copies > 0").select("doc_id", "copies"), "taken")  # grows with the documents: never broadcast, at any size
-    return docs.join(taken.withColumnRenamed("doc_id", "taken_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
+    """Repeats each document as often as the mix takes it; those it leaves out go. Rows that share an id are mixed each by itself; equal rows share what is taken of them."""
+    keyed = docs.select(*COLUMNS, row_hash().alias("key"))
+    taken = mixing.mix(keyed.select(F.col("key").alias("doc_id"), "text", "source")).groupBy("doc_id").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    taken = materialize(taken.select(F.col("doc_id").alias("key"), "copies"), "taken")  # grows with the documents: never broadcast, at any size
+    one = keyed.join(taken.hint("merge"), "key").dropDuplicates(["key"])
+    return one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
