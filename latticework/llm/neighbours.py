@@ -72,7 +72,8 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 4, b
     Equal vectors are one class that keeps its k + 1 smallest ids, enough for any of its members. Each distinct query
     visits, in every table, its own bucket and those that small steps of its slots reach, in estimated success order.
     Buckets are cut into chunks by hash, so that neither frequent vectors nor crowded buckets meet in one task. A task
-    measures its chunk's vectors exactly and keeps the k + 1 nearest for each query; these merge by query. Rows whose
+    measures its chunk's vectors exactly and keeps the k + 1 nearest for each query; these merge by query. Queries that
+    find fewer than k others, though there are more, meet all vectors in an exact scan by blocks. Rows whose
     dimension isn't the commonest take no part; ids that are null, and rows without usable vectors, neither. The slot
     width is `spread` times the distance within which nine tenths of a bounded sample have k neighbours, so that close
     copies of some vectors don't narrow it for the others.
@@ -134,6 +135,16 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 4, b
 
     keys = ["t", "key", "part"]
     near = probing.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(rerank, "q long, vec_id long, score double").distinct()
+    near = materialize(near, "near")
+    most = F.least(F.lit(k + 1).cast("long"), F.lit(n))  # a query finds itself too
+    short = materialize(asked.join(near.groupBy("q").agg(F.count("*").alias("had")), "q", "left").filter(F.coalesce("had", F.lit(0)) < most).select("q", "v"), "short")
+    left = short.count()
+    if left:  # an exact scan: blocks of the short queries meet all blocks of classes
+        parts, blocks = n // chunk + 1, left // chunk + 1
+        side = short.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        every_class = classes.withColumn("part", F.pmod(F.xxhash64("c", F.lit(9)), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        scanned = side.groupBy("part", "block").cogroup(every_class.groupBy("part", "block")).applyInArrow(rerank, "q long, vec_id long, score double")
+        near = near.join(short.select("q").hint("merge"), "q", "left_anti").unionByName(scanned)
     first = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
     best = near.withColumn("n", first).filter(F.col("n") <= k + 1).drop("n")
     members_of = queries.withColumnRenamed("vec_id", "query_id").distinct().join(same, ["c", "v"]).select("query_id", "q")
