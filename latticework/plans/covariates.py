@@ -35,9 +35,10 @@ def auto_group(name: str, channels: int) -> str:
     return f"allchan_{channels}" if name == "allchan" else name
 
 
-def points(spark, d, n: int = 64) -> DataFrame:
-    """Channels at the first three components of the first n vectors."""
-    e = table(spark, d, "embeddings").filter(F.col("vec_id") < n)
+def points(spark, d, n: int | None = 64) -> DataFrame:
+    """Channels at the first three components of the first n vectors, or of all."""
+    e = table(spark, d, "embeddings")
+    e = e if n is None else e.filter(F.col("vec_id") < n)
     return e.select(F.col("vec_id").alias("channel"), *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate("xyz")])
 
 
@@ -68,10 +69,10 @@ def sphere(spark, d):
 
 
 def arcs(spark, d):
-    p = points(spark, d, 20)
+    p = points(spark, d, None)
     a = p.select("channel", *[F.col(c).alias(f"{c}1") for c in "xyz"])
     b = p.select((F.col("channel") - 1).alias("channel"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
-    return M.arc_points(a.join(b, "channel"), samples=10).select("channel", "k", *[r9(F.col(f"p{c}")).alias(c) for c in "xyz"])
+    return M.arc_points(a.join(b, "channel"), samples=100).select("channel", "k", *[r9(F.col(f"p{c}")).alias(c) for c in "xyz"])
 
 
 def reordered(spark, d):
