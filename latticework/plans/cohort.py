@@ -84,7 +84,9 @@ def best(spark, d):
 
 
 def permutations(spark, d):
-    s = scores(spark, d, 2).select(F.col("vec_id").alias("unit"), "grp", "feature", "score")
+    """Two conditions that take in every row: even and odd labels."""
+    e = table(spark, d, "embeddings").filter("label is not null").select(F.col("vec_id").alias("unit"), F.pmod("label", F.lit(2)).cast("int").alias("grp"), F.posexplode("embedding").alias("feature", "x"))
+    s = e.select("unit", "grp", "feature", F.col("x").cast("double").alias("score"))
     return out(T.max_statistic(T.permuted_differences(s, "score", ["feature"]), ["feature"]), ["feature"], "diff", "p")
 
 
