@@ -32,9 +32,10 @@ def row_hash() -> Column:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group, that of the smallest id, null last, then of the smallest hash of the row. Groups join texts whose five-word shingles have a similarity of 0.8 or more, whatever their ids."""
     key = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", row_hash().alias("row")).alias("key")  # a null id in a struct is equal to another, and comes last
-    groups = materialize(simhash.similar_documents(docs.select(key, "text")), "groups")
-    kept = groups.groupBy("component").agg(F.min("key").alias("key")).select("key")  # grows with the documents: never broadcast, at any size
-    return docs.select(*COLUMNS, key).join(kept.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)  # equal rows share a key
+    keyed = docs.select(*COLUMNS, key)
+    groups = materialize(simhash.similar_documents(keyed), "groups")
+    kept = groups.groupBy("component").agg(F.min("key").alias("key")).select("key")
+    return simhash.rows_of(keyed, kept, simhash.hot_keys(groups, groups.count())).select(*COLUMNS)  # equal rows share a key
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

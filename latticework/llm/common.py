@@ -15,6 +15,10 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch of texts, about; Spark's own bound is 64 MB, which each task holds several times over.
 BATCH_BYTES = 8 << 20
+#: A key with more than one in HOT of all rows is hot, so there are at most HOT of them.
+HOT = 200
+_FINE = 10**12
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,35 +26,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one where it is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary folder does for a local master; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="latticework-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage and survives lost executors."""
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder that no later step reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch folders of this process; to be called when results have been written elsewhere."""
+    for path in list(_made):
+        discard(spark, path)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read again, and its folder."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it again: cuts lineage and survives lost executors."""
+    return written(df, name)[0]
 
 
 def map_texts(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """rows.mapInArrow in batches bounded by bytes as well as rows, so that a task's memory doesn't follow the texts' lengths. The bound is a setting of the session and stays."""
+    """rows.mapInArrow in batches bounded by bytes as well as rows, so that a task's memory doesn't follow the texts' lengths.
+
+    All operators over texts come here and set the same bound, so it doesn't matter which of them a session plans first.
+    """
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return rows.mapInArrow(run, schema)
 
 
+def join_hot(rows: DataFrame, per_key: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined with per_key, which has one row for each key and n, the key's rows among `total`.
+
+    Hot keys, at most HOT of them by their definition, are broadcast, so their rows stay where they are; the others meet
+    in a shuffle, where no key brings more than one in HOT of all rows to a task. n is dropped.
+    """
+    hot = per_key.filter(F.col("n") * HOT > total).drop("n")
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").hint("merge").join(per_key.drop("n"), keys, how)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys), allowMissingColumns=False)
+
+
 def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def hash_share(key: str, share: float, seed: int) -> Column:
+    """Whether a hash of the key falls into the share, which may be very small."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(_FINE)) < int(_FINE * min(1.0, share))
+
+
 def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 7) -> DataFrame:
     """About `bound` rows chosen by a hash of the key, so that reruns choose the same; all rows if there are fewer."""
     n = df.count()
-    if n <= bound:
-        return df
-    return df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
+    return df if n <= bound else df.filter(hash_share(key, bound / n, seed))

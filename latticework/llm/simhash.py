@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import combinations_with_replacement
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.llm.common import map_texts, materialize, table
+from latticework.llm.common import HOT, discard, join_hot, map_texts, materialize, table, written
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -108,6 +107,23 @@ def tile_links(left: np.ndarray, right: np.ndarray, radius: int, rows: int = 128
     return everything[moved], everything[forest.label[moved]]
 
 
+def paired_tiles(tiles: DataFrame, sizes: DataFrame, near: Callable[[Column, Column], Column], compare: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """compare(table of side and tile) for every pair of tiles, a tile and itself too, whose cells are near.
+
+    tiles has cell, part and tile, one row each; sizes has cell and parts, a row for each of a few cells. The pairs are
+    made on Spark from the cells' numbers of parts, each with all columns that name it as its key.
+    """
+    first, second = (sizes.select(F.col("cell").alias(f"c{k}"), F.col("parts").alias(f"n{k}")) for k in "xy")
+    pairs = first.join(F.broadcast(second), (F.col("cx") <= F.col("cy")) & near(F.col("cx"), F.col("cy")))
+    pairs = pairs.withColumn("px", F.explode(F.sequence(F.lit(0), F.col("nx") - 1))).withColumn("py", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)))
+    pairs = pairs.filter((F.col("cx") < F.col("cy")) | (F.col("px") <= F.col("py"))).select("cx", "px", "cy", "py")
+    same = (F.col("cx") == F.col("cy")) & (F.col("px") == F.col("py"))
+    end = lambda side, k: F.struct(F.lit(side).alias("side"), F.col(f"c{k}").alias("cell"), F.col(f"p{k}").alias("part"))
+    sides = pairs.withColumn("end", F.explode(F.when(same, F.array(end(0, "x"))).otherwise(F.array(end(0, "x"), end(1, "y")))))
+    dealt = sides.select("cx", "px", "cy", "py", "end.*").hint("merge").join(tiles, ["cell", "part"])
+    return dealt.groupBy("cx", "px", "cy", "py").applyInArrow(lambda t: compare(t.select(["side", "tile"])), schema)
+
+
 def links(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     """Links (a, b) between distinct fingerprints fp that join whatever lies within the radius of each other.
 
@@ -115,43 +131,41 @@ def links(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     most. Two cells are compared only if their counts differ by the radius in all; no pair beyond can be near. Large
     cells are cut into tiles by hash. Each tile goes, as one row, to the tasks of its tile pairs.
     """
-    spark = distinct.sparkSession
-    cells = distinct.select("fp", F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF)).alias("u"), F.bit_count(F.shiftrightunsigned("fp", 32)).alias("v"))
-    sizes = {(r["u"], r["v"]): -(-r["count"] // tile) for r in cells.groupBy("u", "v").count().collect()}  # 33 x 33 rows at most
-    pairs = []
-    for x, y in combinations_with_replacement(sorted(sizes), 2):
-        if abs(x[0] - y[0]) + abs(x[1] - y[1]) <= radius:
-            pairs += [(len(pairs) + k, *x, i, *y, j) for k, (i, j) in enumerate((i, j) for i in range(sizes[x]) for j in range(sizes[y]) if x != y or i <= j)]
-    sides = [(p[0], s, *p[1 + 3 * s : 4 + 3 * s]) for p in pairs for s in ((0,) if p[1:4] == p[4:7] else (0, 1))]
-    plan = spark.createDataFrame(sides, "pair int, side int, u int, v int, part int")
-    parts = F.coalesce(F.create_map(*[F.lit(c) for (u, v), n in sizes.items() if n > 1 for c in (u * 33 + v, n)])[F.col("u") * 33 + F.col("v")], F.lit(1)) if any(n > 1 for n in sizes.values()) else F.lit(1)
-    tiles = cells.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(3)), parts).cast("int")).groupBy("u", "v", "part").agg(F.collect_list("fp").alias("fps"))
+    u, v = F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF)), F.bit_count(F.shiftrightunsigned("fp", 32))
+    cells = distinct.select("fp", (u * 33 + v).cast("int").alias("cell"))
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    tiles = cells.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("fp", F.lit(3)), F.col("parts")).cast("int")).groupBy("cell", "part").agg(F.collect_list("fp").alias("tile"))
+    apart = lambda x, y: F.abs(F.floor(x / 33) - F.floor(y / 33)) + F.abs(x % 33 - y % 33)
 
     def compare(t: pa.Table) -> pa.Table:
-        by = {0: [], 1: []}
-        for s, x in zip(t.column("side").to_pylist(), t.column("fps"), strict=True):
-            by[s].append(np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64))
-        left = np.concatenate(by[0]) if by[0] else np.array([], np.uint64)
-        a, b = tile_links(left, np.concatenate(by[1]) if by[1] else left, radius)
+        by = {s: np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64) for s, x in zip(t.column("side").to_pylist(), t.column("tile"), strict=True)}
+        a, b = tile_links(by[0], by.get(1, by[0]), radius) if 0 in by else (np.zeros(0, np.uint64),) * 2
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    dealt = plan.join(tiles, ["u", "v", "part"]).select("pair", "side", "fps")
-    return dealt.groupBy("pair").applyInArrow(compare, "a long, b long").distinct()
+    return paired_tiles(tiles, sizes, lambda x, y: apart(x, y) <= radius, compare, "a long, b long").distinct()
+
 
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the smallest node of its component, for all nodes of the edges (a, b).
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root: the smallest node of its component, for all nodes of the edges (a, b). Alternates large and small stars until nothing changes."""
-    edges = materialize(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    last = None
-    for _ in range(most_rounds):
+    Alternates large and small stars until a round changes nothing, however many rounds that takes. Each round is
+    written and the one before deleted. A hub's edges stay where they are and only its smallest neighbour is sent.
+    """
+    spark = edges.sparkSession
+    edges, at = written(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    last, n = None, edges.count()
+    while n:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = join_hot(both.filter(F.col("b") > F.col("a")), low, ["a"], 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        large, between = written(large, "stars")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, low, ["a"], n)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
-        edges = materialize(small, "stars")
+        edges, new = written(small, "stars")
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
+        discard(spark, at), discard(spark, between)
+        at, n = new, state[0]
         if state == last:
             break
         last = state
@@ -166,108 +180,190 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     like any other; null ids count as the smallest only where a component has no other; an empty table gives no rows.
     """
     own = materialize(fingerprints(docs, width), "fingerprints")
-    classes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    classes = materialize(classes, "classes")
+    classes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
     comp = components(links(classes.select("fp"), radius))
-    rooted = classes.join(comp, classes["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
-    firsts = rooted.filter("linked").groupBy("root").agg(F.min("first").alias("least"))
-    named = rooted.join(firsts, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = classes.join(comp.hint("merge"), classes["fp"] == comp["node"], "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    sizes = classes.agg(F.sum("n").alias("rows"), F.count("*").alias("classes")).collect()[0]
+    named = join_hot(rooted.select("fp", "root", F.col("n").alias("rows")), firsts, ["root"], sizes["classes"]).select("fp", "component_id", F.col("rows").alias("n"))
+    return join_hot(own, named, ["fp"], sizes["rows"] or 0).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
     """key, cls, fp and sketch of each row. cls is a digest of the text's set of shingles, so equal sets are one class; fp is
-    the set's SimHash; the sketch packs the first halves of the SKETCH smallest hashes, 0 where there are fewer."""
+    the set's SimHash; the sketch holds the first halves of the SKETCH smallest hashes, 0 where there are fewer."""
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t, width)) for t in b.column(1).to_pylist()]
-            low = np.zeros((len(sets), SKETCH), np.uint32)
+            low = np.zeros((len(sets), SKETCH), "<u4")
             for k, s in enumerate(sets):
                 low[k, : len(s[:SKETCH])] = s[:SKETCH] >> np.uint64(32)
             cls = np.fromiter((xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
             fps = np.fromiter((majority(s) for s in sets), np.uint64, len(sets))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(list(low.view(np.int64)), pa.list_(pa.int64()))], ["key", "cls", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls.view(np.int64)), pa.array(fps.view(np.int64)), pa.array([x.tobytes() for x in low], pa.binary())], ["key", "cls", "fp", "sketch"])
 
     rows = docs.select("key", F.col("text").cast("string").alias("text"))
-    return map_texts(rows, run, T.StructType([rows.schema["key"]]).add("cls", T.LongType()).add("fp", T.LongType()).add("sketch", T.ArrayType(T.LongType())))
+    return map_texts(rows, run, T.StructType([rows.schema["key"]]).add("cls", T.LongType()).add("fp", T.LongType()).add("sketch", T.BinaryType()))
 
 
-def sketched_pairs(left: tuple, right: tuple | None, radius: int, rows: int = 128, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of classes (smaller, larger) of two tiles, or within the one, whose fingerprints lie within the radius and
-    whose sketches share two hashes. A tile is classes, fingerprints and sketches."""
-    (c, f, s), (d, g, r) = left, right or left
-    out = []
-    for i in range(0, len(f), rows):
-        for j in range(0 if right else i, len(g), columns):
-            near = np.bitwise_count(f[i : i + rows, None] ^ g[None, j : j + columns]) <= radius
-            if near.any():
-                a, b = np.nonzero(near)
-                for at in range(0, len(a), 65_536):
-                    x, y = i + a[at : at + 65_536], j + b[at : at + 65_536]
-                    own, other = s[x], r[y]
-                    shared = ((own[:, :, None] == other[:, None, :]).any(axis=2) & (own != 0)).sum(axis=1)
-                    hit = (shared >= 2) & (c[x] != d[y])
-                    out.append(np.stack([c[x[hit]], d[y[hit]]]))
-    both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    both = np.unique(np.sort(both, axis=0), axis=1)
-    return both[0], both[1]
-
-
-def candidates(classes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b), a < b, of classes (cls, fp, sketch) that may be near copies. Tiles are cut by hash and all meet all, since so wide a radius lets no population counts be skipped."""
-    n = classes.count()
-    parts = -(-n // min(tile, max(2048, n // 8))) if n else 1
-    pairs = list(combinations_with_replacement(range(parts), 2))
-    plan = classes.sparkSession.createDataFrame([(k, len({*p}), s, p[s]) for k, p in enumerate(pairs) for s in range(len({*p}))], "pair int, sides int, side int, part int")
-    part = F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(parts)).cast("int").alias("part")
-    tiles = classes.select(part, "cls", "fp", "sketch").groupBy("part").agg(F.collect_list(F.struct("cls", "fp", "sketch")).alias("tile"))
+class Tile:
+    """Classes of a tile in the order of their fingerprints' population counts, column by column."""
+
+    def __init__(self, x: pa.ListScalar):
+        c, fp, sketch, root, upto, open_ = x.values.flatten()
+        fps = fp.to_numpy().view(np.uint64)
+        order = np.argsort(np.bitwise_count(fps), kind="stable")
+        self.fps, self.counts = fps[order], np.bitwise_count(fps[order]).astype(np.int64)
+        self.cls, self.root, self.upto = (v.to_numpy()[order] for v in (c, root, upto))
+        self.open = open_.to_numpy(zero_copy_only=False).astype(bool)[order]
+        self.sketch = np.frombuffer(b"".join(sketch.to_pylist()), "<u4").reshape(-1, SKETCH)[order]
+
+
+def fewest(pairs: np.ndarray, most: int) -> np.ndarray:
+    """Of columns (a, b, ...), each a's `most` smallest b, every pair once."""
+    pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+    new = np.ones(pairs.shape[1], bool)
+    new[1:] = (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)
+    pairs = pairs[:, new]
+    start = np.flatnonzero(np.diff(pairs[0], prepend=pairs[0, :1] - 1)) if pairs.shape[1] else np.zeros(0, int)
+    nth = np.arange(pairs.shape[1]) - np.repeat(start, np.diff(np.append(start, pairs.shape[1])))
+    return pairs[:, nth < most]
+
+
+def asked_pairs(left: Tile, right: Tile, radius: int, most: int, rows: int = 128, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Columns (a, b, root of a, root of b): each open class a of either tile with its `most` smallest partners b of the other; and all classes that are in any such pair, kept or not.
+
+    A partner has a smaller number, above the last that a asked about, and another root; the fingerprints lie within the
+    radius and the sketches share two hashes. Both tiles are in order of population counts, so a block of rows meets only
+    columns whose counts lie within the radius.
+    """
+    out, touched = [], [np.zeros(0, np.int64)]
+    whole = left.open.all() and right.open.all()
+    for own, other in ((left, right),) if whole or left is right else ((left, right), (right, left)):
+        asking = np.arange(len(own.fps)) if whole else np.flatnonzero(own.open)
+        for i in range(0, len(asking), rows):
+            block = asking[i : i + rows]
+            lo, hi = np.searchsorted(other.counts, own.counts[block[0]] - radius), np.searchsorted(other.counts, own.counts[block[-1]] + radius, side="right")
+            for j in range(max(lo, block[0]) if whole and left is right else lo, hi, columns):
+                near = np.bitwise_count(own.fps[block][:, None] ^ other.fps[None, j : min(j + columns, hi)]) <= radius
+                if not near.any():
+                    continue
+                x, y = np.nonzero(near)
+                x, y = block[x], j + y
+                fits = own.root[x] != other.root[y]
+                x, y = x[fits], y[fits]
+                for at in range(0, len(x), 65_536):
+                    p, q = x[at : at + 65_536], y[at : at + 65_536]
+                    mine, its = own.sketch[p], other.sketch[q]
+                    hit = ((mine[:, :, None] == its[:, None, :]).any(axis=2) & (mine != 0)).sum(axis=1) >= 2
+                    p, q = p[hit], q[hit]
+                    asks = own.cls[p] > other.cls[q]
+                    a, b = np.where(asks, own.cls[p], other.cls[q]), np.where(asks, other.cls[q], own.cls[p])
+                    ok = np.where(asks, own.open[p] & (b > own.upto[p]), other.open[q] & (b > other.upto[q]))
+                    out.append(np.stack([a, b, np.where(asks, own.root[p], other.root[q]), np.where(asks, other.root[q], own.root[p])])[:, ok])
+                    touched.append(np.unique(np.concatenate([a[ok], b[ok]])))
+            if len(out) > 64:
+                out, touched = [fewest(np.concatenate(out, axis=1), most)], [np.unique(np.concatenate(touched))]
+    return fewest(np.concatenate(out, axis=1), most) if out else np.zeros((4, 0), np.int64), np.unique(np.concatenate(touched))
+
+
+def candidates(state: DataFrame, radius: int, most: int, tile: int = TILE) -> DataFrame:
+    """a, b, ra, rb: pairs of classes (cls, fp, sketch, root, upto, open) that may be near copies, each open a with its `most` smallest partners of every tile; and a row (x, x) for each class x in any pair.
+
+    A cell holds fingerprints of nearly the same population count; two cells are compared only if their counts can differ
+    by the radius or less. Cells are cut into tiles by hash.
+    """
+    cells = state.withColumn("cell", F.floor(F.bit_count("fp") / 8).cast("int"))
+    each = min(tile, max(2048, state.count() // 8))
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / each).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("parts")).cast("int")
+    tiles = cells.join(F.broadcast(sizes), "cell").withColumn("part", part).groupBy("cell", "part").agg(F.collect_list(F.struct("cls", "fp", "sketch", "root", "upto", "open")).alias("tile"))
 
     def compare(t: pa.Table) -> pa.Table:
-        by = {}
-        for side, x in zip(t.column("side").to_pylist(), t.column("tile"), strict=True):
-            c, f, s = x.values.flatten()
-            by[side] = c.to_numpy(), f.to_numpy().view(np.uint64), s.flatten().to_numpy().view(np.uint32).reshape(-1, SKETCH)
-        a, b = sketched_pairs(by[0], by.get(1), radius) if len(by) == t.column("sides")[0].as_py() else (np.zeros(0, np.int64),) * 2  # a part may be empty
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        by = {s: Tile(x) for s, x in zip(t.column("side").to_pylist(), t.column("tile"), strict=True)}
+        found, touched = asked_pairs(by[0], by.get(1, by[0]), radius, most) if 0 in by else (np.zeros((4, 0), np.int64), np.zeros(0, np.int64))
+        return pa.table({n: pa.array(np.concatenate([x, touched])) for n, x in zip(("a", "b", "ra", "rb"), found, strict=True)})
+
+    return paired_tiles(tiles, sizes, lambda x, y: (y - x) * 8 - 7 <= radius, compare, "a long, b long, ra long, rb long")
 
-    dealt = plan.join(tiles, "part").select("pair", "sides", "side", "tile")
-    return dealt.groupBy("pair").applyInArrow(compare, "a long, b long")
+
+def rows_of(docs: DataFrame, wanted: DataFrame, hot: DataFrame) -> DataFrame:
+    """The first row of each wanted key. Repeated rows of hot keys, a few by definition, are dropped before they move."""
+    few = F.broadcast(hot)
+    rest = docs.join(few, "key", "left_anti").hint("merge").join(wanted.hint("merge"), "key").dropDuplicates(["key"])
+    return rest.unionByName(docs.join(few, "key", "left_semi").dropDuplicates(["key"]).hint("merge").join(wanted, "key"))
+
+
+def hot_keys(own: DataFrame, total: int) -> DataFrame:
+    """Keys of more than one in HOT of all rows; HOT at most."""
+    return own.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * HOT > total).select("key")
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = WIDE) -> DataFrame:
     """key, component: a number for each group of rows linked by pairs whose sets of word shingles have at least this Jaccard similarity.
 
-    Rows have a column key. Rows with equal sets are one class. Pairs of classes within the radius whose sketches agree are
-    confirmed by the exact similarity of their sets, so no link is wrong; the radius decides how many are found.
+    Rows have a column key; rows that share one are equal. Rows with equal sets of shingles are one class, whatever their
+    number; texts without a word are one class too. Pairs of classes within the radius whose sketches agree are confirmed
+    by the exact similarity of their sets, so no link is wrong; the radius decides how many are found. A round asks about
+    each class's few smallest partners in other components and joins what is confirmed; the next asks four times as many,
+    until no class has a partner left that is neither asked about nor in its component. So a group is confirmed by about
+    as many pairs as it has classes, not by all its pairs, and no link between components is left out.
     """
     own = materialize(profiles(docs, width), "profiles")
-    classes = materialize(own.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("key").alias("key")), "classes")
-    pairs = materialize(candidates(classes.select("cls", "fp", "sketch"), radius), "candidates")
-    asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    chosen = asked.hint("merge").join(classes.select("cls", "key"), "cls")
+    total = own.count()
+    classes = materialize(own.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("key").alias("key"), F.count("*").alias("n")), "classes")
+    n_classes = classes.count()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["cls", "found"])
-
-    texts = docs.select("key", F.col("text").cast("string").alias("text")).hint("merge").join(chosen, "key").select("cls", "text").dropDuplicates(["cls"])
-    found = materialize(map_texts(texts, sets, "cls long, found array<long>"), "sets")  # grows with the documents: never broadcast, at any size
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, width)).astype("<u8").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["cls", "found"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (x, y))
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sides = pairs.hint("merge").join(found.select(F.col("cls").alias("a"), F.col("found").alias("x")), "a").hint("merge").join(found.select(F.col("cls").alias("b"), F.col("found").alias("y")), "b")
-    comp = components(map_texts(sides.select("a", "b", "x", "y"), confirm, "a long, b long"))
-    return own.select("key", "cls").join(comp.withColumnRenamed("node", "cls").hint("merge"), "cls", "left").select("key", F.coalesce("root", "cls").alias("component"))
+    def confirmed(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        """Roots (a, b) of the pairs whose sets are similar. A class that many ask about is sent in several copies."""
+        n = pairs.count()
+        askers = pairs.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") * HOT > n).select("b", (F.col("n") * HOT / n).cast("int").alias("copies"))  # HOT rows at most
+        salted = pairs.join(F.broadcast(askers), "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+        theirs = of.select(F.col("cls").alias("b"), F.col("found").alias("y")).join(F.broadcast(askers), "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+        sides = salted.hint("merge").join(of.select(F.col("cls").alias("a"), F.col("found").alias("x")), "a").hint("merge").join(theirs, ["b", "salt"])
+        return map_texts(sides.select("ra", "rb", "x", "y"), confirm, "a long, b long")
+
+    state = classes.select("cls", "fp", "sketch", F.col("cls").alias("root"), F.lit(-(1 << 63)).cast("long").alias("upto"), F.lit(True).alias("open"))
+    of, most, last = None, 4, None
+    while True:
+        found = materialize(candidates(state, radius, most + 1), "candidates")
+        if of is None:
+            touched = found.filter("a = b").select(F.col("a").alias("cls")).distinct()
+            wanted = touched.hint("merge").join(classes.select("cls", "key"), "cls")
+            texts = rows_of(docs.select("key", F.col("text").cast("string").alias("text")), wanted, hot_keys(own, total))
+            of = materialize(map_texts(texts.select("cls", "text"), sets, "cls long, found binary"), "sets")
+        ranks = found.filter("a != b").withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("b")))
+        pairs, asked = written(ranks.filter(F.col("nth") <= most + 1), "pairs")
+        told = pairs.groupBy("a").agg(F.max(F.when(F.col("nth") <= most, F.col("b"))).alias("told"), (F.max("nth") > most).alias("more"))
+        comp = components(confirmed(pairs.filter(F.col("nth") <= most).select("a", "b", "ra", "rb"), of))
+        sizes = state.groupBy(F.col("root").alias("old")).agg(F.count("*").alias("n"))
+        new = sizes.join(comp.withColumnRenamed("node", "old").withColumnRenamed("root", "new").hint("merge"), "old", "left").select("old", F.coalesce("new", "old").alias("new"), "n")
+        state = join_hot(state.withColumnRenamed("root", "old"), new, ["old"], n_classes).join(told.hint("merge"), F.col("cls") == F.col("a"), "left")
+        state, at = written(state.select("cls", "fp", "sketch", F.col("new").alias("root"), F.coalesce("told", "upto").alias("upto"), F.coalesce("more", F.lit(False)).alias("open")), "state")
+        discard(docs.sparkSession, asked)
+        if last:
+            discard(docs.sparkSession, last)
+        last, most = at, most * 4
+        if not state.filter("open").count():
+            break
+    named = classes.select("cls", "n").join(state.select("cls", "root").hint("merge"), "cls")
+    return join_hot(own.select("key", "cls"), named, ["cls"], total).select("key", F.col("root").alias("component"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,11 @@ BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
 _SPACES = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Marks that follow a word; letters below this character are letters in every version of Unicode.
+MARKS, LATIN_END = ".,;:!?", "\u0250"
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+BYTE_CHARS = {b: b for b in _PLAIN} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
 
@@ -32,7 +37,9 @@ class ChunkEncoder:
 
     The byte-level pattern always starts a new piece at a space that stands between two characters other than white
     space, so the ids of a text are those of its chunks in order. Chunks not seen yet are encoded together; the chunks'
-    own ids are found by the leading space that only their first tokens have. At most `limit` chunks are remembered.
+    own ids are found by the leading space that only their first tokens have. A chunk of letters is one piece of the
+    pattern, and a mark after it another, so these skip the pattern and go to the byte pairs alone. At most `limit`
+    chunks are remembered, in two generations: when the younger one is full the older one is forgotten.
     """
 
     def __init__(self, path: str, limit: int = 600_000):
@@ -41,36 +48,57 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.pairs = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.pairs.pre_tokenizer = None
         vocab = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.limit, self.seen = limit, {}
+        self.limit, self.seen, self.older = limit, {}, {}
+        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        letters, marked, others = [], [], []
+        for c in new:
+            core = c[:-1] if c[-1:] in self.marks else c
+            if core.isalpha() and (core.isascii() or max(core) < LATIN_END):
+                if core is not c:
+                    marked.append(c)
+                    if core in self.seen:
+                        continue
+                letters.append(core)
+            else:
+                others.append(c)
+        letters = list(dict.fromkeys(letters))
+        self._learn_lines(letters, 100, lambda x: self.pairs.encode_batch_fast([t.encode().decode("latin-1").translate(BYTE_CHARS) for t in x], add_special_tokens=False))
+        self._learn_lines(others, 20, lambda x: self.tokenizer.encode_batch_fast(x, add_special_tokens=False))
+        self.seen.update((c, self.seen[c[:-1]] + self.marks[c[-1]]) for c in marked)
+
+    def _learn_lines(self, new: list[str], together: int, code: Callable) -> None:
+        """Encodes lines of a few chunks each. A line that holds other spaces or special tokens is taken apart."""
+        lines = [new[at : at + together] for at in range(0, len(new), together)]
+        for line, e in zip(lines, code([" " + " ".join(x) for x in lines]), strict=True):
+            ids = np.array(e.ids, "<u4")
             cuts = np.flatnonzero(self.starts[ids])
-            if len(cuts) == len(part) and not cuts[0]:
-                raw, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
-                begin = 0
-                for chunk, end in zip(part, ends, strict=True):
+            if len(cuts) == len(line) and not cuts[0]:
+                raw, begin = ids.tobytes(), 0
+                for chunk, end in zip(line, [*(4 * cuts[1:]).tolist(), len(raw)], strict=True):
                     self.seen[chunk] = raw[begin:end]
                     begin = end
             else:
-                self.seen.update(zip(part, self._ids([" " + x for x in part]), strict=True))
+                self.seen.update(zip(line, self._ids([" " + x for x in line]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         parts = [_SAFE.split(x) if _SPACES.search(x) or x[:1].isspace() or x[-1:].isspace() else x.split(" ") for x in texts]
-        if len(self.seen) > self.limit:
-            self.seen.clear()
+        if 2 * len(self.seen) > self.limit:
+            self.older, self.seen = self.seen, {}
         fresh = set().union(*(p[1:] for p in parts)).difference(self.seen)
-        self._learn(list(fresh))
+        known = [c for c in fresh if c in self.older]
+        self.seen.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        self._learn(list(fresh.difference(known)))
         get = self.seen.__getitem__
         return [head + b"".join(map(get, p[1:])) for head, p in zip(self._ids([p[0] for p in parts]), parts, strict=True)]
 
