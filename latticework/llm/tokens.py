@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from latticework.llm.common import scratch_path, table
+from latticework.llm.common import map_texts, scratch_path, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
@@ -42,7 +42,7 @@ class ChunkEncoder:
     chunks are remembered, in two generations: when the younger one is full the older one is forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -115,13 +115,13 @@ def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id: int = END_ID, row_group_bytes: int = 16 << 20, page_bytes: int = 128 << 10) -> None:
-    """Writes doc_id, part, part_start, n_tokens and the list column tokens to `path`, in ascending doc_id order.
+    """Writes doc_id, part, part_start, n_tokens and the list column tokens to `path`/tokens, in ascending doc_id order, and how many ids come before each file to `path`/starts.
 
     Files follow each other in doc_id order (range partitioned), each sorted. Token lists are dictionary coded, the
     ascending columns delta coded; row groups and pages are small enough, and carry column and page indexes, that a
     reader fetches some documents' tokens, or the lengths alone, without the rest. part_start counts the ids before a
     document in its own file, so the whole order's starts need only one number per file. Null texts are empty; null
-    ids come first; rows that share an id are all kept, ordered by length and hash.
+    ids come first; rows that share an id are all kept, ordered by a hash of the text, and may fill several files.
     """
     vocab = vocabulary(tokenizer)
 
@@ -142,19 +142,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id:
                 )
                 before += int(n.sum())
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("text"), F.xxhash64("text"))
-    coded = ordered.select("doc_id", "text").mapInArrow(encode, "doc_id long, part int, part_start long, n_tokens long, tokens array<int>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ordered = texts.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})  # rows may share an id, and a text too
+    ordered = ordered.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h")
+    coded = map_texts(ordered.select("doc_id", "text"), encode, "doc_id long, part int, part_start long, n_tokens long, tokens array<int>")
     options = {"parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.enable.dictionary#tokens.list.element": "true", "parquet.dictionary.page.size": 1 << 20, "compression": "zstd"}
-    coded.write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
+    coded.write.options(**{k: str(v) for k, v in options.items()}).parquet(f"{path}/tokens")
+    per = docs.sparkSession.read.parquet(f"{path}/tokens").groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    ahead = (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead")  # a row per file
+    per.select("part", ahead).coalesce(1).write.parquet(f"{path}/starts")
 
 
 def read_tokens(spark: SparkSession, path: str, columns: tuple[str, ...] = ("doc_id", "start", "n_tokens", "tokens")) -> DataFrame:
-    """Reads files of write_tokens; start is the number of ids of all documents before. Unused columns aren't read."""
-    files = spark.read.parquet(path)
-    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    ahead = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))  # a row per file
-    near = files.join(F.broadcast(ahead), "part")  # as many rows as the writer had partitions
-    return near.withColumn("start", F.col("ahead") + F.col("part_start")).select(*columns)
+    """Reads files of write_tokens; start is the number of ids of all documents before. Unused columns, and files and pages that a filter on doc_id rules out, aren't read."""
+    files, starts = spark.read.parquet(f"{path}/tokens"), spark.read.parquet(f"{path}/starts")
+    if "start" in columns:
+        few = starts.count() < 1_000_000  # two numbers per file
+        files = files.join(F.broadcast(starts) if few else starts, "part").withColumn("start", F.col("ahead") + F.col("part_start"))
+    return files.select(*columns)
 
 
 def id_checksums(tokens: DataFrame) -> DataFrame:
@@ -163,11 +168,11 @@ def id_checksums(tokens: DataFrame) -> DataFrame:
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("tokens")
-            ids, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+            ids, at = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False).view(np.uint8)), (4 * lists.offsets.to_numpy().astype(np.int64)).tolist()
             sums = [zlib.crc32(ids[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_texts(tokens, crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
