@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from latticework.llm.common import materialize, table
+from latticework.llm.common import map_texts, materialize, table
 from latticework.llm.tokens import BYTE_BPE, encoder, slices, vocabulary
 
 CAPACITY = 2048
@@ -44,24 +44,39 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_BPE,
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(out), part, np.int64))], [*names, "part"])
 
     schema = "doc_id long, piece long, start long, length long, ids_crc32 long, nth long, part long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
 
 
-def patterns(counts: np.ndarray, capacity: int, triples: int = 60_000, seed: int = 5) -> list[tuple[int, ...]]:
-    """Patterns of two to four lengths that fill a sequence, counts[n] being how many pieces have n tokens."""
+def patterns(counts: np.ndarray, capacity: int, gap: int = 16) -> list[tuple[int, ...]]:
+    """All patterns of two and of three lengths, longest first, that fill a sequence but for `gap` tokens at most; counts[n] is how many pieces have n tokens.
+
+    For every choice of all lengths but the shortest, the shortest is the longest one there that fits; of the choices that
+    share their longest length, those that leave the least free are patterns. None is drawn; there are about
+    capacity**2 / 12 at most.
+    """
     have = np.flatnonzero(counts[:capacity])
-    there = counts > 0
-    out = {(capacity - n, n) for n in have.tolist() if 0 < n <= capacity - n and there[capacity - n]}
-    if len(have):
-        rng, p = np.random.default_rng(seed), counts[have] / counts[have].sum()
-        for parts in (2, 3):
-            drawn = rng.choice(have, size=(triples, parts), p=p)
-            rest = capacity - drawn.sum(axis=1)
-            ok = rest > 0
-            ok[ok] = there[rest[ok]]
-            rows = np.sort(np.column_stack([drawn[ok], rest[ok]]), axis=1)[:, ::-1]
-            out |= set(map(tuple, np.unique(rows, axis=0).tolist()))
-    return sorted(out)
+    have = have[have > 0]
+    if not len(have):
+        return []
+    most = have[np.maximum(0, np.searchsorted(have, np.arange(capacity), side="right") - 1)]  # the longest length there up to n
+    most[: have[0]] = 0
+
+    def closed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Rows of `first` with their shortest length, at most `last`, where little stays free."""
+        rest = capacity - first.sum(axis=1)
+        fits = rest > 0
+        first, rest, last = first[fits], rest[fits], last[fits]
+        end = most[np.minimum(rest, last)]
+        free = np.where(end > 0, rest - end, capacity)
+        least = np.full(capacity, capacity)
+        np.minimum.at(least, first[:, 0], free)
+        full = (free <= gap) & (free == least[first[:, 0]])
+        return np.column_stack([first[full], end[full]])
+
+    pairs = closed(have[:, None], have)
+    i, j = np.nonzero(np.tri(len(have), dtype=bool) & (have[:, None] + have[None] < capacity))
+    triples = closed(np.column_stack([have[i], have[j]]), have[j])
+    return [tuple(p) for p in (*pairs.tolist(), *triples.tolist())]
 
 
 def least_squares(use: list[tuple[int, ...]], counts: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -92,7 +107,7 @@ def least_squares(use: list[tuple[int, ...]], counts: np.ndarray, rounds: int =
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths with how many sequences use each; they hold exactly the histogram's pieces.
 
-    Fitted counts are rounded down, limited to what is there, and the residual pieces go, longest first, to the fullest
+    Fitted counts are rounded so that their running sum keeps within one, limited to what is there, and the residual pieces go, longest first, to the fullest
     sequence with room: sequences with equal room are one entry, so work depends on the capacity and not on the number
     of pieces. Full pieces stand alone.
     """
@@ -103,10 +118,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     left[capacity] = 0
     use = patterns(left, capacity)
     if use:
-        fitted = np.floor(least_squares(use, left) + 1e-6).astype(np.int64)
-        for k in np.argsort(-fitted, kind="stable"):
-            if not fitted[k]:
-                break
+        fitted = least_squares(use, left)
+        order = np.argsort(-fitted, kind="stable")
+        fitted[order] = np.diff(np.floor(np.cumsum(fitted[order]) + 1e-6), prepend=0.0)
+        for k in order[fitted[order] > 0]:
             need = Counter(use[k])
             times = min(int(fitted[k]), *(int(left[n]) // c for n, c in need.items()))
             if times > 0:
@@ -182,7 +197,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_BPE, e
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
-    ranked = own.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("ahead")).alias("rank"))
+    near = own.join(before.hint("merge"), ["part", "length"])  # tasks times lengths: grows with the documents
+    ranked = near.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("ahead")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
