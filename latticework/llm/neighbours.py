@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from latticework.llm.common import materialize, table
+from latticework.llm.common import discard, hash_share, materialize, table, written
 
 #: Vectors to set the bucket width by, at most about so many; chosen by a hash of the id.
 SAMPLE = 2000
@@ -33,8 +33,9 @@ class PStable:
         return low.astype(np.int64), y - low
 
     def keys(self, slots: np.ndarray) -> np.ndarray:
+        """Buckets as 32-bit numbers; two that share a number only share their candidates."""
         with np.errstate(over="ignore"):
-            return (slots * self.mix).sum(axis=-1)
+            return ((slots * self.mix).sum(axis=-1) >> 29).astype(np.uint32)
 
     def probes(self, place: np.ndarray, n: int) -> list[np.ndarray]:
         """Shifts of one table's slots, surest first: sets of single steps in order of the squared distances to the slots' borders, at most one step for a projection."""
@@ -66,17 +67,51 @@ def usable(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter("v is not null and vec_id is not null").filter(F.coalesce(fine, F.lit(False)))
 
 
-def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 4, bits: int = 6, probes: int = 130, spread: float = 1.47, chunk: int = 2048) -> DataFrame:
+class Chunk:
+    """A part of the classes: vectors, member ids, and each table's bucket numbers in order."""
+
+    def __init__(self, t: pa.Table, lsh: PStable):
+        self.x, self.ids = matrix(t.column("v").combine_chunks()), t.column("ids").to_pylist()
+        self.squares = (self.x * self.x).sum(axis=1)
+        keys = lsh.keys(lsh.slots(self.x)[0])
+        self.order = np.argsort(keys, axis=0, kind="stable")
+        self.keys = np.take_along_axis(keys, self.order, axis=0)
+
+    def candidates(self, wanted: np.ndarray) -> np.ndarray:
+        """Marks the vectors that any table's wanted buckets (tables by probes) hold, each once."""
+        marked = np.zeros(len(self.x), bool)
+        for t, w in enumerate(wanted):
+            own, order = self.keys[:, t], self.order[:, t]
+            lo, hi = np.searchsorted(own, w), np.searchsorted(own, w, side="right")
+            for i, j in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                marked[order[i:j]] = True
+        return marked
+
+    def nearest(self, q: np.ndarray, marked: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
+        """For each query the k nearest ids among its marked vectors. A matrix product finds those that can be among them; their distances are then taken exactly."""
+        rough = self.squares[None] + (q * q).sum(axis=1)[:, None] - 2 * q @ self.x.T
+        slack = 1e-9 * (1 + np.abs(rough).max(axis=1))
+        rough[~marked] = np.inf
+        cut = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1] + slack
+        out = []
+        for i in range(len(q)):
+            near = np.flatnonzero((rough[i] <= cut[i]) & marked[i])
+            exact = np.sqrt(((self.x[near] - q[i]) ** 2).sum(axis=1))
+            out.append(sorted((d, m) for d, j in zip(exact.tolist(), near, strict=True) for m in self.ids[j])[:k])
+        return out
+
+
+def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 4, bits: int = 6, probes: int = 130, spread: float = 1.47, chunk: int = 16_384, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, the rows whose vec_id `every` divides.
 
     Equal vectors are one class that keeps its k + 1 smallest ids, enough for any of its members. Each distinct query
     visits, in every table, its own bucket and those that small steps of its slots reach, in estimated success order.
-    Buckets are cut into chunks by hash, so that neither frequent vectors nor crowded buckets meet in one task. A task
-    measures its chunk's vectors exactly and keeps the k + 1 nearest for each query; these merge by query. Queries that
-    find fewer than k others, though there are more, meet all vectors in an exact scan by blocks. Rows whose
-    dimension isn't the commonest take no part; ids that are null, and rows without usable vectors, neither. The slot
-    width is `spread` times the distance within which nine tenths of a bounded sample have k neighbours, so that close
-    copies of some vectors don't narrow it for the others.
+    Classes are dealt to chunks by hash, so that neither frequent vectors nor crowded buckets meet in one task, and
+    queries to blocks; each block goes once to each chunk. A task marks what a query's buckets hold in its chunk, in all
+    tables together, measures it once and answers with the k + 1 nearest. Queries that find fewer than k others, though
+    there are more, are measured against all of every chunk. Rows whose dimension isn't the commonest take no part; ids
+    that are null, and rows without usable vectors, neither. The slot width is `spread` times the distance within which
+    nine tenths of a bounded sample have k neighbours, so that close copies of some vectors don't narrow it for the others.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -89,7 +124,7 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 4, b
     least = F.row_number().over(Window.partitionBy("vh", "v").orderBy("vec_id"))
     classes = rows.withColumn("n", least).filter(F.col("n") <= k + 1).groupBy("vh", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     classes = materialize(classes.select(F.col("vh").alias("c"), "v", "ids"), "classes")
-    sample = classes.filter(F.pmod(F.xxhash64("c", F.lit(5)), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, SAMPLE / n)))).select("v").toPandas()["v"]
+    sample = classes.filter(hash_share("c", max(2, SAMPLE) / n, 5)).select("v").toPandas()["v"]
     x = np.stack(sample) if len(sample) > 1 else np.ones((2, d))
     squares = (x * x).sum(axis=1)
     apart = squares[:, None] + squares[None] - 2 * x @ x.T
@@ -98,53 +133,48 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 4, b
     width = spread * float(np.quantile(np.sqrt(np.maximum(0, tenth)), 0.9)) or 1.0
     lsh = PStable(d, width, tables, bits)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = lsh.keys(lsh.slots(matrix(b.column("v")))[0])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(keys), pa.list_(pa.int64()))], ["c", "v", "ids", "keys"])
-
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             slots, places = lsh.slots(matrix(b.column("v")))
-            keys = [[[int(lsh.keys(s + shift)) for shift in lsh.probes(p, probes)] for s, p in zip(ss, ps, strict=True)] for ss, ps in zip(slots, places, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("v"), pa.array(keys, pa.list_(pa.list_(pa.int64())))], ["q", "v", "keys"])
+            keys = [np.stack([lsh.keys(s + np.stack(found)) if len(found := lsh.probes(p, probes)) == probes else np.resize(lsh.keys(s + np.stack(found)), probes) for s, p in zip(ss, ps, strict=True)]).astype("<u4").tobytes() for ss, ps in zip(slots, places, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("v"), pa.array(keys, pa.binary())], ["q", "v", "keys"])
 
     queries = rows.filter(F.col("vec_id") % every == 0).select("vec_id", F.col("vh").alias("c"), "v")
     same = queries.groupBy("c", "v").agg(F.min("vec_id").alias("q"))
-    asked = materialize(same.select("q", "v"), "queries")
-    members = classes.mapInArrow(index, "c long, v array<double>, ids array<long>, keys array<long>").select("c", "v", "ids", F.posexplode("keys").alias("t", "key"))
-    wanted = asked.mapInArrow(probe, "q long, v array<double>, keys array<array<long>>").select("q", "v", F.posexplode("keys").alias("t", "keys")).select("q", "v", "t", F.explode("keys").alias("key"))
-    members = materialize(members, "index")
-    many = members.groupBy("t", "key").agg((F.floor(F.count("*") / chunk) + 1).cast("int").alias("chunks"))
-    own = members.join(many, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("c", "t"), F.col("chunks"))).drop("chunks")
-    probing = wanted.hint("merge").join(many, ["t", "key"])  # Spark's estimate misses the probes, so it would broadcast them
-    probing = probing.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))).drop("chunks")
-
-    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"q": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            q, x = (matrix(t.column("v").combine_chunks()) for t in (left, right))
-            ids, asking = right.column("ids").to_pylist(), left.column("q").to_pylist()
-            for i in range(len(q)):
-                dist = np.sqrt(((x - q[i]) ** 2).sum(axis=1))
-                cut = np.partition(dist, min(k, len(dist) - 1))[min(k, len(dist) - 1)]
-                found = sorted((dist[j], m) for j in np.flatnonzero(dist <= cut) for m in ids[j])[: k + 1]
-                for s, m in found:
-                    out["q"].append(asking[i]), out["vec_id"].append(m), out["score"].append(s)
-        return pa.table({"q": pa.array(out["q"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
-
-    keys = ["t", "key", "part"]
-    near = probing.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(rerank, "q long, vec_id long, score double").distinct()
-    near = materialize(near, "near")
+    asked, at = written(same.select("q", "v"), "queries")
+    n_asked, n_classes = asked.count(), classes.count()
+    asked = materialize(asked.repartition(max(8, n_asked // 2048), "q").mapInArrow(probe, "q long, v array<double>, keys binary"), "probes")
+    discard(spark, at)
+
+    def answer(whole: bool):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = {"q": [], "vec_id": [], "score": []}
+            if left.num_rows and right.num_rows:
+                part = Chunk(right, lsh)
+                q, asking = matrix(left.column("v").combine_chunks()), left.column("q").to_pylist()
+                wanted = left.column("keys").to_pylist()
+                step = max(1, (1 << 22) // len(part.x))
+                for i in range(0, len(q), step):
+                    marked = np.ones((len(q[i : i + step]), len(part.x)), bool) if whole else np.stack([part.candidates(np.frombuffer(w, "<u4").reshape(tables, -1)) for w in wanted[i : i + step]])
+                    for name, found in zip(asking[i : i + step], part.nearest(q[i : i + step], marked, k + 1), strict=True):
+                        for s, m in found:
+                            out["q"].append(name), out["vec_id"].append(m), out["score"].append(s)
+            return pa.table({"q": pa.array(out["q"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+
+        return run
+
+    def against_chunks(some: DataFrame, n_some: int, whole: bool) -> DataFrame:
+        parts, blocks = max(-(-n_classes // chunk), min(16, n_classes // 512 + 1)), n_some // block + 1
+        every_part, every_block = (F.explode(F.sequence(F.lit(0), F.lit(m - 1))) for m in (parts, blocks))
+        left = some.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("part", every_part)
+        right = classes.select("v", "ids", F.pmod(F.xxhash64("c", F.lit(9)), F.lit(parts)).cast("int").alias("part")).withColumn("block", every_block)
+        return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(answer(whole), "q long, vec_id long, score double")
+
+    near = materialize(against_chunks(asked, n_asked, False), "near")
     most = F.least(F.lit(k + 1).cast("long"), F.lit(n))  # a query finds itself too
-    short = materialize(asked.join(near.groupBy("q").agg(F.count("*").alias("had")), "q", "left").filter(F.coalesce("had", F.lit(0)) < most).select("q", "v"), "short")
-    left = short.count()
-    if left:  # an exact scan: blocks of the short queries meet all blocks of classes
-        parts, blocks = n // chunk + 1, left // chunk + 1
-        side = short.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        every_class = classes.withColumn("part", F.pmod(F.xxhash64("c", F.lit(9)), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        scanned = side.groupBy("part", "block").cogroup(every_class.groupBy("part", "block")).applyInArrow(rerank, "q long, vec_id long, score double")
-        near = near.join(short.select("q").hint("merge"), "q", "left_anti").unionByName(scanned)
+    short = materialize(asked.join(near.groupBy("q").agg(F.count("*").alias("had")), "q", "left").filter(F.coalesce("had", F.lit(0)) < most).select("q", "v", "keys"), "short")
+    if left := short.count():
+        near = near.join(short.select("q").hint("merge"), "q", "left_anti").unionByName(against_chunks(short, left, True))
     first = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
     best = near.withColumn("n", first).filter(F.col("n") <= k + 1).drop("n")
     members_of = queries.withColumnRenamed("vec_id", "query_id").distinct().join(same, ["c", "v"]).select("query_id", "q")
