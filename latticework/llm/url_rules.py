@@ -33,29 +33,50 @@ def fixed_rules(df: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES)
     return df.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
-def tokens(host: Column, path: Column) -> Column:
-    """A url's items: every suffix of its host, its first label, its path's first parts, and whether the path ends in / or an extension."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(4))), lambda n: F.concat(F.lit("host:"), F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")))
-    parts = F.filter(F.slice(F.split(path, "/"), 2, 3), lambda x: x != "")
-    segments = F.transform(parts, lambda x, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"), F.regexp_replace(x, r"\d+", "0")))
-    shape = F.array(F.concat(F.lit("first:"), F.get(labels, F.lit(0))), F.concat(F.lit("end:"), F.regexp_extract(path, r"(/|\.[A-Za-z]+)$", 1)))
-    return F.array_distinct(F.concat(suffixes, segments, shape))
+def tokens(url: Column, host: Column, path: Column) -> Column:
+    """A url's items: every suffix of its host and each of its labels, each part of its path and the first once more as such, whether the path ends in / or an extension, and the names in its query. Digits count as 0."""
+    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
+    suffixes = F.transform(labels, lambda x, i: F.concat(F.lit("host:"), F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")))
+    single = F.transform(labels, lambda x: F.concat(F.lit("label:"), F.regexp_replace(x, r"\d+", "0")))
+    parts = F.filter(F.split(F.regexp_replace(path, r"\d+", "0"), "/"), lambda x: x != "")
+    segments = F.transform(parts, lambda x: F.concat(F.lit("path:"), x))
+    query = F.filter(F.split(F.regexp_replace(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), r"\d+", "0"), "&"), lambda x: x != "")
+    names = F.transform(query, lambda x: F.concat(F.lit("query:"), F.substring_index(x, "=", 1)))
+    shape = F.array(F.concat(F.lit("first:"), F.coalesce(F.get(parts, F.lit(0)), F.lit(""))), F.concat(F.lit("end:"), F.regexp_extract(path, r"(/|\.[A-Za-z]+)$", 1)))
+    return F.array_distinct(F.concat(suffixes, single, segments, names, shape))
 
 
 def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.6, longest: int = 3) -> list[tuple[frozenset[str], str, float, float]]:
     """Rules (items, verdict, confidence, support) from rows of items and label.
 
-    FP-growth runs on Spark over all labelled rows. A rule's support is a share of the rows and a row has some ten
-    items, so 10 / support single items and their combinations bound what reaches the driver, whatever the row count.
+    Single items are counted first. One that always comes with the same verdict is a rule by itself, and no larger one
+    that holds it can be surer; of items that stand in the very same rows, which a sum of the rows' hashes tells, the
+    smallest speaks for all. FP-growth runs on Spark over all labelled rows and the items left, so long urls with fixed
+    parts make few sets. Supports are shares of the rows, so mean items of a row / support bounds the single items that
+    reach the driver, whatever the row count.
     """
-    baskets = labelled.select(F.concat("items", F.array(F.concat(F.lit("verdict="), F.col("label")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.filter(F.get("consequent", F.lit(0)).startswith("verdict=") & (F.size("antecedent") <= longest) & ~F.exists("antecedent", lambda x: x.startswith("verdict=")))
-    got = [(frozenset(r["antecedent"]), r["consequent"][0].removeprefix("verdict="), r["confidence"], r["support"]) for r in rules.collect()]
+    n = labelled.count()
+    if not n:
+        return []
+    flat = labelled.withColumn("row", F.xxhash64("items", "label", F.monotonically_increasing_id())).select("label", "row", F.explode("items").alias("item"))
+    per = flat.groupBy("item", "label").agg(F.count("*").alias("n"), F.sum(F.col("row").cast("decimal(38,0)")).alias("rows"))
+    per = per.groupBy("item").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("label"), F.sum("rows").alias("rows")).filter(F.col("n") >= support * n)
+    single = per.collect()  # frequent items only
+    got = [(frozenset([r["item"]]), r["label"], r["most"] / r["n"], r["most"] / n) for r in single if r["most"] >= max(confidence * r["n"], support * n)]
+    speaks: dict = {}
+    for r in sorted(single, key=lambda r: r["item"]):
+        if r["most"] < r["n"]:
+            speaks.setdefault((r["n"], r["rows"]), r["item"])
+    left = list(speaks.values())
+    if left:
+        kept = F.filter("items", lambda x: x.isin(left))
+        baskets = labelled.select(F.concat(kept, F.array(F.concat(F.lit("verdict="), F.col("label")))).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+        rules = model.associationRules.filter(F.get("consequent", F.lit(0)).startswith("verdict=") & (F.size("antecedent") <= longest) & ~F.exists("antecedent", lambda x: x.startswith("verdict=")))
+        got += [(frozenset(r["antecedent"]), r["consequent"][0].removeprefix("verdict="), r["confidence"], r["support"]) for r in rules.collect()]
     best = {}
     for r in sorted(got, key=lambda r: (len(r[0]), -r[2], -r[3], sorted(r[0]))):  # a rule stays if no part of it is as sure
-        if not any(part < r[0] and v == r[1] and c >= r[2] for (part, v), (c, _) in best.items()):
+        if (r[0], r[1]) not in best and not any(part < r[0] and v == r[1] and c >= r[2] for (part, v), (c, _) in best.items()):
             best[r[0], r[1]] = (r[2], r[3])
     return [(items, v, c, s) for (items, v), (c, s) in best.items()]
 
@@ -65,12 +86,13 @@ def judge(pages: DataFrame, support: float = 0.01, confidence: float = 0.6, defa
 
     The fixed rules label what they fit; association rules mined from these labels judge the rest, through an inverted
     index from item to rules: the surest rule whose items are all there, then the one of most support, then of most
-    items. Urls that no rule fits, null, empty and malformed ones too, get `default`. Equal rows are judged alike.
+    items, then the first by name. Urls that no rule fits, null, empty and malformed ones too, get `default`. Equal rows
+    are judged alike, and urls of any length by all their items.
     """
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     df = pages.select(F.col("page_id").alias("page_id"), url.alias("url"))
     host, path = url_parts(F.col("url"))
-    df = fixed_rules(df.select("page_id", host.alias("host"), path.alias("path"))).withColumn("items", tokens(F.col("host"), F.col("path")))
+    df = fixed_rules(df.select("page_id", host.alias("host"), path.alias("path"), "url")).withColumn("items", tokens(F.col("url"), F.col("host"), F.col("path")))
     labelled = df.filter("rule is not null").select("items", F.col("rule_verdict").alias("label"))
     rules = sorted(mine(labelled, support, confidence), key=lambda r: (-r[2], -r[3], -len(r[0]), sorted(r[0])))
     index = defaultdict(list)
