@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,8 @@ from pyspark.sql import types as T
 
 from latticework.llm.common import bounded_sample, id_remainder, map_texts, table
 
-TERMS = 2048
+PAIRS, WORDS = 1216, 800
+TERMS = PAIRS + WORDS + 32
 DIMENSIONS = 48
 #: Labelled documents that vote, at most about so many; chosen by a hash of the id, so the broadcast stays near 1 MB.
 SAMPLE = 4000
@@ -21,22 +24,36 @@ THRESHOLD = 0.7
 
 
 def terms(text: str) -> np.ndarray:
-    """Damped counts of a text's terms: hashed byte pairs, plus hashed words that come again, by how often."""
+    """Damped counts of a text's terms: byte pairs and words, hashed into buckets, and two marks of repetition: how often a word follows itself, and a pair of words comes again."""
     raw = text.encode("utf-8", "surrogatepass")
     out = np.zeros(TERMS, np.float32)
     b = np.frombuffer(raw, np.uint8).astype(np.uint32)
     if len(b) > 1:
-        pairs = np.bincount((b[:-1] * np.uint32(257) + b[1:] * np.uint32(7919)) % np.uint32(TERMS - 64), minlength=TERMS - 64)
-        out[: TERMS - 64] = np.sqrt(pairs / len(b))
+        pairs = np.bincount((b[:-1] * np.uint32(257) + b[1:] * np.uint32(7919)) % np.uint32(PAIRS), minlength=PAIRS)
+        out[:PAIRS] = np.sqrt(pairs / len(b))
     words = raw.split()
     if words:
+        counts = Counter(words)
+        at = np.fromiter(map(crc32, counts), np.uint32, len(counts)) % np.uint32(WORDS)
+        found = np.bincount(at, np.fromiter(counts.values(), float, len(counts)), WORDS)
+        out[PAIRS : PAIRS + WORDS] = 0.5 * np.sqrt(found / len(words))
         runs = sum(map(bytes.__eq__, words[:-1], words[1:])) / len(words)
         spread = 1 - len(set(zip(words[:-1], words[1:], strict=True))) / max(1, len(words) - 1)
         for k, x in enumerate((runs, spread)):
-            out[TERMS - 64 + 16 * k + min(15, int(x * 16))] = 0.5
+            out[PAIRS + WORDS + 16 * k + min(15, int(x * 16))] = 0.5
     return out
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Marks each row's k largest similarities; of equal ones at the last place, those of the first voters."""
+    least = np.partition(near, near.shape[1] - k, axis=1)[:, -k][:, None]
+    marked, equal = near > least, near == least
+    free = k - marked.sum(axis=1)
+    for i in np.flatnonzero(equal.sum(axis=1) > free):
+        equal[i, np.flatnonzero(equal[i])[free[i] :]] = False
+    return marked | equal
+
+
 class Votes:
     """Term weights, the projection to latent dimensions, and the voters' unit vectors and labels. Fitting works in place on the rows, some 30 MB."""
 
@@ -64,10 +81,9 @@ class Votes:
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(texts), block):
             x = self.unit(np.array([terms(t) for t in texts[at : at + block]]) * self.weight)
-            near = self.unit(x @ self.axes) @ self.voters.T
-            top = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
-            power = np.maximum(1e-6, np.take_along_axis(near, top, axis=1)) ** 8
-            out[at : at + block] = (power * self.labels[top]).sum(axis=1) / power.sum(axis=1)
+            near = np.round(self.unit(x @ self.axes) @ self.voters.T, 5)
+            power = np.where(nearest(near, k), np.maximum(1e-6, near), 0.0) ** 8
+            out[at : at + block] = (power * self.labels).sum(axis=1) / power.sum(axis=1)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -93,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Votes | None
 
 
 def score(docs: DataFrame, model: Votes | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, then score for each row from the text alone. Null and empty texts meet all voters alike and get the share of good ones; so does all if nothing could be learned (then 1)."""
+    """The columns `keep`, then score for each row from the text alone. Null and empty texts meet all voters alike and get the share of good ones; so does all if nothing could be learned (then 1). Similarities are rounded, so that ties fall alike in any batch; voters equally near at the last place vote in the order of their ids."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
