@@ -14,9 +14,9 @@ COMMON_WORDS = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es"],
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par", "plus", "pas", "au", "sur"],
 }
-#: Lower-case letters, upper-case letters, digits, white space, sentence marks, other marks.
-CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"\s", r"[.,;:!?'\"()\-]")
-SYMBOLS = r"[#*$%&|<>]"
+#: Upper-case letters, digits, sentence marks; lower-case letters come before them, white space and all else after.
+CLASSES = (r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'\"()\-]")
+SYMBOLS = "#*$%&|<>"
 
 
 def let(value: Column, body) -> Column:
@@ -27,39 +27,56 @@ def let(value: Column, body) -> Column:
 def repeat_words(words: Column) -> Column:
     """How many words stand in a 3-word window that occurs twice or more in the text, the first included.
 
-    Windows are ordered by the hash of their words; those with an equal neighbour occur again. Their positions, in
-    order, cover min(3, gap to the next) words each.
+    Windows are hashed. Only where some are equal are they put in order with their positions: those with an equal
+    neighbour occur again, and their positions, in order, cover min(3, gap to the next) words each.
     """
-    hashes = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) < 3, F.array().cast("array<struct<h:bigint,p:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).alias("h"), i.cast("int").alias("p")))))
-    same = let(F.array_sort(hashes), lambda s: F.transform(F.filter(s, lambda x, i: F.coalesce((F.get(s, i - 1)["h"] == x["h"]), F.lit(False)) | F.coalesce((F.get(s, i + 1)["h"] == x["h"]), F.lit(False))), lambda x: x["p"]))
-    return let(F.array_sort(same), lambda p: F.aggregate(F.transform(p, lambda x, i: F.coalesce(F.least(F.get(p, i + 1) - x, F.lit(3)), F.lit(3))), F.lit(0), lambda a, x: a + x)).cast("long")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    windows = let(hashes, lambda h: F.slice(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))), 1, F.greatest(F.size(h) - 2, F.lit(0))))
+    again = lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
+    covered = lambda p: F.aggregate(F.transform(p, lambda x, i: F.coalesce(F.least(F.get(p, i + 1) - x, F.lit(3)), F.lit(3))), F.lit(0), lambda a, x: a + x)
+    placed = lambda w: F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.cast("int").alias("p"))))
+    count = lambda w: let(F.sort_array(let(placed(w), lambda s: F.transform(again(s), lambda x: x["p"]))), covered)
+    return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(count(w))).cast("long")
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, text, words and the counts of the plain rules. A null text has no word, line or symbol."""
+    """doc_id, lang, text, words, rest and the counts of the plain rules. A null text has no word, line or symbol. rest is the text without white space and lower-case letters."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    out = docs.select(F.col("doc_id").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"), words.alias("words"))
+    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(WORD))
+    out = docs.select(F.col("doc_id").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
+    out = out.select("*", words.alias("words"), F.regexp_replace("text", r"[\x20\x09-\x0D\p{Ll}]+", "").alias("rest"))
     n_dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
     return out.select(
         "*",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length("rest") - F.length(F.translate("rest", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         n_dup.alias("n_dup_lines"),
         repeat_words(F.col("words")).alias("n_repeat_words"),
     )
 
 
+def known_words(references: dict[str, list[str]] = COMMON_WORDS) -> list[str]:
+    return sorted({w for x in references.values() for w in x})
+
+
 def histograms(df: DataFrame, references: dict[str, list[str]] = COMMON_WORDS) -> DataFrame:
-    """Adds chars, the counts of the character classes, the last for all else, and hits, the text's words that are common in any language."""
-    counts = [F.regexp_count("text", F.lit(c)).cast("double") for c in CLASSES]
-    df = df.withColumn("counted", F.array(*counts)).withColumn("chars", F.concat("counted", F.array(F.greatest(F.lit(0.0), F.length("text") - sum((F.get("counted", F.lit(i)) for i in range(1, len(counts))), F.get("counted", F.lit(0)))))))
-    known = sorted({w for x in references.values() for w in x})
-    hits = F.filter(F.transform("words", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?"))), lambda w: w.isin(known))
-    df = df.withColumn("hits", hits)
-    return df.drop("counted")
+    """Adds chars, the counts of the character classes (lower case, CLASSES, white space, all else), and hits, how often each known word comes in the text, in order.
+
+    The common words are put in one string, each between spaces of its own; what taking one out shortens it by tells its
+    number.
+    """
+    own = [F.length("rest") - F.length(F.regexp_replace("rest", f"(?:{c})+", "")) for c in CLASSES]
+    chars = [F.col("word_chars") - F.length("rest"), *own, F.length("text") - F.col("word_chars")]
+    df = df.withColumn("chars", F.array(*[c.cast("double") for c in chars]))
+    df = df.withColumn("chars", F.concat("chars", F.array(F.length("text") - F.aggregate("chars", F.lit(0.0), lambda s, x: s + x))))
+    known = known_words(references)
+    plain = lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?"))
+    common = F.transform(F.filter("words", lambda w: plain(w).isin(known)), plain)
+    df = df.withColumn("common", F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" ")))
+    times = [((F.length("common") - F.length(F.replace("common", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int") for w in known]
+    return df.withColumn("hits", F.array(*times)).drop("common", "rest")
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -73,23 +90,29 @@ def shares(counts: Column) -> Column:
     return let(counts, lambda c: let(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), lambda t: F.transform(c, lambda x: F.when(t > 0, x / t).otherwise(0.0))))
 
 
-def word_shares(hits: Column, n_words: Column, words: list[str]) -> Column:
+def word_shares(hits: Column, n_words: Column, words: list[str], known: list[str]) -> Column:
     """Shares of each of the words, the last for all other words."""
-    own = F.transform(F.array(*map(F.lit, words)), lambda k: F.size(F.filter(hits, lambda w: w == k)).cast("double"))
-    return let(own, lambda c: F.transform(F.concat(c, F.array(F.greatest(F.lit(0.0), n_words - F.aggregate(c, F.lit(0.0), lambda s, x: s + x)))), lambda x: x / F.greatest(F.lit(1.0), n_words.cast("double"))))
+    own = [F.get(hits, F.lit(known.index(w))).cast("double") for w in words]
+    rest = F.greatest(F.lit(0.0), n_words - total(hits, words, known))
+    return let(F.greatest(F.lit(1.0), n_words.cast("double")), lambda n: F.array(*[c / n for c in own], rest / n))
+
+
+def total(hits: Column, words: list[str], known: list[str]) -> Column:
+    out = F.lit(0)
+    for w in words:
+        out = out + F.get(hits, F.lit(known.index(w)))
+    return out
 
 
 def language_references(digest: DataFrame, references: dict[str, list[str]] = COMMON_WORDS) -> dict[str, tuple[list[float], list[float]]]:
     """Per language: the means of the character classes' shares over its digests of 50 words and more, and the shares of its common words in all their words."""
-    h = digest.filter(F.col("lang").isin(list(references)) & (F.col("n_words") >= 50))
-    share = h.withColumn("share", shares(F.col("chars")))
-    n = len(CLASSES) + 1
-    chars = share.groupBy("lang").agg(F.sum("n_words").alias("words"), *[F.avg(F.get("share", F.lit(i))).alias(f"c{i}") for i in range(n)]).collect()  # a row per language
-    seen = h.select("lang", F.explode("hits").alias("w")).groupBy("lang", "w").count().collect()  # languages times listed words at most
-    count = {(r["lang"], r["w"]): r["count"] for r in seen}
+    h = digest.filter(F.col("lang").isin(list(references)) & (F.col("n_words") >= 50)).withColumn("share", shares(F.col("chars")))
+    n, known = len(CLASSES) + 3, known_words(references)
+    sums = [F.sum(F.get("hits", F.lit(k))).alias(f"w{k}") for k in range(len(known))]
+    rows = h.groupBy("lang").agg(F.sum("n_words").alias("words"), *[F.avg(F.get("share", F.lit(i))).alias(f"c{i}") for i in range(n)], *sums).collect()  # a row per language
     out = {}
-    for r in chars:
-        own = [count.get((r["lang"], w), 0) / r["words"] for w in references[r["lang"]]]
+    for r in rows:
+        own = [r[f"w{known.index(w)}"] / r["words"] for w in references[r["lang"]]]
         out[r["lang"]] = ([r[f"c{i}"] for i in range(n)], [*own, 1 - sum(own)])
     return out
 
@@ -108,8 +131,8 @@ def judge(docs: DataFrame, references: dict[str, list[str]] = COMMON_WORDS, char
     df = df.withColumn("base_failed", failed)
     names = sorted(ref)
     if names:
-        among = lambda own: F.size(F.filter("hits", lambda w: w.isin(own)))
-        hit = [among(references[n]) for n in names]
+        known = known_words(references)
+        hit = [total(F.col("hits"), references[n], known) for n in names]
         best = F.greatest(*hit) if len(hit) > 1 else hit[0]
         nearest = F.lit(names[-1])
         for n, h in reversed(list(zip(names, hit, strict=True))):
@@ -117,7 +140,7 @@ def judge(docs: DataFrame, references: dict[str, list[str]] = COMMON_WORDS, char
         df = df.withColumn("nearest", nearest).withColumn("char_shares", shares(F.col("chars")))
         pick = lambda f: F.coalesce(*[F.when(F.col("nearest") == n, f(n)) for n in names])
         df = df.withColumn("char_distance", pick(lambda n: divergence(F.col("char_shares"), F.array(*map(F.lit, ref[n][0])))))
-        df = df.withColumn("word_distance", pick(lambda n: divergence(word_shares(F.col("hits"), F.col("n_words"), references[n]), F.array(*map(F.lit, ref[n][1])))))
+        df = df.withColumn("word_distance", pick(lambda n: divergence(word_shares(F.col("hits"), F.col("n_words"), references[n], known), F.array(*map(F.lit, ref[n][1])))))
     else:
         df = df.withColumns({"nearest": F.lit(None).cast("string"), "char_distance": F.lit(0.0), "word_distance": F.lit(0.0)})
     close = (F.col("char_distance") <= char_limit) & ((F.col("n_words") < word_guard) | (F.col("word_distance") <= word_limit))
@@ -130,16 +153,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     listed = ", ".join(f"('{n}', {k}, '{w}')" for n, words in COMMON_WORDS.items() for k, w in enumerate(words))
-    counts = ", ".join(f"CAST(len(regexp_extract_all(t, '{c.replace(chr(39), chr(39) * 2)}')) AS DOUBLE)" for c in CLASSES)
+    counts = ", ".join(f"CAST(len(regexp_extract_all(t, '{c.replace(chr(39), chr(39) * 2)}')) AS DOUBLE)" for c in (r"\p{Ll}", *CLASSES, r"[\x20\x09-\x0D]"))
     divergence = "sqrt(greatest(0.0, sum(CASE WHEN p>0 THEN p*log2(2*p/(p+q))/2 ELSE 0 END + CASE WHEN q>0 THEN q*log2(2*q/(p+q))/2 ELSE 0 END)))"
     return rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
-ws AS MATERIALIZED (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x<>'') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines, [{counts}] AS c FROM d),
+ws AS MATERIALIZED (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x<>'') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, [{counts}] AS c FROM d),
 pos AS (SELECT r, unnest(words) AS w, unnest(range(1, len(words)+1)) AS p FROM ws),
 win AS (SELECT r, p, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM pos WINDOW o AS (PARTITION BY r ORDER BY p)),
 twice AS (SELECT r, p, count(*) OVER (PARTITION BY r, w, w2, w3) AS n FROM win WHERE w3 IS NOT NULL),
 rep AS (SELECT r, count(DISTINCT p+k) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) v(k) WHERE n>1 GROUP BY r),
-base AS MATERIALIZED (SELECT ws.r, doc_id, lang, len(words) AS n_words, length(regexp_replace(t, '[ 	-]+', '', 'g')) AS word_chars, length(t)-length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(lines)-len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, list_append(c, greatest(0.0, length(t)-list_sum(c))) AS chars FROM ws LEFT JOIN rep ON ws.r=rep.r),
+base AS MATERIALIZED (SELECT ws.r, doc_id, lang, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t)-length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(lines)-len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, list_append(c, greatest(0.0, length(t)-list_sum(c))) AS chars FROM ws LEFT JOIN rep ON ws.r=rep.r),
 ref AS (SELECT * FROM (VALUES {listed}) v(ln, k, word)),
 cnt AS MATERIALIZED (SELECT r, ln, k, count(*) AS n FROM pos JOIN ref ON rtrim(lower(w), '.,;:!?')=word GROUP BY ALL),
 sh AS MATERIALIZED (SELECT r, lang, n_words, unnest(range(0, len(chars))) AS i, unnest(list_transform(chars, lambda x: CASE WHEN list_sum(chars)>0 THEN x/list_sum(chars) ELSE 0.0 END)) AS p FROM base),
