@@ -12,14 +12,22 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the codes know for sure; und and ambiguous ones go. lang becomes the prediction."""
+    """Keeps documents in a language that the codes know for sure; und and ambiguous ones go. lang becomes the prediction.
+
+    Null, empty and blank texts and texts without a letter are und and go. Each row is judged by its whole text alone, of
+    any length, so repeated rows and ties fare alike; null ids and sources change nothing. An empty table stays empty.
+    """
     model = langid.fit(docs.filter(id_remainder("doc_id", 5) != 0))
     found = langid.predict(docs, model, keep=COLUMNS)
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the votes call good."""
+    """Keeps documents that the votes call good.
+
+    Null and empty texts get the share of good labels and go or stay by it; where no label meets a document, all stay.
+    Each row is judged by its whole text alone, so repeated rows and ties fare alike.
+    """
     model = quality_votes.fit(docs, table(spark, sf_dir, "labels").filter(id_remainder("doc_id", 4) != 2))
     return quality_votes.score(docs, model, keep=COLUMNS).filter(F.col("score") >= quality_votes.THRESHOLD).select(*COLUMNS)
 
@@ -39,7 +47,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; those it leaves out go. Rows that share an id are mixed each by itself; equal rows share what is taken of them."""
+    """Repeats each document as often as the mix takes it; those it leaves out go.
+
+    Rows that share an id are mixed each by itself; equal rows come once for each copy that is taken of any of them. Null
+    and blank texts have no word, so none is taken and they go. Null sources are one source. Lengths are counted whole.
+    """
     keyed = docs.select(*COLUMNS, row_hash().alias("key"))
     taken = mixing.mix(keyed.select(F.col("key").alias("doc_id"), "text", "source")).groupBy("doc_id").agg(F.sum("copies").alias("copies")).filter("copies > 0")
     taken = materialize(taken.select(F.col("doc_id").alias("key"), "copies"), "taken")  # grows with the documents: never broadcast, at any size
@@ -48,7 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, copies too, with their sequences and offsets."""
+    """Pieces of all documents, copies too, with their sequences and offsets. Null and empty texts hold the end id alone; very long ones make several pieces; rows that share an id are packed one by one."""
     return packing.pack(docs)
 
 
@@ -59,7 +71,7 @@ STAGES = [
     ("mixing sources to target weights", mix_sources),
     ("best-fit packing", pack_sequences),
 ]
-#: Its models, hashes of shingles and token ids can't be told in SQL; tests/llm holds it against brute force.
+#: Its models, hashes of shingles and token ids can't be told in SQL; tests/llm/test_pipeline.py holds each stage against a plain version of its decision.
 ORACLE_SQL = None
 
 

@@ -59,3 +59,44 @@ def test_mine_prunes(spark):
     rows = [(["a", "b"], "block")] * 8 + [(["a"], "allow")] * 2 + [(["c"], "allow")] * 10
     rules = url_rules.mine(spark.createDataFrame(rows, "items array<string>, label string"), 0.1, 0.7)
     assert {(tuple(sorted(r[0])), r[1]) for r in rules} == {(("a",), "block"), (("b",), "block"), (("c",), "allow")}
+
+
+def test_recall_of_more_vectors(spark):
+    sf = "/root/testdata/sf0.1"
+    got = neighbours.op5_probed_neighbours(spark, sf).toPandas()
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    x, ids = np.stack(e["embedding"]).astype(float), e["vec_id"].to_numpy()
+    hit = total = 0
+    for q, v in zip(ids, x, strict=True):
+        if q % 100 == 0:
+            d = np.sqrt(((x - v) ** 2).sum(axis=1))
+            near = [ids[k] for k in np.lexsort((ids, d)) if ids[k] != q][:10]
+            hit, total = hit + len(set(near) & set(got[got["query_id"] == q]["vec_id"])), total + 10
+    assert total and hit / total >= 0.9
+
+
+def test_every_url_is_judged_as_by_every_rule(spark):
+    """The inverted index against each rule in turn, on whole urls with deep paths, long hosts and queries."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    deep = [(10_000 + k, f"http://a.b.c.d.e.{h}/x/y/z/{w}/1?{q}=1&z#f") for k, (h, w, q) in enumerate((h, w, q) for h in ("net", "io") for w in ("ads", "news") for q in ("ref", "id") for _ in range(9))]
+    pages = pages.unionByName(spark.createDataFrame(deep, "page_id long, url string"))
+    host, path = url_rules.url_parts(url_rules.F.col("url"))
+    df = url_rules.fixed_rules(pages.select("page_id", "url", host.alias("host"), path.alias("path")))
+    rows = df.withColumn("items", url_rules.tokens(url_rules.F.col("url"), url_rules.F.col("host"), url_rules.F.col("path"))).collect()
+    items = {r["page_id"]: set(r["items"]) for r in rows}
+    assert {"path:ads", "path:x", "first:x", "host:net", "host:a.b.c.d.e.net", "label:a", "query:ref", "query:z"} <= items[10_000]
+    labelled = [(items[r["page_id"]], r["rule_verdict"]) for r in rows if r["rule"]]
+    mined = url_rules.mine(spark.createDataFrame([(sorted(i), v) for i, v in labelled], "items array<string>, label string"))
+    assert mined
+    for found, verdict, confidence, support in mined:
+        own = [v for i, v in labelled if found <= i]
+        assert confidence == pytest.approx(own.count(verdict) / len(own)) and support == pytest.approx(own.count(verdict) / len(labelled)) and confidence >= 0.6
+    mined.sort(key=lambda r: (-r[2], -r[3], -len(r[0]), sorted(r[0])))
+    want = {r["page_id"]: r["rule_verdict"] or next((v for f, v, _, _ in mined if f <= items[r["page_id"]]), "allow") for r in rows}
+    assert {r["page_id"]: r["verdict"] for r in url_rules.judge(pages).collect()} == want
+
+
+def test_items_of_the_same_rows_make_no_sets(spark):
+    rows = [([f"i{k}" for k in range(40)] + [f"own{n % 2}"], "block" if n % 5 else "allow") for n in range(50)]
+    rules = url_rules.mine(spark.createDataFrame(rows, "items array<string>, label string"), 0.1, 0.7)
+    assert (frozenset(["i0"]), "block", 0.8, 0.8) in rules and all(len(r[0]) < 3 for r in rules)
