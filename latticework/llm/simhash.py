@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,10 +18,10 @@ SEED = 42
 TILE = 65_536
 #: Bits within which texts whose sets of shingles have a similarity of 0.8 or more are looked for.
 WIDE = 18
-#: Bins of a text's sketch: the smallest shingle hash of each bin, as a byte; estimates of similarity have a deviation of 0.035 at 0.8, less for short texts.
-SKETCH = 128
-#: Estimates from which two texts count as similar (five deviations above 0.8 for long texts would be 1; at 0.93 one pair of ten thousand at 0.8 gets there), and below which they count as different.
-SURE, POSSIBLE = 0.93, 0.68
+#: Bins of a text's sketch: the smallest shingle hash of each bin, as a byte. Estimated similarities have a deviation of 0.018 at 0.8 for long texts, and less for those with fewer shingles than bins.
+SKETCH = 512
+#: How far below the wanted similarity an estimate may be.
+SLACK = 0.03
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -213,105 +213,49 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
 
 
 class Tile:
-    """Classes of a tile in the order of their fingerprints' population counts, column by column."""
+    """Classes of a tile in the order of their fingerprints' population counts: number, fingerprint, sketch, root."""
 
-    def __init__(self, x: pa.ListScalar):
-        c, fp, sketch, root, upto, open_ = x.values.flatten()
-        fps = fp.to_numpy().view(np.uint64)
+    def __init__(self, cls: pa.Array, fp: pa.Array, sketch: pa.Array, root: pa.Array):
+        fps = fp.to_numpy(zero_copy_only=False).view(np.uint64)
         order = np.argsort(np.bitwise_count(fps), kind="stable")
         self.fps, self.counts = fps[order], np.bitwise_count(fps[order]).astype(np.int64)
-        self.cls, self.root, self.upto = (v.to_numpy()[order] for v in (c, root, upto))
-        self.open = open_.to_numpy(zero_copy_only=False).astype(bool)[order]
+        self.cls, self.root = (v.to_numpy(zero_copy_only=False)[order] for v in (cls, root))
         self.sketch = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, SKETCH)[order]
 
 
-def fewest(pairs: np.ndarray, most: int) -> np.ndarray:
-    """Of columns (a, b, ...), each a's `most` smallest b, every pair once."""
-    pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
-    new = np.ones(pairs.shape[1], bool)
-    new[1:] = (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)
-    pairs = pairs[:, new]
-    start = np.flatnonzero(np.diff(pairs[0], prepend=pairs[0, :1] - 1)) if pairs.shape[1] else np.zeros(0, int)
-    nth = np.arange(pairs.shape[1]) - np.repeat(start, np.diff(np.append(start, pairs.shape[1])))
-    return pairs[:, nth < most]
-
-
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarities of sketches, row by row."""
+    """Estimated similarities of sketches, row by row: equal bins of those filled on either side."""
     either = ((a | b) != 0).sum(axis=1)
     return ((a == b) & (a != 0)).sum(axis=1) / np.maximum(1, either)
 
 
-def near_pairs(left: Tile, right: Tile, radius: int, lo: float, hi: float, rows: int = 128, columns: int = 4096) -> Iterator[tuple[Tile, np.ndarray, Tile, np.ndarray]]:
-    """Places of the pairs of two tiles, at least one of each open, whose roots differ, whose fingerprints lie within the radius and whose estimated similarity lies from lo to hi.
+def root_links(left: Tile, right: Tile, radius: int, least: float, rows: int = 128, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Star links that join the same roots as all pairs of the tiles whose fingerprints lie within the radius and whose estimated similarity is `least` or more.
 
     Tiles are in order of population counts, so a block of rows meets only columns whose counts lie within the radius.
     """
-    whole = left.open.all() and right.open.all()
-    for own, other in ((left, right),) if whole or left is right else ((left, right), (right, left)):
-        asking = np.arange(len(own.fps)) if whole else np.flatnonzero(own.open)
-        for i in range(0, len(asking), rows):
-            block = asking[i : i + rows]
-            begin, end = np.searchsorted(other.counts, own.counts[block[0]] - radius), np.searchsorted(other.counts, own.counts[block[-1]] + radius, side="right")
-            for j in range(max(begin, block[0]) if whole and left is right else begin, end, columns):
-                x, y = np.nonzero(np.bitwise_count(own.fps[block][:, None] ^ other.fps[None, j : min(j + columns, end)]) <= radius)
-                x, y = block[x], j + y
-                fits = own.root[x] != other.root[y]
-                x, y = x[fits], y[fits]
-                for at in range(0, len(x), 16_384):
-                    p, q = x[at : at + 16_384], y[at : at + 16_384]
-                    s = alike(own.sketch[p], other.sketch[q])
-                    hit = (s >= lo) & (s < hi)
-                    if hit.any():
-                        yield own, p[hit], other, q[hit]
-
-
-def sure_links(left: Tile, right: Tile, radius: int) -> np.ndarray:
-    """Columns (a, b) of star links that join the same classes as all pairs whose similarity is sure."""
-    numbers = np.unique(np.concatenate([left.cls, right.cls]))
-    forest = Forest(len(numbers))
-    for own, p, other, q in near_pairs(left, right, radius, SURE, 2.0):
-        forest.join(np.searchsorted(numbers, own.cls[p]), np.searchsorted(numbers, other.cls[q]))
+    numbers = np.unique(np.concatenate([left.root, right.root]))
+    x_root, y_root, forest = np.searchsorted(numbers, left.root), np.searchsorted(numbers, right.root), Forest(len(numbers))
+    for i in range(0, len(left.fps), rows):
+        begin = np.searchsorted(right.counts, left.counts[i] - radius)
+        end = np.searchsorted(right.counts, left.counts[min(i + rows, len(left.fps)) - 1] + radius, side="right")
+        for j in range(max(begin, i) if left is right else begin, end, columns):
+            x, y = np.nonzero(np.bitwise_count(left.fps[i : i + rows, None] ^ right.fps[None, j : min(j + columns, end)]) <= radius)
+            x, y = x + i, y + j
+            for at in range(0, len(x), 4096):
+                p, q = x[at : at + 4096], y[at : at + 4096]
+                apart = forest.label[x_root[p]] != forest.label[y_root[q]]
+                p, q = p[apart], q[apart]
+                hit = alike(left.sketch[p], right.sketch[q]) >= least
+                if hit.any():
+                    forest.join(x_root[p[hit]], y_root[q[hit]])
     moved = np.flatnonzero(forest.label != np.arange(len(numbers)))
-    return np.stack([numbers[moved], numbers[forest.label[moved]]])
-
-
-def asked_pairs(left: Tile, right: Tile, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Columns (a, b, root of a, root of b): each open class a of either tile with its `most` smallest possible partners b of the other, of smaller numbers above the last that a asked about; and all classes that are in any such pair, kept or not."""
-    out, touched = [], [np.zeros(0, np.int64)]
-    for own, p, other, q in near_pairs(left, right, radius, POSSIBLE, SURE):
-        asks = own.cls[p] > other.cls[q]
-        a, b = np.where(asks, own.cls[p], other.cls[q]), np.where(asks, other.cls[q], own.cls[p])
-        ok = np.where(asks, own.open[p] & (b > own.upto[p]), other.open[q] & (b > other.upto[q]))
-        out.append(np.stack([a, b, np.where(asks, own.root[p], other.root[q]), np.where(asks, other.root[q], own.root[p])])[:, ok])
-        touched.append(np.unique(np.concatenate([a[ok], b[ok]])))
-        if len(out) > 64:
-            out, touched = [fewest(np.concatenate(out, axis=1), most)], [np.unique(np.concatenate(touched))]
-    return fewest(np.concatenate(out, axis=1), most) if out else np.zeros((4, 0), np.int64), np.unique(np.concatenate(touched))
-
-
-def candidates(state: DataFrame, radius: int, most: int, tile: int = 2 * TILE) -> DataFrame:
-    """a, b, ra, rb from classes (cls, fp, sketch, root, upto, open). With most 0, links of sure pairs; else pairs that may be similar, each open a with its `most` smallest partners of every tile, and a row (x, x) for each class x in any pair.
+    return numbers[moved], numbers[forest.label[moved]]
 
-    A cell holds fingerprints of nearly the same population count; two cells are compared only if their counts can differ
-    by the radius or less. Cells are cut into tiles by hash.
-    """
-    cells = state.withColumn("cell", F.floor(F.bit_count("fp") / 8).cast("int"))
-    each = min(tile, max(2048, state.count() // 5))
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / each).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("parts")).cast("int")
-    tiles = cells.join(F.broadcast(sizes), "cell").withColumn("part", part).groupBy("cell", "part").agg(F.collect_list(F.struct("cls", "fp", "sketch", "root", "upto", "open")).alias("tile"))
-
-    def compare(t: pa.Table) -> pa.Table:
-        by = {s: Tile(x) for s, x in zip(t.column("side").to_pylist(), t.column("tile"), strict=True)}
-        found, touched = np.zeros((4, 0), np.int64), np.zeros(0, np.int64)
-        if 0 in by and most:
-            found, touched = asked_pairs(by[0], by.get(1, by[0]), radius, most)
-        elif 0 in by:
-            found = np.tile(sure_links(by[0], by.get(1, by[0]), radius), (2, 1))
-        return pa.table({n: pa.array(np.concatenate([x, touched])) for n, x in zip(("a", "b", "ra", "rb"), found, strict=True)})
 
-    return paired_tiles(tiles, sizes, lambda x, y: (y - x) * 8 - 7 <= radius, compare, "a long, b long, ra long, rb long")
+def hot_keys(own: DataFrame, total: int) -> DataFrame:
+    """Keys of more than one in HOT of all rows; HOT at most."""
+    return own.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * HOT > total).select("key")
 
 
 def rows_of(docs: DataFrame, wanted: DataFrame, hot: DataFrame) -> DataFrame:
@@ -321,79 +265,49 @@ def rows_of(docs: DataFrame, wanted: DataFrame, hot: DataFrame) -> DataFrame:
     return rest.unionByName(docs.join(few, "key", "left_semi").dropDuplicates(["key"]).hint("merge").join(wanted, "key"))
 
 
-def hot_keys(own: DataFrame, total: int) -> DataFrame:
-    """Keys of more than one in HOT of all rows; HOT at most."""
-    return own.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * HOT > total).select("key")
-
-
-def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = WIDE) -> DataFrame:
-    """key, component: a number for each group of rows linked by pairs whose sets of word shingles have at least this Jaccard similarity.
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = WIDE, tile: int = TILE) -> DataFrame:
+    """key, component: a number for each group of rows linked by pairs whose sets of word shingles have about this Jaccard similarity or more.
 
     Rows have a column key; rows that share one are equal. Rows with equal sets of shingles are one class, whatever their
-    number; texts without a word are one class too. All pairs of classes within the radius are looked at in tiles. Where
-    sketches leave no doubt, tasks return spanning links only, so groups of any size make few rows. Where they leave some
-    (estimates of 0.68 to 0.93), the sets themselves decide: a round asks about each class's few smallest partners in other
-    components and joins what is confirmed; the next asks four times as many, until no class has a partner left that is
-    neither asked about nor in its component.
+    number; texts without a word are one class too. All pairs of classes within the radius are looked at in tiles and
+    judged by their sketches, from `similarity` less SLACK on. A cell holds fingerprints of nearly the same population
+    count, and two cells are compared only if their counts can differ by the radius or less; cells are cut into tiles by
+    hash. First each tile's classes are joined, then the roots of different tiles, so a group of any size makes a row for
+    each class and few more.
     """
     own = materialize(profiles(docs, width), "profiles")
     total = own.count()
-    classes = materialize(own.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("key").alias("key"), F.count("*").alias("n")), "classes")
-    n_classes = classes.count()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, width)).astype("<u8").tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["cls", "found"])
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def confirmed(pairs: DataFrame, of: DataFrame) -> DataFrame:
-        """Roots (a, b) of the pairs whose sets are similar. A class that many ask about is sent in several copies."""
-        n = pairs.count()
-        askers = pairs.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") * HOT > n).select("b", (F.col("n") * HOT / n).cast("int").alias("copies"))  # HOT rows at most
-        salted = pairs.join(F.broadcast(askers), "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
-        theirs = of.select(F.col("cls").alias("b"), F.col("found").alias("y")).join(F.broadcast(askers), "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
-        sides = salted.hint("merge").join(of.select(F.col("cls").alias("a"), F.col("found").alias("x")), "a").hint("merge").join(theirs, ["b", "salt"])
-        return map_texts(sides.select("ra", "rb", "x", "y"), confirm, "a long, b long")
-
-    state = classes.select("cls", "fp", "sketch", F.col("cls").alias("root"), F.lit(-(1 << 63)).cast("long").alias("upto"), F.lit(True).alias("open"))
-    comp = components(candidates(state, radius, 0).select("a", "b"))
-    state = join_hot(state.drop("root"), classes.select("cls", F.lit(1).alias("n")).join(comp.hint("merge"), F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "n"), ["cls"], n_classes)
-    every = state = materialize(state.select("cls", "fp", "sketch", "root", "upto", "open"), "state")
-    of, most, last = None, 1, None
-    while True:
-        found = materialize(candidates(state, radius, most + 1), "candidates")
-        if of is None:
-            touched = materialize(found.filter("a = b").select(F.col("a").alias("cls")).distinct(), "touched")
-            state = state.join(touched.hint("merge"), "cls", "left_semi")  # no later round finds a pair of others
-            wanted = touched.hint("merge").join(classes.select("cls", "key"), "cls")
-            texts = rows_of(docs.select("key", F.col("text").cast("string").alias("text")), wanted, hot_keys(own, total))
-            of = materialize(map_texts(texts.select("cls", "text"), sets, "cls long, found binary"), "sets")
-        ranks = found.filter("a != b").withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("b")))
-        pairs, asked = written(ranks.filter(F.col("nth") <= most + 1), "pairs")
-        told = pairs.groupBy("a").agg(F.max(F.when(F.col("nth") <= most, F.col("b"))).alias("told"), (F.max("nth") > most).alias("more"))
-        comp = components(confirmed(pairs.filter(F.col("nth") <= most).select("a", "b", "ra", "rb"), of))
-        sizes = state.groupBy(F.col("root").alias("old")).agg(F.count("*").alias("n"))
-        new = sizes.join(comp.withColumnRenamed("node", "old").withColumnRenamed("root", "new").hint("merge"), "old", "left").select("old", F.coalesce("new", "old").alias("new"), "n")
-        state = join_hot(state.withColumnRenamed("root", "old"), new, ["old"], state.count()).join(told.hint("merge"), F.col("cls") == F.col("a"), "left")
-        state, at = written(state.select("cls", "fp", "sketch", F.col("new").alias("root"), F.coalesce("told", "upto").alias("upto"), F.coalesce("more", F.lit(False)).alias("open")), "state")
-        discard(docs.sparkSession, asked)
-        if last:
-            discard(docs.sparkSession, last)
-        last, most = at, most * 4
-        if not state.filter("open").count():
-            break
-    joined = state.join(every.select("cls", F.col("root").alias("old")).hint("merge"), "cls").select("old", "root").distinct()  # a component of the first step moves as a whole
-    roots = join_hot(every.select("cls", F.col("root").alias("old")), every.groupBy(F.col("root").alias("old")).agg(F.count("*").alias("n")).join(joined.hint("merge"), "old", "left").select("old", F.coalesce("root", "old").alias("root"), "n"), ["old"], n_classes)
-    named = classes.select("cls", "n").hint("merge").join(roots.select("cls", "root"), "cls")
-    return join_hot(own.select("key", "cls"), named, ["cls"], total).select("key", F.col("root").alias("component"))
+    classes = materialize(own.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.count("*").alias("n")), "classes")
+    n_classes, least = classes.count(), similarity - SLACK
+    cells = classes.withColumn("cell", F.floor(F.bit_count("fp") / 16).cast("int"))
+    each = min(tile, max(2048, n_classes // 5))
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / each).cast("int").alias("parts"))
+    dealt = cells.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("parts")).cast("int"))  # five cells
+
+    def within(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        cls, fp, sketch = (t.column(c).combine_chunks() for c in ("cls", "fp", "sketch"))
+        x = Tile(cls, fp, sketch, cls)
+        a, b = root_links(x, x, radius, least)
+        order = np.argsort(a)
+        at = np.minimum(np.searchsorted(a[order], x.cls), max(0, len(a) - 1))
+        root = np.where(a[order][at] == x.cls, b[order][at], x.cls) if len(a) else x.cls
+        return pa.table({"cls": x.cls, "root": root.astype(np.int64), "fp": x.fps.view(np.int64), "sketch": pa.array([v.tobytes() for v in x.sketch], pa.binary()), "cell": np.full(len(root), t.column("cell")[0].as_py(), np.int32), "part": np.full(len(root), t.column("part")[0].as_py(), np.int32)})
+
+    state = materialize(dealt.select("cls", "fp", "sketch", "cell", "part").groupBy("cell", "part").applyInArrow(within, "cls long, root long, fp long, sketch binary, cell int, part int"), "state")
+
+    def between(t: pa.Table) -> pa.Table:
+        by = {s: Tile(*x.values.flatten()) for s, x in zip(t.column("side").to_pylist(), t.column("tile"), strict=True)}
+        a, b = root_links(by[0], by[1], radius, least) if len(by) > 1 else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    tiles = state.groupBy("cell", "part").agg(F.collect_list(F.struct("cls", "fp", "sketch", "root")).alias("tile"))
+    comp = components(paired_tiles(tiles, sizes, lambda x, y: (y - x) * 16 - 15 <= radius, between, "a long, b long"))
+    comp = comp.select(F.col("node").alias("old"), F.col("root").alias("component")).hint("merge")
+    roots = state.groupBy(F.col("root").alias("old")).agg(F.count("*").alias("n")).join(comp, "old", "left").select("old", F.coalesce("component", "old").alias("component"), "n")
+    named = join_hot(state.select("cls", F.col("root").alias("old")), materialize(roots, "roots"), ["old"], n_classes).select("cls", "component")
+    named = materialize(classes.select("cls", "n").hint("merge").join(named, "cls"), "named")
+    return join_hot(own.select("key", "cls"), named, ["cls"], total).select("key", "component")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
