@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 from latticework.functions.scalar import legendre
 
 
-def channel_distance(ch: DataFrame) -> DataFrame:
-    """i < j, dist over channels (channel, x, y, z); a montage is a few hundred rows and broadcasts."""
-    a = ch.select(F.col("channel").alias("i"), *[F.col(c).alias(f"{c}1") for c in "xyz"])
-    b = ch.select(F.col("channel").alias("j"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
-    return a.join(F.broadcast(b), F.col("i") < F.col("j")).select("i", "j", F.sqrt(sum(((F.col(f"{c}1") - F.col(f"{c}2")) ** 2 for c in "yz"), (F.col("x1") - F.col("x2")) ** 2)).alias("dist"))
+def channel_distance(ch: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, i < j, dist over the channels (keys, channel, x, y, z) of each montage; channels of different montages don't meet."""
+    keys = list(keys)
+    a = ch.select(*keys, F.col("channel").alias("i"), *[F.col(c).alias(f"{c}1") for c in "xyz"])
+    b = ch.select(*keys, F.col("channel").alias("j"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
+    both = a.join(b, keys) if keys else a.crossJoin(b)  # a montage is a few hundred rows
+    return both.filter("i < j").select(*keys, "i", "j", F.sqrt(sum(((F.col(f"{c}1") - F.col(f"{c}2")) ** 2 for c in "yz"), (F.col("x1") - F.col("x2")) ** 2)).alias("dist"))
 
 
 def on_unit_sphere(ch: DataFrame, centre: tuple[float, float, float] = (0.0, 0.0, 30.0)) -> DataFrame:

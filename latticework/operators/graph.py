@@ -64,8 +64,15 @@ def both_ways(edges: DataFrame, keys: Keys) -> DataFrame:
     return edges.select(*keys, ends.alias("e"), "w").select(*keys, "e.a", "e.b", "w")
 
 
-def degree(edges: DataFrame, keys: Keys) -> DataFrame:
-    return both_ways(edges, keys).groupBy(*keys, F.col("a").alias("node")).agg(F.count("*").alias("degree"))
+def nodes(conn: DataFrame, keys: Keys) -> DataFrame:
+    """keys, node: all channels that any pair of the graph names, linked or not."""
+    return conn.select(*keys, F.explode(F.array("i", "j")).alias("node")).distinct()
+
+
+def degree(edges: DataFrame, keys: Keys, channels: DataFrame) -> DataFrame:
+    """Number of each channel's edges; 0 for those without."""
+    d = both_ways(edges, keys).groupBy(*keys, F.col("a").alias("node")).agg(F.count("*").alias("degree"))
+    return channels.join(d, [*keys, "node"], "left").select(*keys, "node", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
 def strength(conn: DataFrame, keys: Keys) -> DataFrame:
@@ -73,32 +80,35 @@ def strength(conn: DataFrame, keys: Keys) -> DataFrame:
     return both_ways(conn, keys).groupBy(*keys, F.col("a").alias("node")).agg((F.sum("w") / F.count("*")).alias("strength"))
 
 
-def clustering(edges: DataFrame, keys: Keys) -> DataFrame:
-    """Share of a node's neighbour pairs that are linked; 0 below two neighbours."""
+def clustering(edges: DataFrame, keys: Keys, channels: DataFrame) -> DataFrame:
+    """Share of a node's neighbour pairs that are linked; 0 below two neighbours, and for channels without an edge."""
     keys = list(keys)
     ab = edges.select(*keys, F.col("i").alias("a"), F.col("j").alias("b"))
     bc = edges.select(*keys, F.col("i").alias("b"), F.col("j").alias("c"))
     ac = edges.select(*keys, F.col("i").alias("a"), F.col("j").alias("c"))
     corners = ab.join(bc, [*keys, "b"]).join(ac, [*keys, "a", "c"])
     triangles = corners.select(*keys, F.explode(F.array("a", "b", "c")).alias("node")).groupBy(*keys, "node").agg(F.count("*").alias("t"))
-    d = degree(edges, keys).join(triangles, [*keys, "node"], "left")
+    d = degree(edges, keys, channels).join(triangles, [*keys, "node"], "left")
     k = F.col("degree")
     return d.select(*keys, "node", "degree", F.when(k < 2, 0.0).otherwise(2.0 * F.coalesce("t", F.lit(0)) / (k * (k - 1))).alias("clustering"))
 
 
-def _by_graph(edges: DataFrame, keys: Keys, run, schema: str) -> DataFrame:
-    """run(graph's rows, nodes, adjacency matrix) for each key; a graph has as many nodes as a montage has channels."""
-    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+def _by_graph(edges: DataFrame, keys: Keys, channels: DataFrame, run, schema: str) -> DataFrame:
+    """run(graph's edges, nodes, adjacency matrix) for each key, nodes without an edge and graphs without one included; a graph has as many nodes as a montage has channels."""
+    kinds = {f.name: f.dataType.simpleString() for f in channels.schema}
 
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.unique(np.concatenate([p["i"], p["j"]]))
-        a = np.zeros((len(nodes), len(nodes)))
-        i, j = np.searchsorted(nodes, p["i"]), np.searchsorted(nodes, p["j"])
-        a[i, j] = a[j, i] = p["w"]
-        out = run(p, nodes, a)
-        return out.assign(**{k: p[k].iloc[0] for k in keys})[[*keys, *[c.split()[0] for c in schema.split(", ")]]]
+    def one(n: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in schema.split(", ")]
+        if not len(n):
+            return pd.DataFrame(columns=[*keys, *names])
+        own = np.sort(n["node"].to_numpy())
+        a = np.zeros((len(own), len(own)))
+        i, j = np.searchsorted(own, p["i"].to_numpy()), np.searchsorted(own, p["j"].to_numpy())
+        a[i, j] = a[j, i] = p["w"].to_numpy()
+        out = run(p, own, a)
+        return out.assign(**{k: n[k].iloc[0] for k in keys})[[*keys, *names]]
 
-    return edges.groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema)
+    return channels.groupBy(*keys).cogroup(edges.select(*keys, "i", "j", "w").groupBy(*keys)).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema)
 
 
 def distances(a: np.ndarray) -> np.ndarray:
@@ -114,7 +124,7 @@ def distances(a: np.ndarray) -> np.ndarray:
         d[grown], reach = step, grown
 
 
-def shortest_paths(edges: DataFrame, keys: Keys) -> DataFrame:
+def shortest_paths(edges: DataFrame, keys: Keys, channels: DataFrame) -> DataFrame:
     """keys, s, t, d for every reachable ordered pair of different nodes."""
 
     def run(p, nodes, a):
@@ -122,7 +132,7 @@ def shortest_paths(edges: DataFrame, keys: Keys) -> DataFrame:
         s, t = np.nonzero(np.isfinite(d) & (d > 0))
         return pd.DataFrame({"s": nodes[s], "t": nodes[t], "d": d[s, t].astype(int)})
 
-    return _by_graph(edges, keys, run, "s long, t long, d long")
+    return _by_graph(edges, keys, channels, run, "s long, t long, d long")
 
 
 def path_length(paths: DataFrame, keys: Keys) -> DataFrame:
@@ -130,13 +140,15 @@ def path_length(paths: DataFrame, keys: Keys) -> DataFrame:
     return paths.groupBy(*keys).agg(F.avg("d").alias("path_length"))
 
 
-def efficiency(paths: DataFrame, keys: Keys) -> DataFrame:
-    """Mean inverse distance over all ordered pairs of nodes that have an edge; unreachable ones count 0."""
-    n = F.countDistinct("s")
-    return paths.groupBy(*keys).agg((F.sum(1.0 / F.col("d")) / F.nullif((n * (n - 1)).cast("double"), F.lit(0.0))).alias("efficiency"))
+def efficiency(paths: DataFrame, keys: Keys, channels: DataFrame) -> DataFrame:
+    """Mean inverse distance over all ordered pairs of channels; unreachable ones count 0."""
+    near = paths.groupBy(*keys).agg(F.sum(1.0 / F.col("d")).alias("near"))
+    n = F.count("*")
+    all_pairs = channels.groupBy(*keys).agg((n * (n - 1)).cast("double").alias("pairs"))
+    return all_pairs.join(near, list(keys), "left").select(*keys, (F.coalesce("near", F.lit(0.0)) / F.nullif("pairs", F.lit(0.0))).alias("efficiency"))
 
 
-def betweenness(edges: DataFrame, keys: Keys) -> DataFrame:
+def betweenness(edges: DataFrame, keys: Keys, channels: DataFrame) -> DataFrame:
     """Shortest paths through each node, over ordered pairs, from path counts per distance layer."""
 
     def run(p, nodes, a):
@@ -156,7 +168,7 @@ def betweenness(edges: DataFrame, keys: Keys) -> DataFrame:
             total += owed
         return pd.DataFrame({"node": nodes, "betweenness": total})
 
-    return _by_graph(edges, keys, run, "node long, betweenness double")
+    return _by_graph(edges, keys, channels, run, "node long, betweenness double")
 
 
 def communities(a: np.ndarray, seed: int) -> np.ndarray:
@@ -190,8 +202,8 @@ def communities(a: np.ndarray, seed: int) -> np.ndarray:
     return member
 
 
-def louvain(edges: DataFrame, keys: Keys, runs: int = 50, seed: int = 1) -> DataFrame:
-    """keys, run, node, module and q, the run's modularity, on binary edges; every key and run has a seed of its own, so runs agree anywhere."""
+def louvain(edges: DataFrame, keys: Keys, channels: DataFrame, runs: int = 50, seed: int = 1) -> DataFrame:
+    """keys, run, node, module and q, the run's modularity, on binary edges; a channel without an edge is a module of its own. Every run has a seed of its own, so runs agree anywhere."""
 
     def run(p, nodes, a):
         out, link = [], (a != 0).astype(float)
@@ -199,10 +211,10 @@ def louvain(edges: DataFrame, keys: Keys, runs: int = 50, seed: int = 1) -> Data
         for r in range(runs):
             c = communities(link, seed * 1_000_003 + r)
             same = c[:, None] == c[None]
-            out.append(pd.DataFrame({"run": r, "node": nodes, "module": c + 1, "q": float(((link - np.outer(k, k) / m2) * same).sum() / m2)}))
+            out.append(pd.DataFrame({"run": r, "node": nodes, "module": c + 1, "q": float(((link - np.outer(k, k) / m2) * same).sum() / m2) if m2 else 0.0}))
         return pd.concat(out)
 
-    return _by_graph(edges, keys, run, "run int, node long, module int, q double")
+    return _by_graph(edges, keys, channels, run, "run int, node long, module int, q double")
 
 
 def modularity(edges: DataFrame, modules: DataFrame, keys: Keys) -> DataFrame:
@@ -216,22 +228,41 @@ def modularity(edges: DataFrame, modules: DataFrame, keys: Keys) -> DataFrame:
     return per.select(*keys, (F.col("inside") / total - (F.col("k") / total) ** 2).alias("part")).groupBy(*keys).agg(F.sum("part").alias("q"))
 
 
-def participation(edges: DataFrame, modules: DataFrame, keys: Keys) -> DataFrame:
-    """1 less the squared shares of a node's edges over modules."""
-    keys = list(keys)
-    m = modules.select(*keys, F.col("node").alias("b"), "module")
-    per = both_ways(edges, keys).join(m, [*keys, "b"]).groupBy(*keys, F.col("a").alias("node"), "module").agg(F.count("*").cast("double").alias("k"))
-    return per.groupBy(*keys, "node").agg((1 - F.sum(F.col("k") ** 2) / F.sum("k") ** 2).alias("participation"))
+def participation(edges: DataFrame, modules: DataFrame, keys: Keys, runs: Keys = ()) -> DataFrame:
+    """1 less the squared shares of a node's edges over modules(keys, runs, node, module); 0 for nodes without an edge. Partitions of several runs share the edges."""
+    keys, own = list(keys), [*keys, *runs]
+    m = modules.select(*own, F.col("node").alias("b"), "module")
+    per = both_ways(edges, keys).join(m, [*keys, "b"]).groupBy(*own, F.col("a").alias("node"), "module").agg(F.count("*").cast("double").alias("k"))
+    p = per.groupBy(*own, "node").agg((1 - F.sum(F.col("k") ** 2) / F.sum("k") ** 2).alias("p"))
+    return modules.select(*own, "node").join(p, [*own, "node"], "left").select(*own, "node", F.coalesce("p", F.lit(0.0)).alias("participation"))
 
 
-def modular_span(edges: DataFrame, modules: DataFrame, dist: DataFrame, keys: Keys) -> DataFrame:
+def modular_span(edges: DataFrame, modules: DataFrame, dist: DataFrame, keys: Keys, runs: Keys = ()) -> DataFrame:
     """The largest over modules of the summed distance of the edges inside over the module's size; null without such edges."""
+    keys, own = list(keys), [*keys, *runs]
+    mi, mj = (modules.select(*own, F.col("node").alias(x), F.col("module").alias(f"m{x}")) for x in "ij")
+    size = modules.groupBy(*own, F.col("module").alias("mi")).agg(F.count("*").alias("size")).filter("size > 1")
+    inside = edges.join(dist, ["i", "j"]).join(mi, [*keys, "i"]).join(mj, [*own, "j"]).filter("mi = mj")
+    per = inside.groupBy(*own, "mi").agg(F.sum("dist").alias("d")).join(size, [*own, "mi"])
+    return per.groupBy(*own).agg(F.max(F.when(F.col("d") != 0, F.col("d") / F.col("size"))).alias("span"))
+
+
+def mean_over_runs(edges: DataFrame, runs: DataFrame, dist: DataFrame, keys: Keys) -> tuple[DataFrame, DataFrame]:
+    """Of the partitions of several runs (keys, run, node, module, q): means of modularity and modular span for each graph, and each node's mean participation with its module in the first run."""
     keys = list(keys)
-    mi, mj = (modules.select(*keys, F.col("node").alias(x), F.col("module").alias(f"m{x}")) for x in "ij")
-    size = modules.groupBy(*keys, F.col("module").alias("mi")).agg(F.count("*").alias("size")).filter("size > 1")
-    inside = edges.join(mi, [*keys, "i"]).join(mj, [*keys, "j"]).filter("mi = mj").join(F.broadcast(dist), ["i", "j"])
-    per = inside.groupBy(*keys, "mi").agg(F.sum("dist").alias("d")).join(size, [*keys, "mi"])
-    return per.groupBy(*keys).agg(F.max(F.when(F.col("d") != 0, F.col("d") / F.col("size"))).alias("span"))
+    modules = runs.select(*keys, "run", "node", "module")
+    q = runs.groupBy(*keys, "run").agg(F.first("q").alias("q")).groupBy(*keys).agg(F.avg("q").alias("modularity"))
+    span = modular_span(edges, modules, dist, keys, ["run"]).groupBy(*keys).agg(F.avg("span").alias("span"))
+    nodal = participation(edges, modules, keys, ["run"]).groupBy(*keys, "node").agg(F.avg("participation").alias("participation"))
+    first = modules.filter("run = 0").select(*keys, "node", "module")
+    return q.join(span, keys, "left"), nodal.join(first, [*keys, "node"])
+
+
+def mask_network(conn: DataFrame, network: DataFrame, keys: Keys = (), inside: bool = True) -> DataFrame:
+    """conn with weights outside the network's edges (keys, i, j) set to 0, or those inside."""
+    marked = conn.join(network.select(*keys, "i", "j", F.lit(True).alias("_in")).distinct(), [*keys, "i", "j"], "left")
+    keep = F.coalesce("_in", F.lit(False))
+    return marked.withColumn("w", F.when(keep if inside else ~keep, F.col("w")).otherwise(0.0)).drop("_in")
 
 
 def relabel(modules: DataFrame, keys: Keys) -> DataFrame:
@@ -266,4 +297,4 @@ def network_components(edges: DataFrame, keys: Keys) -> DataFrame:
             out.append((int(nodes[c]), int(at.sum()), float(a[np.ix_(at, at)].sum() / 2)))
         return pd.DataFrame(out, columns=["component", "nodes", "intensity"])
 
-    return _by_graph(edges, keys, run, "component long, nodes long, intensity double")
+    return _by_graph(edges, keys, nodes(edges, keys), run, "component long, nodes long, intensity double")

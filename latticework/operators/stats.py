@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,21 +97,45 @@ def median_of_medians(df: DataFrame, value: str, inner: Keys, outer: Keys) -> Da
     return first.groupBy(*outer).agg(F.median("m").alias("median"))
 
 
+def hashed(units: np.ndarray, perms: np.ndarray, seed: int = 1) -> np.ndarray:
+    """A number from 0 to 1 for each permutation and unit, the same wherever it is computed."""
+    z = units.astype(np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15) + perms.astype(np.uint64)[:, None] * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
 def permuted_differences(df: DataFrame, value: str, features: Keys, perms: int = 200, seed: int = 1) -> DataFrame:
-    """perm, features, diff: the groups' mean difference (grp 0 or 1) with rows dealt anew, perm 0 as observed.
+    """perm, features, diff: the groups' mean difference (grp 0 or 1) with units dealt anew, perm 0 as observed.
 
-    Rows (unit, grp, features, value) keep their unit's features together: a unit's group in a permutation is the group
-    at its place in a seeded order, so only units are sorted. Sums are added per permutation before any shuffle.
+    Rows (unit, grp, features, value) keep their unit's features together. Each permutation gives a unit to group 0 with
+    the chance of group 0's share, by a hash of unit and permutation, so no unit meets another and nothing is sorted; the
+    groups' sizes then vary as a toss does. A batch's values times its units' memberships is one matrix product; what is
+    shuffled is a row for each task, feature and permutation.
     """
-    units = df.select("unit", "grp").distinct()
-    sizes = {r["grp"]: r["count"] for r in units.groupBy("grp").count().collect()}  # two rows
-    if set(sizes) != {0, 1}:
+    n = {r["grp"]: r["count"] for r in df.select("unit", "grp").distinct().groupBy("grp").count().collect()}  # two rows
+    if set(n) != {0, 1}:
         raise ValueError("two conditions, 0 and 1, are needed")
-    dealt = units.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(perms))))
-    place = F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "unit"), "unit"))
-    dealt = dealt.withColumn("g", F.when(F.col("perm") == 0, F.col("grp")).otherwise((place > sizes[0]).cast("int"))).select("unit", "perm", "g")
-    rows = df.select("unit", *features, value).join(dealt, "unit")
-    return rows.groupBy("perm", *features).agg((F.avg(F.when(F.col("g") == 0, F.col(value))) - F.avg(F.when(F.col("g") == 1, F.col(value)))).alias("diff"))
+    share = n[0] / (n[0] + n[1])
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        every = np.arange(1, perms + 1)
+        for p in batches:
+            p = p[p[value].notna()]
+            for key, g in p.groupby(list(features)):
+                x = g[value].to_numpy(float)
+                h = hashed(g["unit"].to_numpy(np.int64), every, seed) < share
+                own = np.vstack([(g["grp"].to_numpy() == 0)[None], h]).astype(float)
+                total[key] = total.get(key, 0) + np.stack([own @ x, own.sum(axis=1), np.full(perms + 1, x.sum()), np.full(perms + 1, float(len(x)))])
+        for key, (s, c, all_s, all_c) in total.items():
+            yield pd.DataFrame({**{k: [v] * (perms + 1) for k, v in zip(features, key, strict=True)}, "perm": np.arange(perms + 1), "s": s, "c": c, "all_s": all_s, "all_c": all_c})
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in features) + ", perm int, s double, c double, all_s double, all_c double"
+    per = df.select("unit", "grp", *features, value).mapInPandas(sums, schema).groupBy("perm", *features).agg(*[F.sum(c).alias(c) for c in ("s", "c", "all_s", "all_c")])
+    none = F.lit(0.0)
+    return per.select("perm", *features, (F.col("s") / F.nullif("c", none) - (F.col("all_s") - F.col("s")) / F.nullif(F.col("all_c") - F.col("c"), none)).alias("diff"))
 
 
 def max_statistic(diffs: DataFrame, features: Keys) -> DataFrame:

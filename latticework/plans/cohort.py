@@ -10,12 +10,10 @@ from latticework.operators import classify as C
 from latticework.operators import stats as T
 from latticework.session import table
 
-GROUPS = 3
 
-
-def scores(spark, d, groups: int = GROUPS) -> DataFrame:
-    """feature (position), grp (label), score of the embeddings of the first labels."""
-    e = table(spark, d, "embeddings").filter(F.col("label") < groups)
+def scores(spark, d) -> DataFrame:
+    """feature (position), grp (label), score of all embeddings."""
+    e = table(spark, d, "embeddings").filter("label is not null")
     return e.select("vec_id", F.col("label").alias("grp"), F.posexplode("embedding").alias("feature", "x")).select("vec_id", "grp", "feature", F.col("x").cast("double").alias("score"))
 
 
@@ -65,7 +63,7 @@ def ranksum_p(spark, d):
 
 
 def trend(spark, d):
-    return out(T.jonckheere(T.value_counts(scores(spark, d, 5), ["feature"]), ["feature"]), ["feature"], "jt", "z")
+    return out(T.jonckheere(T.value_counts(scores(spark, d).filter("grp < 5"), ["feature"]), ["feature"]), ["feature"], "jt", "z")
 
 
 def tests(spark, d) -> DataFrame:
@@ -137,23 +135,28 @@ QUERIES = {
     "confusion_pct": lambda s, d: out(C.confusion_percent(table(s, d, "labels"), "quality", "toxic"), ["quality", "toxic", "n"], "pct"),
 }
 
-_SC = "sc AS (SELECT vec_id, label AS grp, CAST(unnest(range(0,len(embedding))) AS INT) AS feature, CAST(unnest(embedding) AS DOUBLE) AS score FROM embeddings WHERE label<{g})"
+_SC = "sc AS (SELECT vec_id, label AS grp, CAST(unnest(range(0,len(embedding))) AS INT) AS feature, CAST(unnest(embedding) AS DOUBLE) AS score FROM embeddings WHERE {w})"
 _LI = "sc AS (SELECT l_linestatus AS grp, 'quantity' AS feature, l_quantity AS score FROM lineitem UNION ALL SELECT l_linestatus, 'discount', l_discount FROM lineitem)"
 _PC = ", g AS (SELECT DISTINCT grp FROM sc), pairs AS (SELECT a.grp AS g0, b.grp AS g1 FROM g a JOIN g b ON a.grp<b.grp), pc AS (SELECT feature, g0, g1, score, CAST(count(*) FILTER (grp=g0) AS DOUBLE) AS n0, CAST(count(*) FILTER (grp=g1) AS DOUBLE) AS n1 FROM sc JOIN pairs ON grp=g0 OR grp=g1 GROUP BY ALL)"
 _ST = _PC + ", ru AS (SELECT *, n1*(coalesce(sum(n0) OVER (PARTITION BY feature,g0,g1 ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)+n0/2) AS u FROM pc), st0 AS (SELECT feature, g0, g1, sum(n0) AS n0, sum(n1) AS n1, sum(u) AS u, sum((n0+n1)**3-(n0+n1)) AS ties FROM ru GROUP BY ALL), st AS (SELECT *, greatest(u/(n0*n1),1-u/(n0*n1)) AS auc, least(u,n0*n1-u) AS u_min, (u-n0*n1/2)/sqrt(n0*n1/12*(n0+n1+1-ties/((n0+n1)*(n0+n1-1)))) AS z FROM st0)"
 _YO = _PC + ", yo AS (SELECT *, sum(n0) OVER t AS fp_at, sum(n1) OVER t AS tp_at, sum(n0) OVER a AS neg, sum(n1) OVER a AS pos FROM pc WINDOW t AS (PARTITION BY feature,g0,g1 ORDER BY score DESC ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY feature,g0,g1)), yb AS (SELECT * FROM (SELECT *, round(abs(tp_at/pos-fp_at/neg),9) AS j, row_number() OVER (PARTITION BY feature,g0,g1 ORDER BY round(abs(tp_at/pos-fp_at/neg),9) DESC, score DESC) AS r FROM yo) WHERE r=1), cm AS (SELECT feature, g0, g1, neg-(fp_at-n0) AS tn, fp_at-n0 AS fp, pos-(tp_at-n1) AS fn, tp_at-n1 AS tp FROM yb)"
-_EM = "WITH " + _SC.format(g=GROUPS)
+_EM = "WITH " + _SC.format(w="label IS NOT NULL")
 _TE = _EM + _ST + ", te AS (SELECT feature, g0, g1, round(exp(-abs(z)*1.5),9) AS p, round(auc,9) AS auc FROM st), tr AS (SELECT *, rank() OVER (ORDER BY p)+count(*) OVER (PARTITION BY p)-1 AS i, count(*) OVER () AS m FROM te), fd AS (SELECT feature, g0, g1, p, auc, coalesce(max(CASE WHEN p<=0.05*i/m THEN p END) OVER (),0.0) AS fdr FROM tr)"
 _TIER = "CASE WHEN p<=fdr AND fdr>0 THEN 2 WHEN p<0.05 THEN 1 END"
 _BA = "WITH ev AS (SELECT CAST(dayofyear(ts) AS INT) AS day, event_type AS cls, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT CAST(floor(day/7) AS INT) AS week, day, cls, n/CAST(sum(n) OVER (PARTITION BY day) AS DOUBLE) AS p FROM ev), l AS (SELECT *, sum(ln(p)) OVER (PARTITION BY week, cls ORDER BY day ROWS UNBOUNDED PRECEDING) AS l FROM p), e AS (SELECT *, exp(l-max(l) OVER (PARTITION BY week, day)) AS e FROM l), b AS (SELECT week, day, cls, e/sum(e) OVER (PARTITION BY week, day) AS posterior FROM e)"
 
+#: 1 less the error function's power series.
+_ERFC = "(1-list_sum(list_transform(range(0,200), lambda n: CASE WHEN {x}=0 THEN 0.0 ELSE exp(0-({x})**2+(2*n+1)*ln({x})-lgamma(n+1.5)) END)))"
+
 ORACLE = {
     "auc_folded": f"{_EM}{_ST} SELECT feature, g0, g1, round(auc,9) AS auc FROM st",
     "youden_threshold": f"{_EM}{_YO} SELECT feature, g0, g1, round(score,9) AS threshold, j FROM yb",
     "confusion_at_threshold": f"{_EM}{_YO} SELECT feature, g0, g1, tn, fp, fn, tp, round((tn+fp+fn+tp)*(tn*tp-fp*fn)**2/nullif((tn+fp)*(fn+tp)*(tn+fn)*(fp+tp),0),9) AS chi2, round(100*(tn+tp)/(tn+fp+fn+tp),9) AS accuracy FROM cm",
+    "ranksum_p": f"{_EM}{_ST} SELECT feature, g0, g1, round(z,9) AS z, round({_ERFC.format(x='abs(z)/sqrt(2)')},9) AS p FROM st",
+    "chi2_2x2": f"WITH {_LI}{_YO}, ch AS (SELECT feature, g0, g1, (tn+fp+fn+tp)*(tn*tp-fp*fn)**2/nullif((tn+fp)*(fn+tp)*(tn+fn)*(fp+tp),0) AS c FROM cm) SELECT feature, g0, g1, round(c,9) AS chi2, round({_ERFC.format(x='sqrt(c/2)')},9) AS p FROM ch",
     "ranksum_z": f"WITH {_LI}{_ST} SELECT feature, g0, g1, round(z,9) AS z FROM st",
     "mann_whitney_u": f"WITH {_LI}{_ST} SELECT feature, g0, g1, n0, n1, u_min FROM st",
-    "jonckheere": "WITH " + _SC.format(g=5) + _ST + ", jt AS (SELECT feature, sum(u) AS jt FROM st GROUP BY 1), sz AS (SELECT feature, sum(n) AS n, sum(n*n) AS n2, sum(n*n*(2*n+3)) AS n3 FROM (SELECT feature, grp, CAST(count(*) AS DOUBLE) AS n FROM sc GROUP BY ALL) GROUP BY 1) SELECT feature, round(jt,9) AS jt, round((jt-(n*n-n2)/4)/sqrt((n*n*(2*n+3)-n3)/72),9) AS z FROM jt JOIN sz USING (feature)",
+    "jonckheere": "WITH " + _SC.format(w="label<5") + _ST + ", jt AS (SELECT feature, sum(u) AS jt FROM st GROUP BY 1), sz AS (SELECT feature, sum(n) AS n, sum(n*n) AS n2, sum(n*n*(2*n+3)) AS n3 FROM (SELECT feature, grp, CAST(count(*) AS DOUBLE) AS n FROM sc GROUP BY ALL) GROUP BY 1) SELECT feature, round(jt,9) AS jt, round((jt-(n*n-n2)/4)/sqrt((n*n*(2*n+3)-n3)/72),9) AS z FROM jt JOIN sz USING (feature)",
     "fdr_threshold": f"{_TE} SELECT feature, g0, g1, p, fdr FROM fd",
     "significance_tiers": f"{_TE} SELECT * FROM (SELECT feature, g0, g1, p, {_TIER} AS tier FROM fd) WHERE tier IS NOT NULL",
     "top_features": f"{_TE} SELECT * FROM (SELECT feature, g0, g1, CAST(row_number() OVER (ORDER BY auc DESC, feature*100+g0*10+g1) AS INT) AS rank, auc, {_TIER} AS tier FROM fd) WHERE rank<=10 AND tier IS NOT NULL",

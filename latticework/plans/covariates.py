@@ -35,13 +35,19 @@ def auto_group(name: str, channels: int) -> str:
     return f"allchan_{channels}" if name == "allchan" else name
 
 
-def points(spark, d, n: int | None = 64) -> DataFrame:
-    """Channels at the first three components of the first n vectors, or of all."""
+def points(spark, d) -> DataFrame:
+    """Channels at the first three components of the vectors."""
     e = table(spark, d, "embeddings")
-    e = e if n is None else e.filter(F.col("vec_id") < n)
     return e.select(F.col("vec_id").alias("channel"), *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate("xyz")])
 
 
+def montages(spark, d) -> DataFrame:
+    """A montage for each label: its vectors' positions, placed by their mean, deviation and largest value."""
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("channel", "v"))
+    v = F.col("v").cast("double")
+    return e.groupBy("label", "channel").agg(r9(F.avg(v)).alias("x"), r9(F.stddev_samp(v)).alias("y"), F.max(v).alias("z"))
+
+
 def segments(spark) -> DataFrame:
     return spark.createDataFrame([("MACHINERY", "g"), ("BUILDING", "g")], "channel string, grp string")
 
@@ -57,11 +63,11 @@ def balance(spark, d, negate):
 
 
 def distance(spark, d):
-    return M.channel_distance(points(spark, d)).select("i", "j", r9(F.col("dist")).alias("dist"))
+    return M.channel_distance(montages(spark, d), ["label"]).select("label", "i", "j", r9(F.col("dist")).alias("dist"))
 
 
 def spline(spark, d):
-    return M.spline_kernel(M.channel_distance(points(spark, d))).select("i", "j", r9(F.col("g")).alias("g"))
+    return M.spline_kernel(M.channel_distance(montages(spark, d), ["label"])).select("label", "i", "j", r9(F.col("g")).alias("g"))
 
 
 def sphere(spark, d):
@@ -69,7 +75,7 @@ def sphere(spark, d):
 
 
 def arcs(spark, d):
-    p = points(spark, d, None)
+    p = points(spark, d)
     a = p.select("channel", *[F.col(c).alias(f"{c}1") for c in "xyz"])
     b = p.select((F.col("channel") - 1).alias("channel"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
     return M.arc_points(a.join(b, "channel"), samples=100).select("channel", "k", *[r9(F.col(f"p{c}")).alias(c) for c in "xyz"])
@@ -95,7 +101,8 @@ QUERIES = {
     "colour_limits": lambda s, d: M.colour_limits(table(s, d, "events"), "value", ["event_type"]).select("event_type", r9(F.col("lo")).alias("lo"), r9(F.col("hi")).alias("hi")),
 }
 
-_X = "c AS (SELECT vec_id AS channel, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings WHERE vec_id<64), d AS (SELECT a.channel AS i, b.channel AS j, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) AS dist FROM c a JOIN c b ON a.channel<b.channel)"
+_X = "c AS (SELECT vec_id AS channel, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
+_MO = "u AS (SELECT label, CAST(unnest(range(0,len(embedding))) AS INT) AS channel, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), c AS (SELECT label, channel, round(avg(v),9) AS x, round(stddev_samp(v),9) AS y, max(v) AS z FROM u GROUP BY ALL), d AS (SELECT a.label, a.channel AS i, b.channel AS j, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2) AS dist FROM c a JOIN c b ON a.label=b.label AND a.channel<b.channel)"
 _P = "1-dist AS p1, (3*(1-dist)**2-1)/2 AS p2, (5*(1-dist)**3-3*(1-dist))/2 AS p3, (35*(1-dist)**4-30*(1-dist)**2+3)/8 AS p4, (63*(1-dist)**5-70*(1-dist)**3+15*(1-dist))/8 AS p5, (231*(1-dist)**6-315*(1-dist)**4+105*(1-dist)**2-5)/16 AS p6, (429*(1-dist)**7-693*(1-dist)**5+315*(1-dist)**3-35*(1-dist))/16 AS p7"
 _G = "+".join(f"{2 * n + 1}.0/{n**4 * (n + 1) ** 4}*p{n}" for n in range(1, 8))
 
@@ -104,8 +111,8 @@ ORACLE = {
     "regroup_codes": "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority)-1 AS INT) AS code FROM orders",
     "semi_channel_group": "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal),9) AS mean FROM customer WHERE c_mktsegment IN ('MACHINERY','BUILDING') GROUP BY 1",
     "anti_channels": "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal),9) AS mean FROM customer WHERE c_mktsegment NOT IN ('MACHINERY','BUILDING') GROUP BY 1",
-    "interchannel_distance": f"WITH {_X} SELECT i, j, round(dist,9) AS dist FROM d",
-    "spline_kernel": f"WITH {_X}, p AS (SELECT i, j, {_P} FROM d) SELECT i, j, round(({_G})/(4*pi()),9) AS g FROM p",
+    "interchannel_distance": f"WITH {_MO} SELECT label, i, j, round(dist,9) AS dist FROM d",
+    "spline_kernel": f"WITH {_MO}, p AS (SELECT label, i, j, {_P} FROM d) SELECT label, i, j, round(({_G})/(4*pi()),9) AS g FROM p",
     "unit_sphere": f"WITH {_X}, r AS (SELECT channel, x, y, z-30 AS z, sqrt(x*x+y*y+(z-30)**2) AS r FROM c) SELECT channel, round(x/r,9) AS x, round(y/r,9) AS y, round(z/r,9) AS z FROM r",
     "group_boundaries": "SELECT label, CAST(sum(count(*)) OVER (ORDER BY label) AS BIGINT) AS last FROM embeddings GROUP BY label",
     "colour_limits": "SELECT event_type, round(min(value)-(max(value)-min(value))*0.02,9) AS lo, round(max(value)+(max(value)-min(value))*0.02,9) AS hi FROM events GROUP BY 1",

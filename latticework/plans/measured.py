@@ -10,13 +10,15 @@ from latticework.operators import measures as M
 from latticework.operators import stats as T
 from latticework.operators.reference import thresholds
 from latticework.plans import cohort, graphs, signals
+from latticework.session import table
 
 
 def degrees(spark, d):
-    """Degree of each node at three densities, as nodal metrics."""
-    t = thresholds(spark).filter(F.col("t_idx").isin(20, 24, 28))
+    """Degree of each node at all 37 densities, as nodal metrics."""
+    t = thresholds(spark)
     e = G.sweep(G.ranked(graphs.conn(spark, d), graphs.KEYS), t)
-    return G.degree(e, ["label", "t_idx"]).select("label", "t_idx", F.col("node").alias("channel"), F.lit("degree").alias("metric"), F.col("degree").cast("double").alias("value"))
+    channels = graphs.nodes(spark, d).withColumn("t_idx", F.explode(F.sequence(F.lit(0), F.lit(36))))
+    return G.degree(e, ["label", "t_idx"], channels).select("label", "t_idx", F.col("node").alias("channel"), F.lit("degree").alias("metric"), F.col("degree").cast("double").alias("value"))
 
 
 def scores(spark, d):
@@ -44,8 +46,8 @@ def report(spark, d):
 
 
 def density_nmi(spark, d):
-    """NMI of every pair of labels' partitions (degree modulo 3), averaged over three densities, in the order of the labels' parity."""
-    m = degrees(spark, d).select("label", "t_idx", F.col("channel").alias("node"), (F.col("value") % 3).cast("int").alias("m"))
+    """NMI of every pair of labels' partitions (degree modulo 3), averaged over the densities from 0.5 to 0.1, in the order of the labels' parity."""
+    m = degrees(spark, d).filter("t_idx >= 20").select("label", "t_idx", F.col("channel").alias("node"), (F.col("value") % 3).cast("int").alias("m"))
     a, b = m.select(F.col("label").alias("s1"), "t_idx", "node", F.col("m").alias("m1")), m.select(F.col("label").alias("s2"), "t_idx", "node", F.col("m").alias("m2"))
     joint = a.join(b, ["t_idx", "node"]).filter("s1 < s2").groupBy("s1", "s2", "t_idx", "m1", "m2").agg(F.count("*").cast("double").alias("n"))
     each = G.partition_nmi(joint, "m1", "m2", keys=["s1", "s2", "t_idx"])
@@ -54,12 +56,59 @@ def density_nmi(spark, d):
     return mean.select("s1", "s2", place("s1").alias("row"), place("s2").alias("col"), "nmi")
 
 
-QUERIES = {"density_nmi": density_nmi, "measure_scores": scores, "best_density": best, "power_features": power, "rejection_report": report}
+def covariates(spark, d):
+    """Subjects with a group: nations, whose keys are the graphs' labels too, and their regions."""
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("subject"), F.col("n_regionkey").cast("int").alias("grp"))
 
-_DEG = f"WITH {graphs._RK}, t AS (SELECT * FROM (VALUES (20,0.5),(24,0.4),(28,0.3)) t(t_idx,p)), e AS (SELECT label, t_idx, i, j FROM rk JOIN t ON r<=round(n*CAST(p AS DOUBLE)) AND w<>0), deg AS (SELECT label, t_idx, node, CAST(count(*) AS DOUBLE) AS v FROM (SELECT label, t_idx, i AS node FROM e UNION ALL SELECT label, t_idx, j FROM e) GROUP BY ALL)"
+
+def cohort_measures(spark, d):
+    """Mean and standard error over each group's subjects of the features at all densities; subjects without a covariate take no part."""
+    s = scores(spark, d).withColumnRenamed("label", "subject").join(covariates(spark, d), "subject").filter("grp is not null")
+    m = T.mean_sem(s, "score", ["grp", "t_idx", "feature"])
+    return m.select("grp", "t_idx", "feature", r9(F.col("mean")).alias("mean"), r9(F.col("sem")).alias("sem"))
+
+
+def control_nmi(spark, d):
+    """Each subject's mean similarity with the control subjects, those of the last group, itself left out."""
+    n = density_nmi(spark, d)
+    both = n.select(F.explode(F.array(F.struct(F.col("s1").alias("subject"), F.col("s2").alias("other")), F.struct(F.col("s2").alias("subject"), F.col("s1").alias("other")))).alias("p"), "nmi").select("p.*", "nmi")
+    c = covariates(spark, d).join(table(spark, d, "embeddings").select(F.col("label").cast("long").alias("subject")).distinct(), "subject", "left_semi")
+    last = c.agg(F.max("grp").alias("grp"))
+    controls = c.join(F.broadcast(last), "grp").select(F.col("subject").alias("other"))
+    return both.join(controls, "other", "left_semi").groupBy("subject").agg(r9(F.avg("nmi")).alias("nmi"))
+
+
+def patient(spark, d):
+    """The subject with the largest label against the groups of the others: it is a group of its own, one above the last; its error is null."""
+    s = scores(spark, d).withColumnRenamed("label", "subject").join(covariates(spark, d), "subject")
+    top = s.agg(F.max("subject").alias("patient"), F.max("grp").alias("last"))
+    s = s.join(F.broadcast(top))
+    cohort = s.filter("subject < patient").select("grp", "t_idx", "feature", "score")
+    own = s.filter("subject = patient").select((F.col("last") + 1).alias("grp"), "t_idx", "feature", "score")
+    m = T.mean_sem(cohort.unionByName(own), "score", ["grp", "t_idx", "feature"])
+    return m.select("grp", "t_idx", "feature", r9(F.col("mean")).alias("mean"), r9(F.col("sem")).alias("sem"))
+
+
+def mean_of_means(spark, d):
+    """Mean over densities of the mean degree of channels."""
+    per = degrees(spark, d).groupBy("label", "t_idx").agg(F.avg("value").alias("m"))
+    return per.groupBy("label").agg(r9(F.avg("m")).alias("mean"))
+
+
+QUERIES = {"cohort_measures": cohort_measures, "control_nmi": control_nmi, "patient_against_cohort": patient, "mean_of_means": mean_of_means, "density_nmi": density_nmi, "measure_scores": scores, "best_density": best, "power_features": power, "rejection_report": report}
+
+_DEG = f"WITH {graphs._RK}, t AS (SELECT CAST(k AS INT) AS t_idx, (1000-25*k)/1000.0 AS p FROM (SELECT unnest(range(0,37)) AS k)), e AS (SELECT label, t_idx, i, j FROM rk JOIN t ON r<=round(n*CAST(p AS DOUBLE)) AND w<>0), en AS (SELECT label, t_idx, i AS node FROM e UNION ALL SELECT label, t_idx, j FROM e), deg AS (SELECT n.label, t.t_idx, n.node, CAST(count(en.node) AS DOUBLE) AS v FROM (SELECT DISTINCT label, ch AS node FROM v) n CROSS JOIN t LEFT JOIN en ON en.label=n.label AND en.t_idx=t.t_idx AND en.node=n.node GROUP BY ALL)"
+
+_NMI = f"{_DEG}, m AS (SELECT label, t_idx, node, CAST(v%3 AS INT) AS m FROM deg WHERE t_idx>=20), j AS (SELECT a.label AS s1, b.label AS s2, a.t_idx, a.m AS m1, b.m AS m2, CAST(count(*) AS DOUBLE) AS n FROM m a JOIN m b ON a.t_idx=b.t_idx AND a.node=b.node AND a.label<b.label GROUP BY ALL), p AS (SELECT s1, s2, t_idx, n/sum(n) OVER g AS p, sum(n) OVER (PARTITION BY s1,s2,t_idx,m1)/sum(n) OVER g AS px, sum(n) OVER (PARTITION BY s1,s2,t_idx,m2)/sum(n) OVER g AS py FROM j WINDOW g AS (PARTITION BY s1, s2, t_idx)), k AS (SELECT s1, s2, t_idx, CASE WHEN sum(-p*ln(px))+sum(-p*ln(py))=0 THEN 1.0 ELSE 2*sum(p*ln(p/(px*py)))/(sum(-p*ln(px))+sum(-p*ln(py))) END AS nmi FROM p GROUP BY ALL)"
+_SCORES = f"{_DEG}, a AS (SELECT label, t_idx, avg(v) AS m, stddev_samp(v) AS s, max(v) AS x FROM deg GROUP BY ALL) SELECT label, t_idx, 'degree/mean' AS feature, round(m,9) AS score FROM a UNION ALL SELECT label, t_idx, 'degree/sd', round(s,9) FROM a UNION ALL SELECT label, t_idx, 'degree/max', x FROM a"
+_COV = f"WITH sc0 AS ({_SCORES}), sc AS (SELECT label AS subject, t_idx, feature, score, CAST(n_regionkey AS INT) AS grp FROM sc0 JOIN nation ON n_nationkey=label)"
 
 ORACLE = {
-    "density_nmi": f"{_DEG}, m AS (SELECT label, t_idx, node, CAST(v%3 AS INT) AS m FROM deg), j AS (SELECT a.label AS s1, b.label AS s2, a.t_idx, a.m AS m1, b.m AS m2, CAST(count(*) AS DOUBLE) AS n FROM m a JOIN m b ON a.t_idx=b.t_idx AND a.node=b.node AND a.label<b.label GROUP BY ALL), p AS (SELECT s1, s2, t_idx, n/sum(n) OVER g AS p, sum(n) OVER (PARTITION BY s1,s2,t_idx,m1)/sum(n) OVER g AS px, sum(n) OVER (PARTITION BY s1,s2,t_idx,m2)/sum(n) OVER g AS py FROM j WINDOW g AS (PARTITION BY s1, s2, t_idx)), k AS (SELECT s1, s2, t_idx, 2*sum(p*ln(p/(px*py)))/(sum(-p*ln(px))+sum(-p*ln(py))) AS nmi FROM p GROUP BY ALL) SELECT s1, s2, CAST(s1%2*100+s1 AS INT) AS row, CAST(s2%2*100+s2 AS INT) AS col, round(avg(nmi),9) AS nmi FROM k GROUP BY s1, s2",
+    "cohort_measures": f"{_COV} SELECT grp, t_idx, feature, round(avg(score),9) AS mean, round(stddev_samp(score)/sqrt(count(*)),9) AS sem FROM sc GROUP BY ALL",
+    "control_nmi": f"{_NMI}, mm AS (SELECT s1, s2, round(avg(nmi),9) AS nmi FROM k GROUP BY s1, s2), c AS (SELECT n_nationkey AS s, n_regionkey AS g FROM nation WHERE n_nationkey IN (SELECT label FROM embeddings)), o AS (SELECT s FROM c WHERE g=(SELECT max(g) FROM c)), bb AS (SELECT s1 AS subject, s2 AS other, nmi FROM mm UNION ALL SELECT s2, s1, nmi FROM mm) SELECT CAST(subject AS BIGINT) AS subject, round(avg(nmi),9) AS nmi FROM bb WHERE other IN (SELECT s FROM o) GROUP BY 1",
+    "patient_against_cohort": f"{_COV}, pg AS (SELECT CASE WHEN subject=(SELECT max(subject) FROM sc) THEN (SELECT max(grp) FROM sc)+1 ELSE grp END AS grp, t_idx, feature, score FROM sc) SELECT CAST(grp AS INT) AS grp, t_idx, feature, round(avg(score),9) AS mean, round(stddev_samp(score)/sqrt(count(*)),9) AS sem FROM pg GROUP BY ALL",
+    "mean_of_means": f"{_DEG}, m AS (SELECT label, t_idx, avg(v) AS m FROM deg GROUP BY ALL) SELECT label, round(avg(m),9) AS mean FROM m GROUP BY 1",
+    "density_nmi": f"{_DEG}, m AS (SELECT label, t_idx, node, CAST(v%3 AS INT) AS m FROM deg WHERE t_idx>=20), j AS (SELECT a.label AS s1, b.label AS s2, a.t_idx, a.m AS m1, b.m AS m2, CAST(count(*) AS DOUBLE) AS n FROM m a JOIN m b ON a.t_idx=b.t_idx AND a.node=b.node AND a.label<b.label GROUP BY ALL), p AS (SELECT s1, s2, t_idx, n/sum(n) OVER g AS p, sum(n) OVER (PARTITION BY s1,s2,t_idx,m1)/sum(n) OVER g AS px, sum(n) OVER (PARTITION BY s1,s2,t_idx,m2)/sum(n) OVER g AS py FROM j WINDOW g AS (PARTITION BY s1, s2, t_idx)), k AS (SELECT s1, s2, t_idx, CASE WHEN sum(-p*ln(px))+sum(-p*ln(py))=0 THEN 1.0 ELSE 2*sum(p*ln(p/(px*py)))/(sum(-p*ln(px))+sum(-p*ln(py))) END AS nmi FROM p GROUP BY ALL) SELECT s1, s2, CAST(s1%2*100+s1 AS INT) AS row, CAST(s2%2*100+s2 AS INT) AS col, round(avg(nmi),9) AS nmi FROM k GROUP BY s1, s2",
     "measure_scores": f"{_DEG}, a AS (SELECT label, t_idx, avg(v) AS m, stddev_samp(v) AS s, max(v) AS x FROM deg GROUP BY ALL) SELECT label, t_idx, 'degree/mean' AS feature, round(m,9) AS score FROM a UNION ALL SELECT label, t_idx, 'degree/sd', round(s,9) FROM a UNION ALL SELECT label, t_idx, 'degree/max', x FROM a",
     "best_density": f"{cohort._EM}{cohort._ST}, b AS (SELECT CAST(floor(feature/8) AS INT) AS f, g0, g1, CAST(feature%8 AS INT) AS t_idx, round(auc,9) AS auc, u_min, row_number() OVER (PARTITION BY floor(feature/8), g0, g1 ORDER BY round(auc,9) DESC, feature%8) AS r FROM st) SELECT f AS feature, g0, g1, t_idx, auc, u_min FROM b WHERE r=1",
     "power_features": f"WITH {signals._P}, m AS (SELECT band, channel, avg(power) AS power FROM p JOIN bands ON bin BETWEEN lo AND hi GROUP BY ALL), sh AS (SELECT *, power/sum(power) OVER (PARTITION BY channel) AS rel FROM m) SELECT band, round(avg(power),9) AS power_mean, round(stddev_samp(power),9) AS power_sd, round(avg(rel),9) AS rel_mean, round(stddev_samp(rel),9) AS rel_sd FROM sh GROUP BY band",

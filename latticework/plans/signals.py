@@ -59,6 +59,19 @@ def multitaper(spark, d):
     return out(S.multitaper(samples(spark, d), 24.0, 24, smoothing=2.0, lo=1.0, hi=11.0), ["channel"], "freq", "power")
 
 
+#: The time constants, of which those are used whose three samples fit an epoch.
+TAUS = (32, 16, 8, 4, 2)
+
+
+def wsmi(spark, d):
+    """At every time constant that fits the 24 samples of an epoch."""
+    own = [S.weighted_symbolic_information(S.symbols(samples(spark, d), tau)).withColumn("tau", F.lit(tau)) for tau in TAUS if 2 * tau < 24]
+    both = own[0]
+    for x in own[1:]:
+        both = both.unionByName(x)
+    return out(both, ["tau", "ch_i", "ch_j"], "w")
+
+
 QUERIES = {
     "epoch_baseline": lambda s, d: out(S.remove_baseline(samples(s, d)), ["channel", "epoch", "sample"], "value"),
     "common_average_reference": lambda s, d: out(S.average_reference(samples(s, d)), ["channel", "epoch", "sample"], "value"),
@@ -69,12 +82,12 @@ QUERIES = {
     "power_decibel": lambda s, d: out(spectrum(s, d).withColumn("db", decibel(F.col("power"))), ["channel", "bin"], "db"),
     "band_peak_power": peak_power,
     "band_mean_power": mean_power,
-    "cross_spectrum": lambda s, d: out(S.cross_spectrum(four(s, d, 3)), ["epoch", "bin", "ch_i", "ch_j"], "re", "im", digits=5),
+    "cross_spectrum": lambda s, d: out(S.cross_spectrum(four(s, d)), ["epoch", "bin", "ch_i", "ch_j"], "re", "im", digits=5),
     "debiased_wpli": lambda s, d: out(wpli(s, d), ["bin", "ch_i", "ch_j"], "w"),
     "band_peak_wpli": lambda s, d: out(S.band_peak(wpli(s, d), bands(s), "w", ["ch_i", "ch_j"]), ["band", "ch_i", "ch_j", "bin"], "w"),
     "channel_mean_wpli": lambda s, d: out(S.channel_mean(wpli(s, d)), ["bin", "channel"], "w"),
     "mean_wpli_spectrum": lambda s, d: out(S.channel_mean(wpli(s, d)).groupBy("bin").agg(F.avg("w").alias("w")), ["bin"], "w"),
-    "wsmi": lambda s, d: out(S.weighted_symbolic_information(S.symbols(samples(s, d), 2)), ["ch_i", "ch_j"], "w"),
+    "wsmi": wsmi,
     "multitaper_power": multitaper,
     "filtered_signal": lambda s, d: out(S.filtered(samples(s, d).withColumn("sample", (F.col("epoch") * 24 + F.col("sample")).cast("long")).drop("epoch"), 24.0, 6.0, 0.5), ["channel", "sample"], "value"),
     "line_noise_removed": lambda s, d: out(S.remove_line_noise(samples(s, d), 24.0, 6.0), ["channel", "epoch", "sample"], "value"),
@@ -90,6 +103,8 @@ _M = ", m AS (SELECT bin, channel, avg(w) AS w FROM (SELECT bin, ch_i AS channel
 _CASE = "CASE WHEN value<=b AND b<=c THEN 0 WHEN value<=c AND c<b THEN 1 WHEN b<value AND value<=c THEN 2 WHEN c<value AND value<=b THEN 3 WHEN b<=c AND c<value THEN 4 ELSE 5 END"
 _PEAK = "k AS (SELECT band, bin FROM (SELECT band, bin, row_number() OVER (PARTITION BY band ORDER BY round(avg({v}),9) DESC, bin) AS r FROM {t} JOIN bands ON bin BETWEEN lo AND hi GROUP BY band, bin) WHERE r=1)"
 
+_WSMI = "SELECT * FROM (WITH " + _S + ", y AS (SELECT *, lead(value,{tau}) OVER q AS b, lead(value,{two}) OVER q AS c FROM s WINDOW q AS (PARTITION BY channel, epoch ORDER BY sample)), z AS (SELECT channel, epoch, sample, " + _CASE + " AS x FROM y WHERE c IS NOT NULL), j AS (SELECT a.epoch, a.channel AS ch_i, b.channel AS ch_j, a.x, b.x AS y, CAST(count(*) AS DOUBLE) AS n FROM z a JOIN z b ON a.epoch=b.epoch AND a.sample=b.sample AND a.channel<b.channel GROUP BY ALL), t AS (SELECT epoch, ch_i, ch_j, CASE WHEN x=y OR y=5-x THEN 0 ELSE 1 END*n/sum(n) OVER g*ln(n*sum(n) OVER g/(sum(n) OVER (PARTITION BY epoch,ch_i,ch_j,x)*sum(n) OVER (PARTITION BY epoch,ch_i,ch_j,y))) AS term FROM j WINDOW g AS (PARTITION BY epoch, ch_i, ch_j)), e AS (SELECT epoch, ch_i, ch_j, sum(term)/ln(6) AS w FROM t GROUP BY ALL) SELECT {tau} AS tau, ch_i, ch_j, round(greatest(avg(w),0.0),9) AS w FROM e GROUP BY ALL)"
+
 ORACLE = {
     "epoch_baseline": f"WITH {_S} SELECT channel, epoch, sample, round(value-avg(value) OVER (PARTITION BY channel, epoch),9) AS value FROM s",
     "common_average_reference": f"WITH {_S} SELECT channel, epoch, sample, round(value-avg(value) OVER (PARTITION BY epoch, sample),9) AS value FROM s",
@@ -100,11 +115,11 @@ ORACLE = {
     "power_decibel": f"WITH {_P} SELECT channel, bin, round(10*log10(power),9) AS db FROM p",
     "band_peak_power": f"WITH {_P}, {_PEAK.format(v='power', t='p')} SELECT band, channel, bin, round(power,9) AS power, round(power/sum(power) OVER (PARTITION BY channel),9) AS rel FROM p JOIN k USING (bin)",
     "band_mean_power": f"WITH {_P}, m AS (SELECT band, channel, avg(power) AS power FROM p JOIN bands ON bin BETWEEN lo AND hi GROUP BY ALL) SELECT band, channel, round(power,9) AS power, round(power/sum(power) OVER (PARTITION BY channel),9) AS rel FROM m",
-    "cross_spectrum": f"WITH {_C} SELECT epoch, bin, ch_i, ch_j, round(re+1e-8,5) AS re, round(im+1e-8,5) AS im FROM c WHERE bin<=3",
+    "cross_spectrum": f"WITH {_C} SELECT epoch, bin, ch_i, ch_j, round(re+1e-8,5) AS re, round(im+1e-8,5) AS im FROM c",
     "debiased_wpli": f"WITH {_W} SELECT bin, ch_i, ch_j, round(w,9) AS w FROM w",
     "band_peak_wpli": f"WITH {_W}, {_PEAK.format(v='w', t='w')} SELECT band, ch_i, ch_j, bin, round(w,9) AS w FROM w JOIN k USING (bin)",
     "channel_mean_wpli": f"WITH {_W}{_M} SELECT bin, channel, round(w,9) AS w FROM m",
     "mean_wpli_spectrum": f"WITH {_W}{_M} SELECT bin, round(avg(w),9) AS w FROM m GROUP BY 1",
-    "wsmi": f"WITH {_S}, y AS (SELECT *, lead(value,2) OVER q AS b, lead(value,4) OVER q AS c FROM s WINDOW q AS (PARTITION BY channel, epoch ORDER BY sample)), z AS (SELECT channel, epoch, sample, {_CASE} AS x FROM y WHERE c IS NOT NULL), j AS (SELECT a.epoch, a.channel AS ch_i, b.channel AS ch_j, a.x, b.x AS y, CAST(count(*) AS DOUBLE) AS n FROM z a JOIN z b ON a.epoch=b.epoch AND a.sample=b.sample AND a.channel<b.channel GROUP BY ALL), t AS (SELECT epoch, ch_i, ch_j, CASE WHEN x=y OR y=5-x THEN 0 ELSE 1 END*n/sum(n) OVER g*ln(n*sum(n) OVER g/(sum(n) OVER (PARTITION BY epoch,ch_i,ch_j,x)*sum(n) OVER (PARTITION BY epoch,ch_i,ch_j,y))) AS term FROM j WINDOW g AS (PARTITION BY epoch, ch_i, ch_j)), e AS (SELECT epoch, ch_i, ch_j, sum(term)/ln(6) AS w FROM t GROUP BY ALL) SELECT ch_i, ch_j, round(greatest(avg(w),0.0),9) AS w FROM e GROUP BY ALL",
+    "wsmi": " UNION ALL ".join(_WSMI.format(tau=t, two=2 * t) for t in TAUS if 2 * t < 24),
     "epoch_window": "SELECT event_type, strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(value),9) AS mean, round(var_samp(value),9) AS variance FROM events GROUP BY ALL",
 }

@@ -6,7 +6,7 @@ import pytest
 from latticework import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer orders lineitem events documents embeddings labels".split()
+TABLES = "nation customer orders lineitem events documents embeddings labels".split()
 
 
 @pytest.fixture(scope="module")
