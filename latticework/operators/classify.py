@@ -48,6 +48,16 @@ def decode_votes(df: DataFrame, s1: str = "s1", s2: str = "s2") -> DataFrame:
     return df.withColumn("cls", out)
 
 
+def posterior_vote(df: DataFrame, threshold: float, p: str = "p") -> DataFrame:
+    """Adds vote: 1 where the posterior reaches the threshold, else -1."""
+    return df.withColumn("vote", F.when(F.col(p) >= threshold, 1).otherwise(-1))
+
+
+def decoding_accuracy(df: DataFrame, keys: Keys, true: str = "true", cls: str = "cls") -> DataFrame:
+    """Share of rows, in percent, whose decoded class is the true one."""
+    return df.groupBy(*keys).agg((100.0 * F.avg(F.when(F.col(true) == F.col(cls), 1.0).otherwise(0.0))).alias("accuracy"))
+
+
 def confusion_percent(df: DataFrame, true: str, predicted: str) -> DataFrame:
     c = df.groupBy(true, predicted).agg(F.count("*").alias("n"))
     return c.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(true)))

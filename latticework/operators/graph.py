@@ -108,7 +108,7 @@ def _by_graph(edges: DataFrame, keys: Keys, channels: DataFrame, run, schema: st
         out = run(p, own, a)
         return out.assign(**{k: n[k].iloc[0] for k in keys})[[*keys, *names]]
 
-    return channels.groupBy(*keys).cogroup(edges.select(*keys, "i", "j", "w").groupBy(*keys)).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema)
+    return channels.groupBy(*keys).cogroup(edges.select(*[F.col(k).alias(k) for k in keys], "i", "j", "w").groupBy(*keys)).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + schema)
 
 
 def distances(a: np.ndarray) -> np.ndarray:
@@ -294,7 +294,7 @@ def network_components(edges: DataFrame, keys: Keys) -> DataFrame:
                 seen[np.isfinite(d[v])] = v
         for c in np.unique(seen):
             at = seen == c
-            out.append((int(nodes[c]), int(at.sum()), float(a[np.ix_(at, at)].sum() / 2)))
+            out.append((nodes[c], int(at.sum()), float(a[np.ix_(at, at)].sum() / 2)))
         return pd.DataFrame(out, columns=["component", "nodes", "intensity"])
 
-    return _by_graph(edges, keys, nodes(edges, keys), run, "component long, nodes long, intensity double")
+    return _by_graph(edges, keys, nodes(edges, keys), run, f"component {dict(edges.dtypes)['i']}, nodes long, intensity double")

@@ -59,6 +59,17 @@ def in_bands(spectrum: DataFrame, bands: DataFrame, freq: str = "bin") -> DataFr
     return spectrum.join(F.broadcast(bands), F.col(freq).between(F.col("lo"), F.col("hi")))
 
 
+def nearest_bin(spectrum: DataFrame, edges: DataFrame, keys: Sequence[str], freq: str = "bin") -> DataFrame:
+    """keys, edge and the spectrum's frequency closest to it, the lower of equals; edges(keys, edge) and distinct frequencies are few."""
+    both = spectrum.select(freq).distinct().join(F.broadcast(edges))
+    return both.groupBy(*keys, "edge").agg(F.min_by(freq, F.struct(r9(F.abs(F.col(freq) - F.col("edge"))), freq)).alias(freq)).select(*keys, F.col("edge").cast("double").alias("edge"), freq)
+
+
+def unit_scale(df: DataFrame, factor: float = 1e6) -> DataFrame:
+    """Volts to microvolts."""
+    return df.withColumn("value", F.col("value") * factor)
+
+
 def band_peak(spectrum: DataFrame, bands: DataFrame, value: str, unit: Sequence[str], keys: Sequence[str] = (), freq: str = "bin") -> DataFrame:
     """Each unit's value at the bin where the mean over units peaks in the band; the first of equals; NaN takes no part."""
     rows = in_bands(spectrum, bands, freq).filter(~F.isnan(value))

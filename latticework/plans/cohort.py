@@ -113,7 +113,28 @@ def votes(spark, d):
     return C.decode_votes(lab).select("doc_id", "cls")
 
 
+def vote_accuracy(spark, d):
+    """Two classifiers, quality and toxic, vote for the number of labels that are 1; by the id's remainder of 3."""
+    v = votes(spark, d).join(table(spark, d, "labels").select("doc_id", (F.col("quality") + F.col("toxic")).alias("true")), "doc_id")
+    return out(C.decoding_accuracy(v.withColumn("fold", F.pmod("doc_id", F.lit(3))), ["fold"]), ["fold"], "accuracy")
+
+
+def evidence(spark, d):
+    """P(quality | toxic) of three ensemble members, the id's remainders of 3."""
+    cm = table(spark, d, "labels").withColumn("member", F.pmod("doc_id", F.lit(3))).groupBy("member", "quality", "toxic").agg(F.count("*").alias("n"))
+    return out(C.class_given_prediction(cm, ["member"], "quality", "toxic"), ["member", "quality", "toxic"], "p")
+
+
+def segment_votes(spark, d):
+    """The share of each customer segment's balances above 4500, as a posterior."""
+    p = table(spark, d, "customer").groupBy("c_mktsegment").agg(r9(F.avg(F.when(F.col("c_acctbal") > 4500, 1.0).otherwise(0.0))).alias("p"))
+    return C.posterior_vote(p, 0.5).select("c_mktsegment", "p", "vote")
+
+
 QUERIES = {
+    "ecc_accuracy": vote_accuracy,
+    "class_given_prediction": evidence,
+    "posterior_vote": segment_votes,
     "auc_folded": auc,
     "youden_threshold": threshold,
     "confusion_at_threshold": confusion,
@@ -149,6 +170,9 @@ _BA = "WITH ev AS (SELECT CAST(dayofyear(ts) AS INT) AS day, event_type AS cls,
 _ERFC = "(1-list_sum(list_transform(range(0,200), lambda n: CASE WHEN {x}=0 THEN 0.0 ELSE exp(0-({x})**2+(2*n+1)*ln({x})-lgamma(n+1.5)) END)))"
 
 ORACLE = {
+    "ecc_accuracy": "WITH c AS (SELECT doc_id%3 AS fold, quality+toxic AS t, CASE WHEN s1=-1 AND s2=-1 THEN 1 WHEN s1=-1 THEN 0 WHEN s2=1 AND s1=0 THEN 2 ELSE 1 END AS cls FROM (SELECT doc_id, quality, toxic, quality*2-1 AS s1, CASE WHEN doc_id%5=0 THEN 0 ELSE toxic*2-1 END AS s2 FROM labels)) SELECT fold, round(100.0*avg(CASE WHEN t=cls THEN 1.0 ELSE 0.0 END),9) AS accuracy FROM c GROUP BY 1",
+    "class_given_prediction": "WITH c AS (SELECT doc_id%3 AS member, quality, toxic, count(*) AS n FROM labels GROUP BY ALL), r AS (SELECT *, round(100.0*n/CAST(sum(n) OVER (PARTITION BY member, quality) AS DOUBLE))+2.220446049250313e-16 AS r FROM c) SELECT member, quality, toxic, round(r/sum(r) OVER (PARTITION BY member, toxic),9) AS p FROM r",
+    "posterior_vote": "WITH p AS (SELECT c_mktsegment, round(avg(CASE WHEN c_acctbal>4500 THEN 1.0 ELSE 0.0 END),9) AS p FROM customer GROUP BY 1) SELECT c_mktsegment, p, CAST(CASE WHEN p>=0.5 THEN 1 ELSE -1 END AS INT) AS vote FROM p",
     "auc_folded": f"{_EM}{_ST} SELECT feature, g0, g1, round(auc,9) AS auc FROM st",
     "youden_threshold": f"{_EM}{_YO} SELECT feature, g0, g1, round(score,9) AS threshold, j FROM yb",
     "confusion_at_threshold": f"{_EM}{_YO} SELECT feature, g0, g1, tn, fp, fn, tp, round((tn+fp+fn+tp)*(tn*tp-fp*fn)**2/nullif((tn+fp)*(fn+tp)*(tn+fn)*(fp+tp),0),9) AS chi2, round(100*(tn+tp)/(tn+fp+fn+tp),9) AS accuracy FROM cm",

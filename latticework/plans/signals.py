@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.scalar import decibel
+from latticework.operators import conditions as C
 from latticework.operators import signal as S
 from latticework.session import table
 from latticework.streaming.windows import epoch_windows
@@ -72,7 +73,30 @@ def wsmi(spark, d):
     return out(both, ["tau", "ch_i", "ch_j"], "w")
 
 
+def permuted(spark, d):
+    """Odd against even days, in the second band; a last day without a partner is left out."""
+    csd = S.cross_spectrum(four(spark, d)).filter("bin between 3 and 5")
+    days = csd.agg(F.min("epoch").alias("first"), F.max("epoch").alias("last"))
+    paired = csd.crossJoin(days).filter("epoch < first + (last - first + 1) div 2 * 2").drop("first", "last")
+    return C.permuted_wpli(paired, paired.select("epoch", F.pmod("epoch", F.lit(2)).alias("condition")))
+
+
+def condition_difference(spark, d):
+    return out(permuted(spark, d).filter("perm = 0"), ["ch_i", "ch_j"], "diff")
+
+
+def nearest(spark, d):
+    """The bin closest to each band's edges."""
+    edges = bands(spark).select("band", F.explode(F.array(F.col("lo") - 0.25, F.col("hi") + 0.25)).alias("edge"))
+    return S.nearest_bin(spectrum(spark, d), edges, ["band"])
+
+
 QUERIES = {
+    "dwpli_condition_difference": condition_difference,
+    "dwpli_permutation": lambda s, d: out(C.one_sided(permuted(s, d)), ["ch_i", "ch_j"], "diff", "p"),
+    "network_permutation": lambda s, d: out(C.network_statistic(permuted(s, d), alpha=0.9), ["component", "nodes"], "intensity", "p"),
+    "nearest_bin": nearest,
+    "unit_scale": lambda s, d: out(S.unit_scale(samples(s, d)), ["channel", "epoch", "sample"], "value", digits=2),
     "epoch_baseline": lambda s, d: out(S.remove_baseline(samples(s, d)), ["channel", "epoch", "sample"], "value"),
     "common_average_reference": lambda s, d: out(S.average_reference(samples(s, d)), ["channel", "epoch", "sample"], "value"),
     "quietest_epochs": lambda s, d: out(S.quietest(samples(s, d), 10), ["epoch", "rank"], "variance"),
@@ -105,7 +129,12 @@ _PEAK = "k AS (SELECT band, bin FROM (SELECT band, bin, row_number() OVER (PARTI
 
 _WSMI = "SELECT * FROM (WITH " + _S + ", y AS (SELECT *, lead(value,{tau}) OVER q AS b, lead(value,{two}) OVER q AS c FROM s WINDOW q AS (PARTITION BY channel, epoch ORDER BY sample)), z AS (SELECT channel, epoch, sample, " + _CASE + " AS x FROM y WHERE c IS NOT NULL), j AS (SELECT a.epoch, a.channel AS ch_i, b.channel AS ch_j, a.x, b.x AS y, CAST(count(*) AS DOUBLE) AS n FROM z a JOIN z b ON a.epoch=b.epoch AND a.sample=b.sample AND a.channel<b.channel GROUP BY ALL), t AS (SELECT epoch, ch_i, ch_j, CASE WHEN x=y OR y=5-x THEN 0 ELSE 1 END*n/sum(n) OVER g*ln(n*sum(n) OVER g/(sum(n) OVER (PARTITION BY epoch,ch_i,ch_j,x)*sum(n) OVER (PARTITION BY epoch,ch_i,ch_j,y))) AS term FROM j WINDOW g AS (PARTITION BY epoch, ch_i, ch_j)), e AS (SELECT epoch, ch_i, ch_j, sum(term)/ln(6) AS w FROM t GROUP BY ALL) SELECT {tau} AS tau, ch_i, ch_j, round(greatest(avg(w),0.0),9) AS w FROM e GROUP BY ALL)"
 
+_DIFF = _S + ", u AS (SELECT channel, epoch, bin, sum(value*cos(-2*pi()/24*bin*sample)) AS re, sum(value*sin(-2*pi()/24*bin*sample)) AS im FROM s, (SELECT CAST(unnest(range(3,6)) AS INT) AS bin) GROUP BY ALL), o AS (SELECT a.epoch, a.bin, a.channel AS ch_i, b.channel AS ch_j, a.im*b.re-a.re*b.im AS im FROM u a JOIN u b ON a.epoch=b.epoch AND a.bin=b.bin AND a.channel<b.channel), g AS (SELECT *, min(epoch) OVER () AS lo, max(epoch) OVER () AS hi FROM o), h AS (SELECT bin, ch_i, ch_j, epoch%2 AS side, (sum(im)**2-sum(im**2))/nullif(sum(abs(im))**2-sum(im**2),0) AS w FROM g WHERE epoch<lo+(hi-lo+1)//2*2 GROUP BY ALL), m AS (SELECT side, bin, row_number() OVER (PARTITION BY side ORDER BY round(avg(w),9) DESC, bin) AS r FROM h GROUP BY side, bin), x AS (SELECT h.* FROM h JOIN m ON h.side=m.side AND h.bin=m.bin WHERE r=1)"
+
 ORACLE = {
+    "dwpli_condition_difference": f"WITH {_DIFF} SELECT a.ch_i, a.ch_j, round(a.w-b.w,9) AS diff FROM x a JOIN x b ON a.ch_i=b.ch_i AND a.ch_j=b.ch_j WHERE a.side=0 AND b.side=1",
+    "nearest_bin": "WITH ed AS (SELECT band, unnest([lo-0.25, hi+0.25]) AS edge FROM (VALUES (1,1,2),(2,3,5),(3,6,11)) t(band,lo,hi)) SELECT band, CAST(edge AS DOUBLE) AS edge, CAST((SELECT arg_min(k, abs(k-edge)*1000+k) FROM (SELECT unnest(range(1,12)) AS k)) AS INT) AS bin FROM ed",
+    "unit_scale": f"WITH {_S} SELECT channel, epoch, sample, round(value*1000000+1e-8,2) AS value FROM s",
     "epoch_baseline": f"WITH {_S} SELECT channel, epoch, sample, round(value-avg(value) OVER (PARTITION BY channel, epoch),9) AS value FROM s",
     "common_average_reference": f"WITH {_S} SELECT channel, epoch, sample, round(value-avg(value) OVER (PARTITION BY epoch, sample),9) AS value FROM s",
     "quietest_epochs": f"WITH {_S}, v AS (SELECT epoch, var_samp(value) AS variance FROM s GROUP BY 1) SELECT * FROM (SELECT epoch, CAST(row_number() OVER (ORDER BY round(variance,9), epoch) AS INT) AS rank, round(variance,9) AS variance FROM v) WHERE rank<=10",
