@@ -94,7 +94,7 @@ def nearest(spark, d):
 QUERIES = {
     "dwpli_condition_difference": condition_difference,
     "dwpli_permutation": lambda s, d: out(C.one_sided(permuted(s, d)), ["ch_i", "ch_j"], "diff", "p"),
-    "network_permutation": lambda s, d: out(C.network_statistic(permuted(s, d), alpha=0.9), ["component", "nodes"], "intensity", "p"),
+    "network_permutation": lambda s, d: out(C.network_statistic(permuted(s, d), alpha=1.0), ["component", "nodes"], "intensity", "p"),
     "nearest_bin": nearest,
     "unit_scale": lambda s, d: out(S.unit_scale(samples(s, d)), ["channel", "epoch", "sample"], "value", digits=2),
     "epoch_baseline": lambda s, d: out(S.remove_baseline(samples(s, d)), ["channel", "epoch", "sample"], "value"),
