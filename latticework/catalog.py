@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("graphs", "signals", "cohort", "covariates", "measured")
+MODULES = ("graphs", "signals", "cohort", "covariates", "measured", "models")
 
 
 def _merged(kind: str) -> dict:

@@ -36,10 +36,6 @@ def missing_to_zero(x: Column) -> Column:
     return F.coalesce(F.nanvl(x, F.lit(None).cast("double")), F.lit(0.0))
 
 
-def nan_to_null(x: Column) -> Column:
-    return F.when(~F.isnan(x), x)
-
-
 def legendre(x: Column, terms: int = 7) -> list[Column]:
     """P_1 to P_terms by their recurrence."""
     out = [F.lit(1.0), x]

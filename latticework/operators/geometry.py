@@ -64,16 +64,19 @@ def spherical_spline(values: DataFrame, channels: pd.DataFrame, mesh: pd.DataFra
     return values.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", vertex long, value double")
 
 
-def nearest_vertices(ch: DataFrame, mesh: DataFrame, n: int = 3) -> DataFrame:
-    """The n closest mesh vertices of each channel; the mesh is a fixed small table."""
+def nearest_vertices(ch: DataFrame, mesh: DataFrame, n: int = 3, keys: Sequence[str] = ()) -> DataFrame:
+    """The n closest vertices (keys, vertex, x, y, z) of each channel (keys, channel, x, y, z), of its own head where keys name one."""
+    keys = list(keys)
     d = sum(((F.col(c) - F.col(f"m{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("mx")) ** 2)
-    both = ch.join(F.broadcast(mesh.select("vertex", *[F.col(c).alias(f"m{c}") for c in "xyz"])))
-    return both.withColumn("d", F.sqrt(d)).withColumn("rank", F.row_number().over(Window.partitionBy("channel").orderBy("d", "vertex"))).filter(F.col("rank") <= n)
+    points = mesh.select(*keys, "vertex", *[F.col(c).alias(f"m{c}") for c in "xyz"])
+    both = ch.join(points, keys) if keys else ch.crossJoin(points)  # a montage and a mesh, a few hundred rows each
+    rank = F.row_number().over(Window.partitionBy(*keys, "channel").orderBy("d", "vertex"))
+    return both.withColumn("d", F.sqrt(d)).withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
-def on_scalp(ch: DataFrame, mesh: DataFrame, factor: float = 1.06) -> DataFrame:
+def on_scalp(ch: DataFrame, mesh: DataFrame, factor: float = 1.06, keys: Sequence[str] = ()) -> DataFrame:
     """Channels at the mean of their three nearest vertices, a little outside."""
-    return nearest_vertices(ch, mesh).groupBy("channel").agg(*[(factor * F.avg(f"m{c}")).alias(c) for c in "xyz"])
+    return nearest_vertices(ch, mesh, keys=keys).groupBy(*keys, "channel").agg(*[(factor * F.avg(f"m{c}")).alias(c) for c in "xyz"])
 
 
 def colour_limits(df: DataFrame, value: str, keys: list[str], absolute: bool = False, margin: float = 0.02) -> DataFrame:

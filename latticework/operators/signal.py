@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,26 +168,39 @@ def sinc_filter(cut: float, rate: float, high: bool, length: int = 0) -> np.ndar
     return (t == 0) - h if high else h
 
 
-def filtered(df: DataFrame, rate: float, low_pass: float = 45.0, high_pass: float = 0.5, resample_to: float | None = None, keys: Sequence[str] = ("channel",)) -> DataFrame:
-    """Resamples, then low-passes, then high-passes each channel's (sample, value); a rate below the wanted one is refused."""
+def filtered(df: DataFrame, rate: float, low_pass: float = 45.0, high_pass: float = 0.5, resample_to: float | None = None, keys: Sequence[str] = ("channel",), block: int = 1 << 16) -> DataFrame:
+    """Resamples, then low-passes, then high-passes each channel's (sample, value); a rate below the wanted one is refused.
+
+    A task holds one block of a channel and, on either side, the samples that the filters reach. Samples keep their
+    numbers, counted from 0 at the new rate; missing ones are passed over, or interpolated where the rate changes. A
+    channel's first and last values are held beyond its ends.
+    """
     if resample_to and rate < resample_to:
         raise ValueError(f"sampling rate {rate} is below {resample_to}")
+    to = resample_to or rate
+    before = sinc_filter(0.45 * to, rate, False) if to < rate else None
+    stages = [sinc_filter(cut, to, high) for cut, high in ((low_pass, False), (high_pass, True)) if cut and cut < to / 2]
+    reach = math.ceil(sum(len(h) // 2 + 1 for h in stages) * rate / to) + (len(before) // 2 if before is not None else 0) + 1
+    block = max(block, reach)
     kinds = {f.name: f.dataType for f in df.schema}
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("sample")
-        x, to = p["value"].to_numpy(float), rate
-        if resample_to and rate > resample_to:
-            n, to = int(len(x) * resample_to / rate), resample_to
-            x = np.convolve(x, sinc_filter(0.45 * to, rate, False), "same")
-            x = np.interp(np.arange(n) * rate / to, np.arange(len(x)), x)
-        for cut, high in ((low_pass, False), (high_pass, True)):
-            if cut and cut < to / 2:
-                h = sinc_filter(cut, to, high)
-                x = np.convolve(np.pad(x, len(h) // 2, mode="edge"), h, "valid")
-        return pd.DataFrame({**{k: [p[k].iloc[0]] * len(x) for k in keys}, "sample": np.arange(len(x)), "value": x})
+    def smooth(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return np.convolve(np.pad(x, len(h) // 2, mode="edge"), h, "valid")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("sample")
+        at, x, k = np.asarray(t["sample"], np.int64), np.asarray(t["value"], float), t["_block"][0].as_py()
+        if before is not None:
+            new = np.arange(math.ceil(at[0] * to / rate), math.floor(at[-1] * to / rate) + 1)
+            at, x = new, np.interp(new * rate / to, at, smooth(x, before))
+        for h in stages if len(x) else ():
+            x = smooth(x, h)
+        own = (at * rate / to >= k * block) & (at * rate / to < (k + 1) * block)
+        return pa.table({**{c: pa.repeat(t[c][0], int(own.sum())) for c in keys}, "sample": at[own], "value": x[own]})
 
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k].simpleString()}" for k in keys) + ", sample long, value double")
+    number = lambda shift: F.floor((F.col("sample") + shift) / block)
+    dealt = df.select(*keys, "sample", "value", F.explode(F.array_distinct(F.array(number(-reach), number(0), number(reach)))).alias("_block"))
+    return dealt.groupBy(*keys, "_block").applyInArrow(run, ", ".join(f"{k} {kinds[k].simpleString()}" for k in keys) + ", sample long, value double")
 
 
 def remove_line_noise(df: DataFrame, rate: float, line: float = 50.0, keys: Sequence[str] = ("channel", "epoch")) -> DataFrame:
@@ -196,7 +210,8 @@ def remove_line_noise(df: DataFrame, rate: float, line: float = 50.0, keys: Sequ
     c, s = F.cos(angle), F.sin(angle)
     cc, ss, cs = F.sum(c * c).over(w), F.sum(s * s).over(w), F.sum(c * s).over(w)
     xc, xs = F.sum(F.col("value") * c).over(w), F.sum(F.col("value") * s).over(w)
-    det = F.nullif(cc * ss - cs * cs, F.lit(0.0))
+    det = cc * ss - cs * cs
+    det = F.when(det > 1e-9 * (cc + ss) ** 2, det)  # too few samples to tell sine from cosine: nothing is taken off
     return df.withColumn("value", F.col("value") - F.coalesce(((xc * ss - xs * cs) * c + (xs * cc - xc * cs) * s) / det, F.lit(0.0)))
 
 
@@ -233,8 +248,10 @@ def independent_components(df: DataFrame, keys: Sequence[str] = ("subject",), re
     def run(p: pd.DataFrame) -> pd.DataFrame:
         wide = p.pivot_table(index="channel", columns="sample", values="value").dropna(axis=1)
         x = wide.to_numpy()
+        if x.shape[1] < 2 or not x.std(axis=1).any():
+            return p[[*keys, "channel", "sample", "value"]]  # nothing to take apart
         mean = x.mean(axis=1, keepdims=True)
-        u, s, _ = np.linalg.svd(np.cov(x - mean))
+        u, s, _ = np.linalg.svd(np.atleast_2d(np.cov(x - mean)))
         keep = s > s[0] * 1e-10
         white, back = (u[:, keep] / np.sqrt(s[keep])).T, u[:, keep] * np.sqrt(s[keep])
         z = white @ (x - mean)

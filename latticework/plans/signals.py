@@ -114,7 +114,7 @@ QUERIES = {
     "wsmi": wsmi,
     "multitaper_power": multitaper,
     "filtered_signal": lambda s, d: out(S.filtered(samples(s, d).withColumn("sample", (F.col("epoch") * 24 + F.col("sample")).cast("long")).drop("epoch"), 24.0, 6.0, 0.5), ["channel", "sample"], "value"),
-    "line_noise_removed": lambda s, d: out(S.remove_line_noise(samples(s, d), 24.0, 6.0), ["channel", "epoch", "sample"], "value"),
+    "line_noise_removed": lambda s, d: out(S.remove_line_noise(samples(s, d), 24.0, 6.0), ["channel", "epoch", "sample"], "value", digits=5),
     "epoch_window": windows,
 }
 
@@ -150,5 +150,6 @@ ORACLE = {
     "channel_mean_wpli": f"WITH {_W}{_M} SELECT bin, channel, round(w,9) AS w FROM m",
     "mean_wpli_spectrum": f"WITH {_W}{_M} SELECT bin, round(avg(w),9) AS w FROM m GROUP BY 1",
     "wsmi": " UNION ALL ".join(_WSMI.format(tau=t, two=2 * t) for t in TAUS if 2 * t < 24),
+    "line_noise_removed": f"WITH {_S}, q AS (SELECT *, cos(pi()/2*sample) AS c, sin(pi()/2*sample) AS d FROM s), g AS (SELECT *, sum(c*c) OVER k AS cc, sum(d*d) OVER k AS dd, sum(c*d) OVER k AS cd, sum(value*c) OVER k AS vc, sum(value*d) OVER k AS vd FROM q WINDOW k AS (PARTITION BY channel, epoch)) SELECT channel, epoch, sample, round(value+1e-8-CASE WHEN cc*dd-cd*cd>1e-9*(cc+dd)**2 THEN ((vc*dd-vd*cd)*c+(vd*cc-vc*cd)*d)/(cc*dd-cd*cd) ELSE 0 END,5) AS value FROM g",
     "epoch_window": "SELECT event_type, strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(value),9) AS mean, round(var_samp(value),9) AS variance FROM events GROUP BY ALL",
 }
