@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassifier, NaiveBayes
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, MinMaxScaler, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
@@ -84,11 +84,8 @@ def train(df: DataFrame, algorithm: str, components: int | None = None, folds: i
     if components:
         stages.append(PCA(k=components, inputCol="features", outputCol="pca"))
         column = "pca"
-    if algorithm == "nbayes":
-        stages.append(MinMaxScaler(inputCol=column, outputCol="scaled"))
-        column = "scaled"
     width = components or df.select("features").first()[0].size
-    model = {"tree": lambda: DecisionTreeClassifier(featuresCol=column, seed=seed), "svm-linear": lambda: LinearSVC(featuresCol=column), "nbayes": lambda: NaiveBayes(featuresCol=column), "nn": lambda: MultilayerPerceptronClassifier(featuresCol=column, layers=[width, 8, 2], seed=seed)}[algorithm]()
+    model = {"tree": lambda: DecisionTreeClassifier(featuresCol=column, seed=seed), "svm-linear": lambda: LinearSVC(featuresCol=column), "nbayes": lambda: NaiveBayes(featuresCol=column, modelType="gaussian"), "nn": lambda: MultilayerPerceptronClassifier(featuresCol=column, layers=[width, 8, 2], seed=seed)}[algorithm]()
     pipeline = Pipeline(stages=[*stages, model])
     if folds:
         return CrossValidator(estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(), evaluator=BinaryClassificationEvaluator(), numFolds=folds, seed=seed).fit(df)
