@@ -15,6 +15,7 @@ _WHERE = {
     "op8_best_fit_packing": "packing",
     "op9_mix_sources": "mixing",
     "op10_quality_rules": "quality_rules",
+    "op11_line_runs": "line_runs",
 }
 
 
@@ -24,6 +25,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can tell the rows: learned scores, hashes of shingles, token ids, approximate searches and random mixes are tested in tests/llm against plain versions, whole texts' ids, recall and targets instead."""
-    from latticework.llm.quality_rules import ORACLE
-
-    return {"op10_quality_rules": ORACLE}
+    return {name: import_module(f"latticework.llm.{_WHERE[name]}").ORACLE for name in ("op10_quality_rules", "op11_line_runs")}
