@@ -68,7 +68,7 @@ class LineRuns:
     Runs lie in the shared folder and are only added whole, so a lost executor costs its own tasks.
     """
 
-    def __init__(self, spark: SparkSession, enough: int, buckets: int = 0, fanout: int = 4):
+    def __init__(self, spark: SparkSession, enough: int, buckets: int = 0, fanout: int = 3):
         self.spark, self.enough, self.fanout = spark, enough, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
@@ -117,7 +117,7 @@ class LineRuns:
             self.drop(name)
 
 
-def frequent_lines(docs: DataFrame, least: int = 1, enough: int = 10, batches: int = 8) -> DataFrame:
+def frequent_lines(docs: DataFrame, least: int = 1, enough: int = 10, batches: int = 4) -> DataFrame:
     """a, b of the line keys of at least `least` code points that at least `enough` rows of docs hold, found batch by batch."""
     spark = docs.sparkSession
     runs = LineRuns(spark, enough)
@@ -174,7 +174,7 @@ def with_hits(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     return named.join(hits, ["t1", "t2"], "left").drop("t1", "t2")
 
 
-def drop_frequent_lines(docs: DataFrame, least: int = 1, enough: int = 10, batches: int = 8, keep: tuple[str, ...] = ("doc_id",), with_text: bool = True, held: int = HELD) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, least: int = 1, enough: int = 10, batches: int = 4, keep: tuple[str, ...] = ("doc_id",), with_text: bool = True, held: int = HELD) -> DataFrame:
     """The columns `keep` of each row, n_lines, n_dropped, kept_sha256 and kept, the text without its frequent lines.
 
     Texts are split at \\n. A line's key is the line without ASCII white space at its ends, A-Z lower-cased; keys of at
