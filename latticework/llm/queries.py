@@ -16,6 +16,7 @@ _WHERE = {
     "op9_mix_sources": "mixing",
     "op10_quality_rules": "quality_rules",
     "op11_line_runs": "line_runs",
+    "op13_structure_repair": "conversations",
 }
 
 
