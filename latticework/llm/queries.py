@@ -16,6 +16,7 @@ _WHERE = {
     "op9_mix_sources": "mixing",
     "op10_quality_rules": "quality_rules",
     "op11_line_runs": "line_runs",
+    "op12_hard_negatives": "hard_negatives",
     "op13_structure_repair": "conversations",
 }
 
@@ -26,4 +27,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can tell the rows: learned scores, hashes of shingles, token ids, approximate searches and random mixes are tested in tests/llm against plain versions, whole texts' ids, recall and targets instead."""
-    return {name: import_module(f"latticework.llm.{_WHERE[name]}").ORACLE for name in ("op10_quality_rules", "op11_line_runs")}
+    return {name: import_module(f"latticework.llm.{_WHERE[name]}").ORACLE for name in ("op10_quality_rules", "op11_line_runs", "op12_hard_negatives")}
