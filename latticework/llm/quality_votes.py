@@ -81,9 +81,11 @@ class Votes:
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(texts), block):
             x = self.unit(np.array([terms(t) for t in texts[at : at + block]]) * self.weight)
-            near = np.round(self.unit(x @ self.axes) @ self.voters.T, 5)
-            power = np.where(nearest(near, k), np.maximum(1e-6, near), 0.0) ** 8
-            out[at : at + block] = (power * self.labels).sum(axis=1) / power.sum(axis=1)
+            x = self.unit(x @ self.axes)
+            near = np.round(x @ self.voters.T, 5)
+            power = np.where(nearest(near, k), np.maximum(1e-6, near.astype(float)), 0.0) ** 8
+            votes = (power * self.labels).sum(axis=1) / power.sum(axis=1)
+            out[at : at + block] = np.where(x.any(axis=1), votes, self.prior)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -109,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Votes | None
 
 
 def score(docs: DataFrame, model: Votes | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, then score for each row from the text alone. Null and empty texts meet all voters alike and get the share of good ones; so does all if nothing could be learned (then 1). Similarities are rounded, so that ties fall alike in any batch; voters equally near at the last place vote in the order of their ids."""
+    """The columns `keep`, then score, from 0 to 1, for each row from the text alone. Texts without a known term (null, empty, a single white-space character) meet all voters alike and get the share of good ones; if nothing could be learned, all get 1. Texts at right angles to all voters get the plain vote of the first ones. Texts of any length count whole; repeated rows score alike, other columns don't matter, and an empty table gives an empty result. Similarities are rounded, so that ties fall alike in any batch; voters equally near at the last place vote in the order of their ids."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,6 +53,22 @@ def test_quality_is_the_vote_of_all_cosines(spark, docs):
     assert len({*m.score(["one two three"] * 5).tolist()}) == 1
 
 
+def test_blank_and_orthogonal_texts_have_scores(spark, docs):
+    """White space holds no term; a text at right angles to all voters, or opposite to them, has the votes of the first."""
+    m = quality_votes.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert m.score([" ", "\n", "\t", ""]).tolist() == pytest.approx([m.prior] * 4)
+    own = [(" ", 1), ("\n", 2), ("a b c", 3), (None, 4)]
+    got = [r["score"] for r in quality_votes.score(spark.createDataFrame(own, "text string, doc_id long"), m).collect()]
+    assert len(got) == 4 and all(0 <= x <= 1 for x in got)
+    k = quality_votes.NEIGHBOURS
+    for voters in (np.eye(len(m.voters), m.voters.shape[1], -1, np.float32) * 0, -np.abs(m.voters)):
+        m.voters, m.axes = voters.astype(np.float32), np.abs(m.axes)
+        got = m.score(["plain words here", "and others there"])
+        assert np.isfinite(got).all() and ((got >= 0) & (got <= 1)).all()
+    m.voters[:] = 0
+    assert m.score(["plain words here"])[0] == pytest.approx(m.labels[:k].mean(), abs=1e-6)
+
+
 def test_equal_voters_vote_in_order():
     near = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2, 0.2]])
     assert quality_votes.nearest(near, 3).tolist() == [[True, True, True, False, False], [True, True, True, False, False]]
