@@ -14,6 +14,9 @@ from latticework.llm.common import table
 
 #: Verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+VERDICT = "verdict="
+#: Frequent items of one row up to which FP-growth takes them all together.
+WIDEST = 18
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -46,37 +49,48 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(suffixes, single, segments, names, shape))
 
 
-def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.6, longest: int = 3) -> list[tuple[frozenset[str], str, float, float]]:
-    """Rules (items, verdict, confidence, support) from rows of items and label.
+def grown(baskets: DataFrame, least: float, confidence: float, n: int) -> list[tuple[frozenset[str], str, float, float]]:
+    """FP-growth's rules from items to a verdict over baskets (items, one of them the verdict): items, verdict, confidence, support as a share of n rows."""
+    total = baskets.count()
+    if not total:
+        return []
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / total), minConfidence=confidence).fit(baskets)
+    rules = model.associationRules.filter(F.get("consequent", F.lit(0)).startswith(VERDICT) & ~F.exists("antecedent", lambda x: x.startswith(VERDICT)))
+    return [(frozenset(r["antecedent"]), r["consequent"][0].removeprefix(VERDICT), r["confidence"], r["support"] * total / n) for r in rules.select("antecedent", "consequent", "confidence", "support").collect()]
+
+
+def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.6, longest: int = 3, widest: int = WIDEST) -> list[tuple[frozenset[str], str, float, float]]:
+    """Rules (items, verdict, confidence, support) of at most `longest` items from rows of items and label, all from FP-growth.
 
-    Single items are counted first. One that always comes with the same verdict is a rule by itself, and no larger one
-    that holds it can be surer; of items that stand in the very same rows, which a sum of the rows' hashes tells, the
-    smallest speaks for all. FP-growth runs on Spark over all labelled rows and the items left, so long urls with fixed
-    parts make few sets. Supports are shares of the rows, so mean items of a row / support bounds the single items that
-    reach the driver, whatever the row count.
+    Frequent items are told by a count first, as in any FP-growth; of those that stand in the very same rows, which a sum
+    of the rows' hashes tells, the smallest speaks for all, so that long urls with fixed parts make few sets. FP-growth
+    then runs on Spark over all labelled rows, each with its frequent items and its verdict. Where a row has more than
+    `widest` of them, sets could become too many: then items that always come with one verdict are mined one by one and
+    the others in sets. That gives the same rules, since a rule goes if a part of it is as sure, and none is surer than
+    an item that always comes with one verdict. Supports are shares of the rows, so mean items of a row / support bounds
+    the items that reach the driver, whatever the row count.
     """
     n = labelled.count()
     if not n:
         return []
     flat = labelled.withColumn("row", F.xxhash64("items", "label", F.monotonically_increasing_id())).select("label", "row", F.explode("items").alias("item"))
     per = flat.groupBy("item", "label").agg(F.count("*").alias("n"), F.sum(F.col("row").cast("decimal(38,0)")).alias("rows"))
-    per = per.groupBy("item").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("label"), F.sum("rows").alias("rows")).filter(F.col("n") >= support * n)
-    single = per.collect()  # frequent items only
-    got = [(frozenset([r["item"]]), r["label"], r["most"] / r["n"], r["most"] / n) for r in single if r["most"] >= max(confidence * r["n"], support * n)]
+    per = per.groupBy("item").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("rows").alias("rows")).filter(F.col("n") >= support * n)
     speaks: dict = {}
-    for r in sorted(single, key=lambda r: r["item"]):
-        if r["most"] < r["n"]:
-            speaks.setdefault((r["n"], r["rows"]), r["item"])
-    left = list(speaks.values())
-    if left:
-        kept = F.filter("items", lambda x: x.isin(left))
-        baskets = labelled.select(F.concat(kept, F.array(F.concat(F.lit("verdict="), F.col("label")))).alias("items"))
-        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-        rules = model.associationRules.filter(F.get("consequent", F.lit(0)).startswith("verdict=") & (F.size("antecedent") <= longest) & ~F.exists("antecedent", lambda x: x.startswith("verdict=")))
-        got += [(frozenset(r["antecedent"]), r["consequent"][0].removeprefix("verdict="), r["confidence"], r["support"]) for r in rules.collect()]
-    best = {}
+    for r in sorted(per.collect(), key=lambda r: r["item"]):  # frequent items only
+        speaks.setdefault((r["n"], r["rows"]), r)
+    sure, unsure = [r["item"] for r in speaks.values() if r["most"] == r["n"]], [r["item"] for r in speaks.values() if r["most"] < r["n"]]
+    own = lambda some: F.filter("items", lambda x: x.isin(some)) if some else F.array().cast("array<string>")
+    verdict = F.array(F.concat(F.lit(VERDICT), F.col("label")))
+    together = lambda some: labelled.select(F.concat(own(some), verdict).alias("items"))
+    if (labelled.agg(F.max(F.size(own(sure + unsure)))).collect()[0][0] or 0) <= widest:
+        got = grown(together(sure + unsure), support * n, confidence, n)
+    else:
+        alone = labelled.select("label", F.explode(own(sure)).alias("item")).select(F.concat(F.array("item"), verdict).alias("items"))
+        got = grown(alone, support * n, confidence, n) + grown(together(unsure), support * n, confidence, n)
+    best: dict = {}
     for r in sorted(got, key=lambda r: (len(r[0]), -r[2], -r[3], sorted(r[0]))):  # a rule stays if no part of it is as sure
-        if (r[0], r[1]) not in best and not any(part < r[0] and v == r[1] and c >= r[2] for (part, v), (c, _) in best.items()):
+        if len(r[0]) <= longest and (r[0], r[1]) not in best and not any(part < r[0] and v == r[1] and c >= r[2] for (part, v), (c, _) in best.items()):
             best[r[0], r[1]] = (r[2], r[3])
     return [(items, v, c, s) for (items, v), (c, s) in best.items()]
 
@@ -85,9 +99,10 @@ def judge(pages: DataFrame, support: float = 0.01, confidence: float = 0.6, defa
     """page_id, host, path, rule, verdict for each row.
 
     The fixed rules label what they fit; association rules mined from these labels judge the rest, through an inverted
-    index from item to rules: the surest rule whose items are all there, then the one of most support, then of most
-    items, then the first by name. Urls that no rule fits, null, empty and malformed ones too, get `default`. Equal rows
-    are judged alike, and urls of any length by all their items.
+    index from item to rules of at most three items: the surest rule whose items are all there, then the one of most
+    support, then of most items, then the first by name. Urls that no rule fits, null, empty and malformed ones too, get
+    `default`. Equal rows are judged alike, and urls of any length by all their items. Other columns, whatever their
+    names, don't matter; an empty table gives an empty result.
     """
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     df = pages.select(F.col("page_id").alias("page_id"), url.alias("url"))
