@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.scalar import decibel
 from latticework.operators import conditions as C
 from latticework.operators import signal as S
+from latticework.operators import spectra as P
 from latticework.session import table
 from latticework.streaming.windows import epoch_windows
 
@@ -38,7 +40,10 @@ def spectrum(spark, d):
 
 
 def wpli(spark, d):
-    return S.debiased_wpli(S.cross_spectrum(four(spark, d)))
+    """Of plain, untapered epochs, by blocks of channel pairs."""
+    names = P.channel_names(table(spark, d, "events").select(F.col("event_type").alias("channel")))
+    blocks = P.cross_blocks(samples(spark, d), names, 24.0, 24, lo=1.0, hi=11.0, keys=(), windows=np.ones((1, 24)))
+    return P.block_wpli(blocks, names, ()).withColumn("bin", F.col("freq").cast("int"))
 
 
 def peak_power(spark, d):
