@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.operators.ranks import pair_ranks
+from latticework.operators.selection import median
+
 Keys = Sequence[str]
 
 
@@ -24,33 +27,24 @@ def value_counts(df: DataFrame, keys: Keys, grp: str = "grp", score: str = "scor
 
 
 def pair_counts(counts: DataFrame, pairs: DataFrame, keys: Keys, grp: str = "grp", score: str = "score") -> DataFrame:
-    """keys, g0, g1, score, n0, n1 for every pair of groups."""
-    hit = counts.join(F.broadcast(pairs), (F.col(grp) == F.col("g0")) | (F.col(grp) == F.col("g1")))
-    return hit.groupBy(*keys, "g0", "g1", score).agg(F.sum(F.when(F.col(grp) == F.col("g0"), F.col("n")).otherwise(0.0)).alias("n0"), F.sum(F.when(F.col(grp) == F.col("g1"), F.col("n")).otherwise(0.0)).alias("n1"))
+    """What the ranks of each pair of groups tell, from counts of equal values; see ranks.pair_ranks."""
+    return pair_ranks(counts, keys, grp, score, "n", pairs)
 
 
-def rank_statistics(pc: DataFrame, keys: Keys, score: str = "score") -> DataFrame:
-    """n0, n1, u (of the higher group), auc (folded), u_min and the tie-corrected z of each pair."""
-    pair = [*keys, "g0", "g1"]
-    before = Window.partitionBy(*pair).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    rows = pc.withColumn("u", F.col("n1") * (F.coalesce(F.sum("n0").over(before), F.lit(0.0)) + F.col("n0") / 2)).withColumn("t", F.col("n0") + F.col("n1"))
-    a = rows.groupBy(*pair).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("u").alias("u"), F.sum(F.col("t") ** 3 - F.col("t")).alias("ties")).filter("n0 > 0 and n1 > 0")
+def rank_statistics(pr: DataFrame, keys: Keys) -> DataFrame:
+    """n0, n1, u (of the higher group), auc (folded), u_min, the tie-corrected z and, of small groups, exact_p of each pair."""
     n, n01 = F.col("n0") + F.col("n1"), F.col("n0") * F.col("n1")
     auc = F.col("u") / n01
     var = n01 / 12 * (n + 1 - F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0)))
-    return a.select(*pair, "n0", "n1", "u", F.greatest(auc, 1 - auc).alias("auc"), F.least(F.col("u"), n01 - F.col("u")).alias("u_min"), ((F.col("u") - n01 / 2) / F.nullif(F.sqrt(var), F.lit(0.0))).alias("z"))
+    z = (F.col("u") - n01 / 2) / F.nullif(F.sqrt(var), F.lit(0.0))
+    return pr.select(*keys, "g0", "g1", "n0", "n1", "u", F.greatest(auc, 1 - auc).alias("auc"), F.least(F.col("u"), n01 - F.col("u")).alias("u_min"), z.alias("z"), "exact_p")
 
 
-def youden(pc: DataFrame, keys: Keys, score: str = "score") -> DataFrame:
+def youden(pr: DataFrame, keys: Keys) -> DataFrame:
     """The score whose |TPR - FPR|, of rows at it or above, is largest, the larger of equals, and the confusion of strictly higher scores."""
-    pair = [*keys, "g0", "g1"]
-    part = Window.partitionBy(*pair)
-    from_top = part.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    rows = pc.select("*", F.sum("n0").over(from_top).alias("fp_at"), F.sum("n1").over(from_top).alias("tp_at"), F.sum("n0").over(part).alias("neg"), F.sum("n1").over(part).alias("pos")).filter("neg > 0 and pos > 0")
-    rows = rows.withColumn("j", F.round(F.abs(F.col("tp_at") / F.col("pos") - F.col("fp_at") / F.col("neg")), 9))
-    best = rows.groupBy(*pair).agg(F.max_by(F.struct(score, "j", "fp_at", "tp_at", "neg", "pos", "n0", "n1"), F.struct("j", score)).alias("b")).select(*pair, "b.*")
-    fp, tp = F.col("fp_at") - F.col("n0"), F.col("tp_at") - F.col("n1")
-    return best.select(*pair, F.col(score).alias("threshold"), "j", (F.col("neg") - fp).alias("tn"), fp.alias("fp"), (F.col("pos") - tp).alias("fn"), tp.alias("tp"))
+    j = F.round(F.abs(F.col("tp_at") / F.col("n1") - F.col("fp_at") / F.col("n0")), 9)
+    fp, tp = F.col("fp_at") - F.col("at0"), F.col("tp_at") - F.col("at1")
+    return pr.select(*keys, "g0", "g1", "threshold", j.alias("j"), (F.col("n0") - fp).alias("tn"), fp.alias("fp"), (F.col("n1") - tp).alias("fn"), tp.alias("tp"))
 
 
 def contingency(df: DataFrame) -> DataFrame:
@@ -62,7 +56,7 @@ def contingency(df: DataFrame) -> DataFrame:
 
 def jonckheere(counts: DataFrame, keys: Keys, grp: str = "grp", score: str = "score") -> DataFrame:
     """The trend statistic over all group pairs g0 < g1 (ties count half) and its z, without the correction for ties."""
-    stats = rank_statistics(pair_counts(counts, group_pairs(counts, grp), keys, grp, score), keys, score)
+    stats = rank_statistics(pair_counts(counts, group_pairs(counts, grp), keys, grp, score), keys)
     jt = stats.groupBy(*keys).agg(F.sum("u").alias("jt"))
     size = counts.groupBy(*keys, grp).agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") ** 2).alias("n2"), F.sum(F.col("n") ** 2 * (2 * F.col("n") + 3)).alias("n3"))
     keyed = jt.join(size, list(keys)) if keys else jt.crossJoin(size)
@@ -93,8 +87,9 @@ def mean_sem(df: DataFrame, value: str, keys: Keys) -> DataFrame:
 
 
 def median_of_medians(df: DataFrame, value: str, inner: Keys, outer: Keys) -> DataFrame:
+    """The median over inner keys, each a unit of a few values, by Spark's own function; then over units, which may be any number, by exact selection."""
     first = df.groupBy(*outer, *inner).agg(F.median(value).alias("m"))
-    return first.groupBy(*outer).agg(F.median("m").alias("median"))
+    return median(first, "m", outer)
 
 
 def hashed(units: np.ndarray, perms: np.ndarray, seed: int = 1) -> np.ndarray:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from latticework.functions.scalar import chi2_one_df, normal_two_sided, r9
 from latticework.operators import classify as C
 from latticework.operators import stats as T
+from latticework.operators.ranks import pair_ranks
+from latticework.operators.selection import median
 from latticework.session import table
 
 
@@ -23,8 +25,7 @@ def lines(spark, d) -> DataFrame:
 
 
 def counts_of(df):
-    c = T.value_counts(df, ["feature"])
-    return T.pair_counts(c, T.group_pairs(df), ["feature"])
+    return pair_ranks(df, ["feature"])
 
 
 def out(df, keys, *values):
@@ -59,7 +60,7 @@ def chi2(spark, d):
 
 
 def ranksum_p(spark, d):
-    return out(T.rank_statistics(counts_of(scores(spark, d)), ["feature"]).withColumn("p", normal_two_sided("z")), PAIR, "z", "p")
+    return out(T.rank_statistics(counts_of(scores(spark, d)), ["feature"]).withColumn("p", F.coalesce("exact_p", normal_two_sided("z"))), PAIR, "z", "p")
 
 
 def trend(spark, d):
@@ -67,9 +68,9 @@ def trend(spark, d):
 
 
 def tests(spark, d) -> DataFrame:
-    """A pseudo p, exp(-|z|) of each position and pair: rank order is all that discovery rates use."""
+    """The rank-sum p and the AUC of each position and pair."""
     z = T.rank_statistics(counts_of(scores(spark, d)), ["feature"])
-    return z.select(*PAIR, r9(F.exp(-F.abs("z") * 1.5)).alias("p"), r9(F.col("auc")).alias("auc"))
+    return z.select(*PAIR, r9(F.coalesce("exact_p", normal_two_sided("z"))).alias("p"), r9(F.col("auc")).alias("auc"))
 
 
 def tiers(spark, d):
@@ -93,7 +94,9 @@ def medians(spark, d):
 
 
 def pooled(spark, d):
-    return out(scores(spark, d).groupBy("grp").agg(F.median("score").alias("median"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd")), ["grp"], "median", "mean", "sd")
+    s = scores(spark, d)
+    means = s.groupBy("grp").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"))
+    return out(median(s, "score", ["grp"]).join(means, "grp"), ["grp"], "median", "mean", "sd")
 
 
 def bayes(spark, d):
@@ -162,12 +165,11 @@ _PC = ", g AS (SELECT DISTINCT grp FROM sc), pairs AS (SELECT a.grp AS g0, b.grp
 _ST = _PC + ", ru AS (SELECT *, n1*(coalesce(sum(n0) OVER (PARTITION BY feature,g0,g1 ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)+n0/2) AS u FROM pc), st0 AS (SELECT feature, g0, g1, sum(n0) AS n0, sum(n1) AS n1, sum(u) AS u, sum((n0+n1)**3-(n0+n1)) AS ties FROM ru GROUP BY ALL), st AS (SELECT *, greatest(u/(n0*n1),1-u/(n0*n1)) AS auc, least(u,n0*n1-u) AS u_min, (u-n0*n1/2)/sqrt(n0*n1/12*(n0+n1+1-ties/((n0+n1)*(n0+n1-1)))) AS z FROM st0)"
 _YO = _PC + ", yo AS (SELECT *, sum(n0) OVER t AS fp_at, sum(n1) OVER t AS tp_at, sum(n0) OVER a AS neg, sum(n1) OVER a AS pos FROM pc WINDOW t AS (PARTITION BY feature,g0,g1 ORDER BY score DESC ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY feature,g0,g1)), yb AS (SELECT * FROM (SELECT *, round(abs(tp_at/pos-fp_at/neg),9) AS j, row_number() OVER (PARTITION BY feature,g0,g1 ORDER BY round(abs(tp_at/pos-fp_at/neg),9) DESC, score DESC) AS r FROM yo) WHERE r=1), cm AS (SELECT feature, g0, g1, neg-(fp_at-n0) AS tn, fp_at-n0 AS fp, pos-(tp_at-n1) AS fn, tp_at-n1 AS tp FROM yb)"
 _EM = "WITH " + _SC.format(w="label IS NOT NULL")
-_TE = _EM + _ST + ", te AS (SELECT feature, g0, g1, round(exp(-abs(z)*1.5),9) AS p, round(auc,9) AS auc FROM st), tr AS (SELECT *, rank() OVER (ORDER BY p)+count(*) OVER (PARTITION BY p)-1 AS i, count(*) OVER () AS m FROM te), fd AS (SELECT feature, g0, g1, p, auc, coalesce(max(CASE WHEN p<=0.05*i/m THEN p END) OVER (),0.0) AS fdr FROM tr)"
-_TIER = "CASE WHEN p<=fdr AND fdr>0 THEN 2 WHEN p<0.05 THEN 1 END"
-_BA = "WITH ev AS (SELECT CAST(dayofyear(ts) AS INT) AS day, event_type AS cls, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT CAST(floor(day/7) AS INT) AS week, day, cls, n/CAST(sum(n) OVER (PARTITION BY day) AS DOUBLE) AS p FROM ev), l AS (SELECT *, sum(ln(p)) OVER (PARTITION BY week, cls ORDER BY day ROWS UNBOUNDED PRECEDING) AS l FROM p), e AS (SELECT *, exp(l-max(l) OVER (PARTITION BY week, day)) AS e FROM l), b AS (SELECT week, day, cls, e/sum(e) OVER (PARTITION BY week, day) AS posterior FROM e)"
-
 #: 1 less the error function's power series.
 _ERFC = "(1-list_sum(list_transform(range(0,200), lambda n: CASE WHEN {x}=0 THEN 0.0 ELSE exp(0-({x})**2+(2*n+1)*ln({x})-lgamma(n+1.5)) END)))"
+_TE = _EM + _ST + ", te AS (SELECT feature, g0, g1, round(" + _ERFC.format(x="abs(z)/sqrt(2)") + ",9) AS p, round(auc,9) AS auc FROM st), tr AS (SELECT *, rank() OVER (ORDER BY p)+count(*) OVER (PARTITION BY p)-1 AS i, count(*) OVER () AS m FROM te), fd AS (SELECT feature, g0, g1, p, auc, coalesce(max(CASE WHEN p<=0.05*i/m THEN p END) OVER (),0.0) AS fdr FROM tr)"
+_TIER = "CASE WHEN p<=fdr AND fdr>0 THEN 2 WHEN p<0.05 THEN 1 END"
+_BA = "WITH ev AS (SELECT CAST(dayofyear(ts) AS INT) AS day, event_type AS cls, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT CAST(floor(day/7) AS INT) AS week, day, cls, n/CAST(sum(n) OVER (PARTITION BY day) AS DOUBLE) AS p FROM ev), l AS (SELECT *, sum(ln(p)) OVER (PARTITION BY week, cls ORDER BY day ROWS UNBOUNDED PRECEDING) AS l FROM p), e AS (SELECT *, exp(l-max(l) OVER (PARTITION BY week, day)) AS e FROM l), b AS (SELECT week, day, cls, e/sum(e) OVER (PARTITION BY week, day) AS posterior FROM e)"
 
 ORACLE = {
     "ecc_accuracy": "WITH c AS (SELECT doc_id%3 AS fold, quality+toxic AS t, CASE WHEN s1=-1 AND s2=-1 THEN 1 WHEN s1=-1 THEN 0 WHEN s2=1 AND s1=0 THEN 2 ELSE 1 END AS cls FROM (SELECT doc_id, quality, toxic, quality*2-1 AS s1, CASE WHEN doc_id%5=0 THEN 0 ELSE toxic*2-1 END AS s2 FROM labels)) SELECT fold, round(100.0*avg(CASE WHEN t=cls THEN 1.0 ELSE 0.0 END),9) AS accuracy FROM c GROUP BY 1",

@@ -8,6 +8,7 @@ from latticework.functions.scalar import r9
 from latticework.operators import graph as G
 from latticework.operators import measures as M
 from latticework.operators import stats as T
+from latticework.operators.ranks import pair_ranks
 from latticework.operators.reference import thresholds
 from latticework.plans import cohort, graphs, signals
 from latticework.session import table
@@ -30,7 +31,7 @@ def best(spark, d):
     """Eight positions as a feature's densities: each pair's statistics at its best one."""
     s = cohort.scores(spark, d).withColumn("t_idx", (F.col("feature") % 8).cast("int")).withColumn("feature", F.floor(F.col("feature") / 8).cast("int"))
     keys = ["feature", "t_idx"]
-    st = T.rank_statistics(T.pair_counts(T.value_counts(s, keys), T.group_pairs(s), keys), keys)
+    st = T.rank_statistics(pair_ranks(s, keys), keys)
     b = M.best_density(st.select("feature", "g0", "g1", "t_idx", "auc", "u_min"), ["feature", "g0", "g1"])
     return b.select("feature", "g0", "g1", "t_idx", r9(F.col("auc")).alias("auc"), "u_min")
 

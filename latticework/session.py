@@ -1,7 +1,10 @@
-"""Sessions and tables."""
+"""Sessions, tables, and steps written so that they run once."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,3 +19,17 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written below spark.checkpoint.dir, which driver and executors share, and read again: runs once, and survives lost executors. Where that is unset, a temporary folder does for a local master; on a cluster it is an error."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="latticework-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
