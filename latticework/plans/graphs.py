@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from latticework.functions.scalar import colour_index, r9, rescale
 from latticework.operators import graph as G
 from latticework.operators.reference import density_range, thresholds
+from latticework.operators.similarity import subject_pairs_nmi
 from latticework.session import table
 
 KEYS = ["label"]
@@ -112,10 +113,8 @@ def nmi(spark, d):
 
 def subject_nmi(spark, d):
     """NMI of every pair of labels' partitions of the nodes, by degree modulo 3."""
-    m = G.degree(edges(spark, d), KEYS, nodes(spark, d)).select("label", "node", (F.col("degree") % 3).alias("m"))
-    a, b = m.select(F.col("label").alias("s1"), "node", F.col("m").alias("m1")), m.select(F.col("label").alias("s2"), "node", F.col("m").alias("m2"))
-    joint = a.join(b, "node").filter("s1 < s2").groupBy("s1", "s2", "m1", "m2").agg(F.count("*").cast("double").alias("n"))
-    return out(G.partition_nmi(joint, "m1", "m2", keys=["s1", "s2"]), ["s1", "s2"], "nmi")
+    m = G.degree(edges(spark, d), KEYS, nodes(spark, d)).select("label", "node", (F.col("degree") % 3).alias("module"))
+    return out(subject_pairs_nmi(m, subject="label"), ["s1", "s2"], "nmi")
 
 
 QUERIES = {

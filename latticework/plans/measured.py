@@ -10,6 +10,7 @@ from latticework.operators import measures as M
 from latticework.operators import stats as T
 from latticework.operators.ranks import pair_ranks
 from latticework.operators.reference import thresholds
+from latticework.operators.similarity import subject_pairs_nmi
 from latticework.plans import cohort, graphs, signals
 from latticework.session import table
 
@@ -48,10 +49,8 @@ def report(spark, d):
 
 def density_nmi(spark, d):
     """NMI of every pair of labels' partitions (degree modulo 3), averaged over the densities from 0.5 to 0.1, in the order of the labels' parity."""
-    m = degrees(spark, d).filter("t_idx >= 20").select("label", "t_idx", F.col("channel").alias("node"), (F.col("value") % 3).cast("int").alias("m"))
-    a, b = m.select(F.col("label").alias("s1"), "t_idx", "node", F.col("m").alias("m1")), m.select(F.col("label").alias("s2"), "t_idx", "node", F.col("m").alias("m2"))
-    joint = a.join(b, ["t_idx", "node"]).filter("s1 < s2").groupBy("s1", "s2", "t_idx", "m1", "m2").agg(F.count("*").cast("double").alias("n"))
-    each = G.partition_nmi(joint, "m1", "m2", keys=["s1", "s2", "t_idx"])
+    m = degrees(spark, d).filter("t_idx >= 20").select("label", "t_idx", F.col("channel").alias("node"), (F.col("value") % 3).cast("int").alias("module"))
+    each = subject_pairs_nmi(m, ["t_idx"], "label")
     mean = each.groupBy("s1", "s2").agg(r9(F.avg("nmi")).alias("nmi"))
     place = lambda c: (F.col(c) % 2 * 100 + F.col(c)).cast("int")
     return mean.select("s1", "s2", place("s1").alias("row"), place("s2").alias("col"), "nmi")
