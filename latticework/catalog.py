@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("graphs", "signals", "subjects", "cohort", "covariates", "measured", "models")
+MODULES = ("graphs", "signals", "subjects", "cohort", "covariates", "measured", "models", "statements")
 
 
 def _merged(kind: str) -> dict:
