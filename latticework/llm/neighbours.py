@@ -72,7 +72,6 @@ class Chunk:
 
     def __init__(self, t: pa.Table, lsh: PStable):
         self.x, self.ids = matrix(t.column("v").combine_chunks()), t.column("ids").to_pylist()
-        self.squares = (self.x * self.x).sum(axis=1)
         keys = lsh.keys(lsh.slots(self.x)[0])
         self.order = np.argsort(keys, axis=0, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=0)
@@ -87,18 +86,13 @@ class Chunk:
                 marked[order[i:j]] = True
         return marked
 
-    def nearest(self, q: np.ndarray, marked: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
-        """For each query the k nearest ids among its marked vectors. A matrix product finds those that can be among them; their distances are then taken exactly."""
-        rough = self.squares[None] + (q * q).sum(axis=1)[:, None] - 2 * q @ self.x.T
-        slack = 1e-9 * (1 + np.abs(rough).max(axis=1))
-        rough[~marked] = np.inf
-        cut = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1] + slack
-        out = []
-        for i in range(len(q)):
-            near = np.flatnonzero((rough[i] <= cut[i]) & marked[i])
-            exact = np.sqrt(((self.x[near] - q[i]) ** 2).sum(axis=1))
-            out.append(sorted((d, m) for d, j in zip(exact.tolist(), near, strict=True) for m in self.ids[j])[:k])
-        return out
+    def nearest(self, q: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k nearest ids to one query among the rows given; only these are measured, and exactly."""
+        squares = ((self.x[rows] - q) ** 2).sum(axis=1)
+        if len(rows) > k:
+            near = np.flatnonzero(squares <= np.partition(squares, k - 1)[k - 1] * (1 + 1e-12))  # roots may be equal where squares differ in the last place
+            rows, squares = rows[near], squares[near]
+        return sorted((d, m) for d, j in zip(np.sqrt(squares).tolist(), rows.tolist(), strict=True) for m in self.ids[j])[:k]
 
 
 def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 4, bits: int = 6, probes: int = 130, spread: float = 1.47, chunk: int = 16_384, block: int = 8192) -> DataFrame:
@@ -108,9 +102,9 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 4, b
     visits, in every table, its own bucket and those that small steps of its slots reach, in estimated success order.
     Classes are dealt to chunks by hash, so that neither frequent vectors nor crowded buckets meet in one task, and
     queries to blocks; each block goes once to each chunk. A task marks what a query's buckets hold in its chunk, in all
-    tables together, measures it once and answers with the k + 1 nearest. Queries that find fewer than k others, though
+    tables together, measures these vectors alone, each once, and answers with the k + 1 nearest. Queries that find fewer than k others, though
     there are more, are measured against all of every chunk. Rows whose dimension isn't the commonest take no part; ids
-    that are null, and rows without usable vectors, neither. The slot width is `spread` times the distance within which
+    that are null, and rows without usable vectors, neither; an empty table gives an empty result. The slot width is `spread` times the distance within which
     nine tenths of a bounded sample have k neighbours, so that close copies of some vectors don't narrow it for the others.
     """
     spark = vectors.sparkSession
@@ -153,12 +147,11 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, tables: int = 4, b
                 part = Chunk(right, lsh)
                 q, asking = matrix(left.column("v").combine_chunks()), left.column("q").to_pylist()
                 wanted = left.column("keys").to_pylist()
-                step = max(1, (1 << 22) // len(part.x))
-                for i in range(0, len(q), step):
-                    marked = np.ones((len(q[i : i + step]), len(part.x)), bool) if whole else np.stack([part.candidates(np.frombuffer(w, "<u4").reshape(tables, -1)) for w in wanted[i : i + step]])
-                    for name, found in zip(asking[i : i + step], part.nearest(q[i : i + step], marked, k + 1), strict=True):
-                        for s, m in found:
-                            out["q"].append(name), out["vec_id"].append(m), out["score"].append(s)
+                every = np.arange(len(part.x))
+                for name, v, w in zip(asking, q, wanted, strict=True):
+                    rows = every if whole else np.flatnonzero(part.candidates(np.frombuffer(w, "<u4").reshape(tables, -1)))
+                    for s, m in part.nearest(v, rows, k + 1) if len(rows) else ():
+                        out["q"].append(name), out["vec_id"].append(m), out["score"].append(s)
             return pa.table({"q": pa.array(out["q"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
         return run

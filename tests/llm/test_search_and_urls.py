@@ -24,6 +24,27 @@ def test_recall_and_scores(spark):
     assert hit / total >= 0.9
 
 
+def test_only_candidates_are_measured():
+    """A chunk's distances are taken for the rows that the wanted buckets hold, and for no other."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 8))
+    lsh = neighbours.PStable(8, 2.0, 3, 4)
+    part = neighbours.Chunk(pa.table({"v": pa.array(x.tolist()), "ids": pa.array([[k] for k in range(500)])}), lsh)
+    slots, places = lsh.slots(x[:20])
+    for i in range(20):
+        wanted = np.stack([lsh.keys(s + np.stack(lsh.probes(p, 9))) for s, p in zip(slots[i], places[i], strict=True)])
+        rows = np.flatnonzero(part.candidates(wanted))
+        held = {k for t in range(3) for k in np.flatnonzero(np.isin(lsh.keys(lsh.slots(x)[0])[:, t], wanted[t]))}
+        assert set(rows) == held and 0 < len(rows) < 500
+        part.x = np.full_like(x, np.nan)
+        part.x[rows] = x[rows]
+        d = np.sqrt(((x[rows] - x[i]) ** 2).sum(axis=1))
+        assert part.nearest(x[i], rows, 5) == sorted(zip(d.tolist(), rows.tolist(), strict=True))[:5]
+        part.x = x
+
+
 def test_odd_vectors(spark):
     rows = [(100 * k, [1.0, 0.0, float(k)], 1) for k in range(3)] + [(k, [1.0, 0.0, 0.0], 1) for k in range(1, 40)] + [(500, None, 1), (501, [0.0] * 3, 1), (502, [1.0, None, 2.0], 1), (503, [float("nan"), 1.0, 2.0], 1), (504, [1.0, float("inf"), 2.0], 1), (None, [1.0, 0.0, 0.0], 1), (505, [], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v int")
