@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -168,7 +169,30 @@ def sinc_filter(cut: float, rate: float, high: bool, length: int = 0) -> np.ndar
     return (t == 0) - h if high else h
 
 
-def filtered(df: DataFrame, rate: float, low_pass: float = 45.0, high_pass: float = 0.5, resample_to: float | None = None, keys: Sequence[str] = ("channel",), block: int = 1 << 16) -> DataFrame:
+def polyphase(at: np.ndarray, x: np.ndarray, up: int, down: int, half: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Samples (ascending numbers, values) at up/down times their rate, and their new numbers.
+
+    The Kaiser-windowed sinc of `half` periods on either side, at the lower of both rates, is split into its `up` phases,
+    each of gain 1; an output is one phase's product with the samples around it, so nothing is computed that is then
+    dropped. Gaps are filled linearly, and the first and last values are held beyond the ends.
+    """
+    wide = max(up, down)
+    reach = -(-half * wide // up)
+    offset = np.arange(up)[:, None] + up * np.arange(-reach, reach + 1)[None]
+    bank = np.sinc(offset / wide) * np.i0(10.0 * np.sqrt(np.maximum(0.0, 1 - (offset / (half * wide)) ** 2))) * (np.abs(offset) <= half * wide)
+    bank /= bank.sum(axis=1, keepdims=True)
+    whole = np.interp(np.arange(at[0], at[-1] + 1), at, x)
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(whole, reach, mode="edge"), 2 * reach + 1)
+    new = np.arange(-(-at[0] * up // down), at[-1] * up // down + 1)
+    first, phase = new * down // up - at[0], new * down % up
+    out = np.empty(len(new))
+    for p in np.unique(phase):
+        own = phase == p
+        out[own] = around[first[own]] @ bank[p, ::-1]
+    return new, out
+
+
+def filtered(df: DataFrame, rate: float, low_pass: float | None = 45.0, high_pass: float | None = 0.5, resample_to: float | None = None, keys: Sequence[str] = ("channel",), block: int = 1 << 16) -> DataFrame:
     """Resamples, then low-passes, then high-passes each channel's (sample, value); a rate below the wanted one is refused.
 
     A task holds one block of a channel and, on either side, the samples that the filters reach. Samples keep their
@@ -178,9 +202,9 @@ def filtered(df: DataFrame, rate: float, low_pass: float = 45.0, high_pass: floa
     if resample_to and rate < resample_to:
         raise ValueError(f"sampling rate {rate} is below {resample_to}")
     to = resample_to or rate
-    before = sinc_filter(0.45 * to, rate, False) if to < rate else None
+    ratio = Fraction(to / rate).limit_denominator(10_000)
     stages = [sinc_filter(cut, to, high) for cut, high in ((low_pass, False), (high_pass, True)) if cut and cut < to / 2]
-    reach = math.ceil(sum(len(h) // 2 + 1 for h in stages) * rate / to) + (len(before) // 2 if before is not None else 0) + 1
+    reach = math.ceil(sum(len(h) // 2 + 1 for h in stages) * rate / to) + (-(-32 * max(ratio.as_integer_ratio()) // ratio.numerator) if to < rate else 0) + 1
     block = max(block, reach)
     kinds = {f.name: f.dataType for f in df.schema}
 
@@ -190,17 +214,73 @@ def filtered(df: DataFrame, rate: float, low_pass: float = 45.0, high_pass: floa
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("sample")
         at, x, k = np.asarray(t["sample"], np.int64), np.asarray(t["value"], float), t["_block"][0].as_py()
-        if before is not None:
-            new = np.arange(math.ceil(at[0] * to / rate), math.floor(at[-1] * to / rate) + 1)
-            at, x = new, np.interp(new * rate / to, at, smooth(x, before))
+        if to < rate:
+            at, x = polyphase(at, x, ratio.numerator, ratio.denominator)
         for h in stages if len(x) else ():
             x = smooth(x, h)
         own = (at * rate / to >= k * block) & (at * rate / to < (k + 1) * block)
         return pa.table({**{c: pa.repeat(t[c][0], int(own.sum())) for c in keys}, "sample": at[own], "value": x[own]})
 
+    return dealt(df, keys, block, reach).groupBy(*keys, "_block").applyInArrow(run, ", ".join(f"{k} {kinds[k].simpleString()}" for k in keys) + ", sample long, value double")
+
+
+def dealt(df: DataFrame, keys: Sequence[str], block: int, reach: int) -> DataFrame:
+    """Samples with the block they lie in, and once more with a neighbouring block that reaches them."""
     number = lambda shift: F.floor((F.col("sample") + shift) / block)
-    dealt = df.select(*keys, "sample", "value", F.explode(F.array_distinct(F.array(number(-reach), number(0), number(reach)))).alias("_block"))
-    return dealt.groupBy(*keys, "_block").applyInArrow(run, ", ".join(f"{k} {kinds[k].simpleString()}" for k in keys) + ", sample long, value double")
+    return df.select(*keys, "sample", "value", F.explode(F.array_distinct(F.array(number(-reach), number(0), number(reach)))).alias("_block"))
+
+
+def remove_harmonic(df: DataFrame, rate: float, line: float = 50.0, seconds: float = 4.0, smoothing: float = 2.0, p: float = 0.05, keys: Sequence[str] = ("channel",), block: int = 1 << 16) -> DataFrame:
+    """Takes a line frequency off each channel's (sample, value) where a harmonic F test finds it.
+
+    In windows of `seconds`, half overlapping, the tapers' transforms at the line give a sinusoid's amplitude and phase,
+    and what they leave unexplained its significance: with k tapers, F has 2 and 2k - 2 degrees of freedom. Sinusoids below
+    that `p` are added up with triangular weights and taken off; elsewhere the signal stays as it is. Amplitude and phase may thus drift from window to window. Windows that hold fewer than half
+    their samples tell nothing. A task holds one block of a channel and a window on either side; nulls are dropped.
+    """
+    n = max(8, int(round(seconds * rate)) // 2 * 2)
+    step, block = n // 2, max(block // n, 2) * n
+    own = tapers(n, max(1.5, smoothing * n / rate))
+    limit = max(1e-300, p) if len(own) > 1 else 0.0
+    weight = 1 - np.abs((np.arange(n) + 0.5) / step - 1)
+    kinds = {f.name: f.dataType for f in df.schema}
+    turn = 2 * math.pi * line / rate
+
+    def sinusoid(x: np.ndarray, held: np.ndarray, start: int) -> np.ndarray | None:
+        wave = np.exp(-1j * turn * np.arange(start, start + n))
+        j, u = own @ (x * wave), own @ held.astype(float)
+        power = (u * u).sum()
+        if held.sum() < step or power < 1e-12:
+            return None
+        c = (u * j).sum() / power
+        rest = (np.abs(j - c * u) ** 2).sum()
+        f = (len(own) - 1) * abs(c) ** 2 * power / rest if rest > 0 else math.inf
+        chance = (1 + f / (len(own) - 1)) ** -(len(own) - 1) if len(own) > 1 else 1.0
+        return 2 * (c * wave.conj()).real if chance < limit else None
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("sample")
+        at, x, k = np.asarray(t["sample"], np.int64), np.asarray(t["value"], float), t["_block"][0].as_py()
+        first = int(at[0]) // step * step - step
+        size = (int(at[-1]) - first) // step * step + 2 * n
+        flat, held = np.zeros(size), np.zeros(size, bool)
+        flat[at - first], held[at - first] = x, True
+        mean = flat[held].mean()
+        flat[held] -= mean  # a recording's offset would leak into the line
+        taken, told = np.zeros(size), np.zeros(size)
+        for start in range(0, size - n + 1, step):
+            some = slice(start, start + n)
+            wave = sinusoid(flat[some], held[some], first + start)
+            if held[some].sum() >= step:
+                told[some] += weight
+                if wave is not None:
+                    taken[some] += weight * wave
+        out = x - np.divide(taken, told, out=np.zeros(size), where=told > 0)[at - first]
+        mine = (at >= k * block) & (at < (k + 1) * block)
+        return pa.table({**{c: pa.repeat(t[c][0], int(mine.sum())) for c in keys}, "sample": at[mine], "value": out[mine]})
+
+    rows = df.filter("value is not null and sample is not null").withColumn("sample", F.col("sample").cast("long"))
+    return dealt(rows, keys, block, 2 * n).groupBy(*keys, "_block").applyInArrow(run, ", ".join(f"{k} {kinds[k].simpleString()}" for k in keys) + ", sample long, value double")
 
 
 def remove_line_noise(df: DataFrame, rate: float, line: float = 50.0, keys: Sequence[str] = ("channel", "epoch")) -> DataFrame:

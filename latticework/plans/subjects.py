@@ -45,7 +45,24 @@ def power(spark, d) -> DataFrame:
     return out(P.block_power(*blocks(spark, d)), ["subject", "channel"], "freq", "power", digits=5)
 
 
+def numbered(spark, d) -> DataFrame:
+    """Recordings with samples numbered through."""
+    return recordings(spark, d).select("subject", "channel", (F.col("epoch") * N + F.col("sample")).cast("long").alias("sample"), "value")
+
+
+def resampled(spark, d) -> DataFrame:
+    """From 24 to 20 samples a day."""
+    return out(S.filtered(numbered(spark, d), float(N), None, None, 20.0, ["subject", "channel"]), ["subject", "channel", "sample"], "value", digits=5)
+
+
+def line_removed(spark, d) -> DataFrame:
+    """Less the six-hour line, where windows of four days find it."""
+    return out(S.remove_harmonic(numbered(spark, d), float(N), 6.0, 4.0, 0.5, keys=["subject", "channel"]), ["subject", "channel", "sample"], "value", digits=5)
+
+
 QUERIES = {
+    "resampled_signal": resampled,
+    "harmonic_line_removed": line_removed,
     "multitaper_wpli": lambda s, d: out(wpli(s, d), ["subject", "ch_i", "ch_j"], "freq", "w"),
     "multitaper_band_wpli": band_wpli,
     "multitaper_channel_wpli": channel_wpli,
