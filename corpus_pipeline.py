@@ -25,20 +25,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the votes call good.
 
-    Null and empty texts get the share of good labels and go or stay by it; where no label meets a document, all stay.
+    Texts without a known term (null, empty, blank) get the share of good labels and go or stay by it; where no label
+    meets a document, all stay. Texts of any length count whole; an empty table gives an empty result.
     Each row is judged by its whole text alone, so repeated rows and ties fare alike.
     """
     model = quality_votes.fit(docs, table(spark, sf_dir, "labels").filter(id_remainder("doc_id", 4) != 2))
     return quality_votes.score(docs, model, keep=COLUMNS).filter(F.col("score") >= quality_votes.THRESHOLD).select(*COLUMNS)
 
 
-def row_hash() -> Column:
+def row_hash(*seed: Column) -> Column:
     """A hash of the row's values, nulls told apart."""
-    return F.xxhash64(*[x for c in COLUMNS for x in (F.col(c), F.col(c).isNull())])
+    return F.xxhash64(*seed, *[x for c in COLUMNS for x in (F.col(c), F.col(c).isNull())])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, that of the smallest id, null last, then of the smallest hash of the row. Groups join texts whose five-word shingles have a similarity of 0.8 or more, whatever their ids."""
+    """Keeps one document of each group, that of the smallest id, null last, then of the smallest hash of the row.
+
+    Groups join texts whose sets of five-word shingles have a similarity of 0.8 or more, whatever their ids. Similarities
+    are estimated by sketches, from 0.77 on, so texts between about 0.74 and 0.8 may be joined too, and few above 0.8 may
+    stay apart. Null, empty and blank texts are one group, of which one row stays. Texts of any length count whole.
+    """
     key = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", row_hash().alias("row")).alias("key")  # a null id in a struct is equal to another, and comes last
     keyed = docs.select(*COLUMNS, key)
     groups = materialize(simhash.similar_documents(keyed), "groups")
@@ -52,10 +58,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share an id are mixed each by itself; equal rows come once for each copy that is taken of any of them. Null
     and blank texts have no word, so none is taken and they go. Null sources are one source. Lengths are counted whole.
     """
-    keyed = docs.select(*COLUMNS, row_hash().alias("key"))
+    keyed = docs.select(*COLUMNS, row_hash().alias("key"), row_hash(F.lit(7)).alias("also"))  # rows that share the one hash differ in the other, so none is lost
     taken = mixing.mix(keyed.select(F.col("key").alias("doc_id"), "text", "source")).groupBy("doc_id").agg(F.sum("copies").alias("copies")).filter("copies > 0")
     taken = materialize(taken.select(F.col("doc_id").alias("key"), "copies"), "taken")  # grows with the documents: never broadcast, at any size
-    one = keyed.join(taken.hint("merge"), "key").dropDuplicates(["key"])
+    one = keyed.join(taken.hint("merge"), "key").dropDuplicates(["key", "also"])
     return one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 

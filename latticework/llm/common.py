@@ -97,3 +97,17 @@ def bounded_sample(df: DataFrame, key: str, bound: int, seed: int = 7) -> DataFr
     """About `bound` rows chosen by a hash of the key, so that reruns choose the same; all rows if there are fewer."""
     n = df.count()
     return df if n <= bound else df.filter(hash_share(key, bound / n, seed))
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, bound: int, seed: int = 9) -> tuple[DataFrame, DataFrame]:
+    """Distinct labels (doc_id, label) of about `bound` ids at most, and the rows of docs (doc_id, text) that have them.
+
+    A frequent id may bring any number of rows; where all together are more than a quarter above `bound`, about `bound`
+    are chosen by a hash of id and text, of repeated rows the first, and twice `bound` is never exceeded.
+    """
+    chosen = bounded_sample(labels, "doc_id", bound).distinct()
+    rows = docs.join(F.broadcast(chosen), "doc_id")
+    n = rows.count()
+    if n > bound + bound // 4:
+        rows = rows.withColumn("_h", F.xxhash64("doc_id", "text", F.lit(seed))).filter(hash_share("_h", bound / n, seed)).dropDuplicates(["_h"]).drop("_h").limit(2 * bound)
+    return chosen, rows

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.llm.common import bounded_sample, id_remainder, map_texts, table
+from latticework.llm.common import id_remainder, labelled_rows, map_texts, table
 
 PAIRS, WORDS = 1216, 800
 TERMS = PAIRS + WORDS + 32
@@ -91,15 +91,15 @@ class Votes:
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Votes | None:
     """Learns from labels (doc_id, quality) of a bounded sample of docs; only damped term counts reach the driver."""
-    chosen = bounded_sample(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)"), "doc_id", bound)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
+    _, rows = labelled_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), known, bound)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             packed = [terms(t).astype(np.float16).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(packed, pa.binary())], ["doc_id", "quality", "terms"])
 
-    got = map_texts(rows, count, "doc_id long, quality int, terms binary").toPandas().sort_values(["doc_id", "quality"])
+    got = map_texts(rows.select("doc_id", "text", "quality"), count, "doc_id long, quality int, terms binary").toPandas().sort_values(["doc_id", "quality"])
     if not len(got):
         return None
     rows = np.empty((len(got), TERMS), np.float32)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm.common import bounded_sample, id_remainder, map_texts, table
+from latticework.llm.common import id_remainder, labelled_rows, map_texts, table
 
 #: Labelled rows to learn from, at most about so many; chosen by a hash of the id.
 SAMPLE = 12_000
@@ -188,8 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, least_docs: int
     """
     grammar = Grammar()
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
-    chosen = bounded_sample(ids, "doc_id", bound)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    chosen, rows = labelled_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), ids, bound)
+    rows = rows.select("text", "toxic")
     n = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return grammar
@@ -221,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, least_docs: int
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """doc_id, score for each row, from the whole text alone, so equal texts tie. Null, empty and blank texts match nothing and get the bias."""
+    """doc_id, score for each row, from the whole text alone, so equal texts tie. Null, empty and blank texts match nothing and get the bias; texts of any length count whole, other columns don't matter, and an empty table gives an empty result."""
     shipped = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
