@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,29 +16,72 @@ Keys = Sequence[str]
 
 
 def correlations(df: DataFrame, vector: str, keys: Keys) -> DataFrame:
-    """Pearson correlation of every pair of vector positions, by key.
+    """Pearson correlation of every pair of vector positions, by key; null where a position doesn't vary.
 
-    Each task adds up its rows' products per key in numpy, so what is shuffled is one row per task, key and pair, not
-    one per row and pair; sums meet on Spark.
+    Each task adds up its rows per key in numpy as a count, means and centred products, so values far from 0 cost no
+    digits; what is shuffled is a block per task and key, and blocks are merged as they stream by, by the difference of
+    their means. Rows with a null or NaN component take no part, nor do vectors shorter than their key's longest.
     """
     fields = {f.name: f.dataType.simpleString() for f in df.schema}
+    own = "".join(f"{k} {fields[k]}, " for k in keys)
+    whole = df.select(*keys, F.transform(vector, lambda c: c.cast("double")).alias("_v")).filter(F.col("_v").isNotNull() & (F.size("_v") > 1) & ~F.exists("_v", lambda c: c.isNull() | F.isnan(c)))
 
-    def partial(batches):
+    def merged(x: tuple, y: tuple) -> tuple:
+        (n, m, c), (k, p, d) = x, y
+        apart = p - m
+        return n + k, m + apart * (k / (n + k)), c + d + np.outer(apart, apart) * (n * k / (n + k))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
-        for p in batches:
-            for key, g in p.groupby(list(keys), dropna=False):
-                x = np.stack(g[vector].to_numpy()).astype(float)
-                n, s, q = sums.get(key, (0, 0.0, 0.0))
-                sums[key] = (n + len(x), s + x.sum(axis=0), q + x.T @ x)
-        for key, (n, s, q) in sums.items():
-            i, j = np.triu_indices(len(s), 1)
-            d = np.diag(q)
-            yield pd.DataFrame({**{k: [v] * len(i) for k, v in zip(keys, key, strict=True)}, "i": i, "j": j, "n": n, "si": s[i], "sj": s[j], "qi": d[i], "qj": d[j], "q": q[i, j]})
-
-    parts = df.select(*keys, vector).filter(F.col(vector).isNotNull()).mapInPandas(partial, ", ".join(f"{k} {fields[k]}" for k in keys) + ", i long, j long, n long, si double, sj double, qi double, qj double, q double")
-    s = parts.groupBy(*keys, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "qi", "qj", "q")])
-    w = (F.col("n") * F.col("q") - F.col("si") * F.col("sj")) / F.nullif(F.sqrt((F.col("n") * F.col("qi") - F.col("si") ** 2) * (F.col("n") * F.col("qj") - F.col("sj") ** 2)), F.lit(0.0))
-    return s.select(*keys, "i", "j", r9(w).alias("w"))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lengths = b.column("_v").value_lengths().to_numpy()
+            flat, at = b.column("_v").flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)])
+            rows: dict = {}
+            for r, key in enumerate(zip(*(b.column(k).to_pylist() for k in keys), lengths.tolist(), strict=True)):
+                rows.setdefault(key, []).append(r)
+            for key, held in rows.items():
+                x = flat[at[held][:, None] + np.arange(key[-1])[None]]
+                mean = x.mean(axis=0)
+                block = len(x), mean, (x - mean).T @ (x - mean)
+                sums[key] = merged(sums[key], block) if key in sums else block
+        for key, (n, m, c) in sums.items():
+            packed = np.concatenate([[float(n)], m, c.ravel()]).tobytes()
+            yield pa.RecordBatch.from_arrays([*[pa.array([v], b.column(k).type) for k, v in zip(keys, key[:-1], strict=True)], pa.array([key[-1]], pa.int32()), pa.array([packed], pa.binary())], [*keys, "_d", "block"])
+
+    parts = whole.mapInArrow(partial, own + "_d int, block binary").withColumn("_key", F.xxhash64(F.lit(0), *keys))
+    ordered = parts.repartition("_key").sortWithinPartitions("_key", F.desc("_d"))
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = total = names = None
+        wide = 0
+
+        def out() -> pa.RecordBatch:
+            _, _, c = total
+            i, j = np.triu_indices(wide, 1)
+            spread = np.sqrt(np.maximum(np.diag(c), 0))
+            below = spread[i] * spread[j]
+            w = np.divide(c[i, j], below, out=np.zeros(len(i)), where=below > 0)
+            return pa.RecordBatch.from_arrays([*[pa.repeat(pa.scalar(v, t), len(i)) for v, t in names], pa.array(i), pa.array(j), pa.array(w, mask=below <= 0)], [*keys, "i", "j", "w"])
+
+        for b in batches:
+            for r in range(b.num_rows):
+                mine, d = b.column("_key")[r].as_py(), b.column("_d")[r].as_py()
+                if mine == key and d < wide:
+                    continue
+                flat = np.frombuffer(b.column("block")[r].as_py())
+                block = flat[0], flat[1 : d + 1], flat[d + 1 :].reshape(d, d)
+                if mine == key:
+                    total = merged(total, block)
+                    continue
+                if key is not None:
+                    yield out()
+                key, wide, total, names = mine, d, block, [(b.column(k)[r].as_py(), b.column(k).type) for k in keys]
+        if key is not None:
+            yield out()
+
+    return ordered.mapInArrow(finished, own + "i long, j long, w double").select(*keys, "i", "j", r9(F.col("w")).alias("w"))
 
 
 def ranked(conn: DataFrame, keys: Keys, size: bool = True) -> DataFrame:

@@ -62,7 +62,7 @@ def windows(spark, d):
 
 
 def multitaper(spark, d):
-    return out(S.multitaper(samples(spark, d), 24.0, 24, smoothing=2.0, lo=1.0, hi=11.0), ["channel"], "freq", "power")
+    return out(S.multitaper(samples(spark, d), 24.0, 24, smoothing=2.0, lo=1.0, hi=11.0), ["channel"], "freq", "power", digits=5)
 
 
 #: The time constants, of which those are used whose three samples fit an epoch.
@@ -118,7 +118,7 @@ QUERIES = {
     "mean_wpli_spectrum": lambda s, d: out(S.channel_mean(wpli(s, d)).groupBy("bin").agg(F.avg("w").alias("w")), ["bin"], "w"),
     "wsmi": wsmi,
     "multitaper_power": multitaper,
-    "filtered_signal": lambda s, d: out(S.filtered(samples(s, d).withColumn("sample", (F.col("epoch") * 24 + F.col("sample")).cast("long")).drop("epoch"), 24.0, 6.0, 0.5), ["channel", "sample"], "value"),
+    "filtered_signal": lambda s, d: out(S.filtered(samples(s, d).withColumn("sample", (F.col("epoch") * 24 + F.col("sample")).cast("long")).drop("epoch"), 24.0, 6.0, 0.5), ["channel", "sample"], "value", digits=5),
     "line_noise_removed": lambda s, d: out(S.remove_line_noise(samples(s, d), 24.0, 6.0), ["channel", "epoch", "sample"], "value", digits=5),
     "epoch_window": windows,
 }
@@ -136,7 +136,25 @@ _WSMI = "SELECT * FROM (WITH " + _S + ", y AS (SELECT *, lead(value,{tau}) OVER
 
 _DIFF = _S + ", u AS (SELECT channel, epoch, bin, sum(value*cos(-2*pi()/24*bin*sample)) AS re, sum(value*sin(-2*pi()/24*bin*sample)) AS im FROM s, (SELECT CAST(unnest(range(3,6)) AS INT) AS bin) GROUP BY ALL), o AS (SELECT a.epoch, a.bin, a.channel AS ch_i, b.channel AS ch_j, a.im*b.re-a.re*b.im AS im FROM u a JOIN u b ON a.epoch=b.epoch AND a.bin=b.bin AND a.channel<b.channel), g AS (SELECT *, min(epoch) OVER () AS lo, max(epoch) OVER () AS hi FROM o), h AS (SELECT bin, ch_i, ch_j, epoch%2 AS side, (sum(im)**2-sum(im**2))/nullif(sum(abs(im))**2-sum(im**2),0) AS w FROM g WHERE epoch<lo+(hi-lo+1)//2*2 GROUP BY ALL), m AS (SELECT side, bin, row_number() OVER (PARTITION BY side ORDER BY round(avg(w),9) DESC, bin) AS r FROM h GROUP BY side, bin), x AS (SELECT h.* FROM h JOIN m ON h.side=m.side AND h.bin=m.bin WHERE r=1)"
 
+
+
+def rows_sql(columns: str, rows) -> str:
+    """Numbers as a table of VALUES."""
+    return "(VALUES " + ",".join("(" + ",".join(f"CAST({float(v)!r} AS DOUBLE)" if isinstance(v, float) else str(v) for v in r) + ")" for r in rows) + f") t({columns})"
+
+
+def taps_sql(cut: float, high: bool) -> str:
+    return rows_sql("k,h", [(k, float(h)) for k, h in enumerate(S.sinc_filter(cut, 24.0, high))])
+
+
+#: Tapers of two cycles a day, padded to 32 samples.
+_TAPERS = rows_sql("k,sample,taper", [(k, t, float(x)) for k, row in enumerate(S.tapers(24, 2.0)) for t, x in enumerate(row)])
+#: Each value with its neighbours in order, the first and last held beyond the ends, times the filter's taps.
+_SMOOTH = "SELECT x.channel, x.sample, x.n, x.size, sum(y.value*h) AS value FROM {x} x, {taps} JOIN {x} y ON y.channel=x.channel AND y.n=least(greatest(x.n+k-{half},1),x.size) GROUP BY ALL"
+
 ORACLE = {
+    "multitaper_power": f"WITH {_S}, tp AS (SELECT * FROM {_TAPERS}), b AS (SELECT freq FROM (SELECT unnest(range(0,17))*24/32.0::DOUBLE AS freq) WHERE freq BETWEEN 1 AND 11), x AS (SELECT channel, epoch, k, freq, sum(value*taper*cos(-2*pi()*freq*sample/24)) AS re, sum(value*taper*sin(-2*pi()*freq*sample/24)) AS im FROM s JOIN tp USING (sample), b GROUP BY ALL) SELECT channel, freq, round(avg(p)+1e-8,5) AS power FROM (SELECT channel, epoch, freq, avg(re*re+im*im)*2/24 AS p FROM x GROUP BY ALL) GROUP BY ALL",
+    "filtered_signal": f"WITH {_S}, a AS (SELECT channel, CAST(epoch*24+sample AS BIGINT) AS sample, value, row_number() OVER (PARTITION BY channel ORDER BY epoch*24+sample) AS n, count(*) OVER (PARTITION BY channel) AS size FROM s), l AS ({_SMOOTH.format(x='a', taps=taps_sql(6.0, False), half=len(S.sinc_filter(6.0, 24.0, False)) // 2)}), h AS ({_SMOOTH.format(x='l', taps=taps_sql(0.5, True), half=len(S.sinc_filter(0.5, 24.0, True)) // 2)}) SELECT channel, sample, round(value+1e-8,5) AS value FROM h",
     "dwpli_condition_difference": f"WITH {_DIFF} SELECT a.ch_i, a.ch_j, round(a.w-b.w,9) AS diff FROM x a JOIN x b ON a.ch_i=b.ch_i AND a.ch_j=b.ch_j WHERE a.side=0 AND b.side=1",
     "nearest_bin": "WITH ed AS (SELECT band, unnest([lo-0.25, hi+0.25]) AS edge FROM (VALUES (1,1,2),(2,3,5),(3,6,11)) t(band,lo,hi)) SELECT band, CAST(edge AS DOUBLE) AS edge, CAST((SELECT arg_min(k, abs(k-edge)*1000+k) FROM (SELECT unnest(range(1,12)) AS k)) AS INT) AS bin FROM ed",
     "unit_scale": f"WITH {_S} SELECT channel, epoch, sample, round(value*1000000+1e-8,2) AS value FROM s",
