@@ -95,20 +95,29 @@ def train(df: DataFrame, algorithm: str, components: int | None = None, folds: i
 def nearest_neighbours(train: DataFrame, test: DataFrame, k: int = 5, most: int = 20_000) -> DataFrame:
     """test with prediction, the majority label of the k nearest training vectors (the smaller label of equals).
 
-    Training sets are cohorts: they are sent to every task, so one beyond `most` rows is refused.
+    Training sets are cohorts: they go to the tasks in one broadcast, so one beyond `most` rows is refused. Distances are
+    taken in blocks of rows by a matrix product; those that can be among the k nearest are then taken exactly, ties in
+    the order of the training rows.
     """
     got = train.select(vector_to_array("features").alias("f"), F.col("label").cast("double").alias("label")).limit(most + 1).toPandas()
     if len(got) > most:
         raise ValueError(f"more than {most} training rows")
     x, y = np.stack(got["f"]), got["label"].to_numpy()
+    shipped = train.sparkSession.sparkContext.broadcast((x, y, (x * x).sum(axis=1)))
 
     @F.pandas_udf(DoubleType())
     def vote(v: pd.Series) -> pd.Series:
-        def one(f):
-            near = y[np.argsort(((x - f) ** 2).sum(axis=1), kind="stable")[:k]]
-            values, counts = np.unique(near, return_counts=True)
-            return float(values[counts.argmax()])
-
-        return v.map(one)
+        x, y, squares = shipped.value
+        n, out = min(k, len(x)), []
+        for at in range(0, len(v), 256):
+            q = np.stack(v.iloc[at : at + 256])
+            rough = squares[None] + (q * q).sum(axis=1)[:, None] - 2 * q @ x.T
+            cut = np.partition(rough, n - 1, axis=1)[:, n - 1] + 1e-9 * (1 + np.abs(rough).max(axis=1))
+            for f, r, c in zip(q, rough, cut, strict=True):
+                near = np.flatnonzero(r <= c)
+                near = near[np.argsort(((x[near] - f) ** 2).sum(axis=1), kind="stable")[:n]]
+                values, counts = np.unique(y[near], return_counts=True)
+                out.append(float(values[counts.argmax()]))
+        return pd.Series(out)
 
     return test.withColumn("prediction", vote(vector_to_array("features")))

@@ -62,7 +62,7 @@ def modular(measure):
 def scaled(spark, d):
     e = edges(spark, d)
     lim = e.groupBy("label").agg(F.min("w").alias("lo"), F.max("w").alias("hi"))
-    s = e.join(F.broadcast(lim), "label").withColumn("size", rescale(F.col("w"), F.col("lo"), F.col("hi")))
+    s = e.join(lim, "label").withColumn("size", rescale(F.col("w"), F.col("lo"), F.col("hi")))
     return out(s.withColumn("colour", colour_index(r9(F.col("size")), 64)), ["label", "i", "j", "colour"], "size")
 
 
