@@ -16,10 +16,10 @@ SUBJECTS = 4
 N, SMOOTHING, LO, HI = 24, 2.0, 1.0, 11.0
 
 
-def recordings(spark, d) -> DataFrame:
+def recordings(spark, d, subjects: int = SUBJECTS) -> DataFrame:
     ev = table(spark, d, "events").filter("user_id is not null and ts is not null").select("user_id", "event_type", "ts", "value")
     day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
-    keys = F.pmod("user_id", F.lit(SUBJECTS)).cast("int").alias("subject"), F.col("event_type").alias("channel"), day.alias("epoch"), F.hour("ts").alias("sample")
+    keys = F.pmod("user_id", F.lit(subjects)).cast("int").alias("subject"), F.col("event_type").alias("channel"), day.alias("epoch"), F.hour("ts").alias("sample")
     return ev.groupBy(*keys).agg(F.avg("value").alias("value"))
 
 
