@@ -83,8 +83,9 @@ class Votes:
             x = self.unit(np.array([terms(t) for t in texts[at : at + block]]) * self.weight)
             x = self.unit(x @ self.axes)
             near = np.round(x @ self.voters.T, 5)
-            power = np.where(nearest(near, k), np.maximum(1e-6, near.astype(float)), 0.0) ** 8
-            votes = (power * self.labels).sum(axis=1) / power.sum(axis=1)
+            marked = nearest(near, k)  # k in each row
+            power = np.maximum(1e-6, near[marked].astype(float)).reshape(-1, k) ** 8
+            votes = (power * self.labels[np.nonzero(marked)[1]].reshape(-1, k)).sum(axis=1) / power.sum(axis=1)
             out[at : at + block] = np.where(x.any(axis=1), votes, self.prior)
         return np.clip(out, 0.0, 1.0)
 
