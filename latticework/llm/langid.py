@@ -111,6 +111,7 @@ def predict(docs: DataFrame, model: CodeModel | None, ambiguous_below: float = 0
     Null texts and texts without a letter are `und` with score 0 and ambiguous; so is every text if nothing could be
     learned. ambiguous: the two nearest codewords' chances differ by less than `ambiguous_below`. Codewords equally near
     tie in favour of the language that sorts first. Texts of any length count whole; equal texts get equal results.
+    Other columns don't matter, and an empty table gives an empty result.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -167,6 +167,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_BPE, e
     Only the histogram of lengths, `capacity` numbers, reaches the driver. The k-th piece of a length takes the k-th
     place that the plan has for it; k is the piece's number in its task plus the counts of the tasks before, so no
     length is gathered anywhere. Null and empty texts hold just the end id; equal rows are packed one by one.
+    Texts of any length are encoded whole, other columns don't matter, and an empty table gives an empty result.
     """
     own = materialize(pieces(docs, capacity, tokenizer, end_id), "pieces")
     per = own.groupBy("part", "length").agg(F.count("*").alias("n"))

@@ -123,7 +123,8 @@ def judge(docs: DataFrame, references: dict[str, list[str]] = COMMON_WORDS, char
     A text is compared to the reference of the language whose common words it has most of. It is kept if its
     character classes, and from `word_guard` words on its common words too, lie within the limits; below `min_words`
     base_failed already decides. Texts are read once: their counts and histograms are written, and the references and
-    the verdicts come from these. Null, empty and blank texts have no word and fail. Rows are independent of each other.
+    the verdicts come from these. Null, empty and blank texts have no word and fail. Rows are independent of each other;
+    texts of any length count whole, other columns don't matter, and an empty table gives an empty result.
     """
     df = materialize(histograms(base_counts(docs), references).drop("text", "words"), "digests")
     ref = language_references(df, references)

@@ -180,6 +180,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     Links join fingerprints that differ in `radius` bits or fewer. Rows with equal fingerprints are one class from the
     start, so groups of copies of any size make no pairs. Null, empty and blank texts have fingerprint zero, linked
     like any other; null ids count as the smallest only where a component has no other; an empty table gives no rows.
+    Texts of any length count whole, and other columns don't matter.
     """
     own = materialize(fingerprints(docs, width), "fingerprints")
     classes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")

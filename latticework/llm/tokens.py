@@ -122,6 +122,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id:
     reader fetches some documents' tokens, or the lengths alone, without the rest. part_start counts the ids before a
     document in its own file, so the whole order's starts need only one number per file. Null texts are empty; null
     ids come first; rows that share an id are all kept, ordered by a hash of the text, and may fill several files.
+    Texts of any length are encoded whole, other columns don't matter, and an empty table gives files without rows.
     """
     vocab = vocabulary(tokenizer)
 
