@@ -20,6 +20,15 @@ def epochs(df: DataFrame, seconds: int, time: str = "t", rate_column: str | None
     return df.withColumn("epoch", F.floor(F.col(time) / seconds).cast("int"))
 
 
+def split_epochs(df: DataFrame, n: int, parts: int = 5) -> DataFrame:
+    """Each epoch of n samples as `parts` epochs of their own, numbered through; samples are counted anew. Samples outside 0 to n - 1 take no part; n that can't be split evenly is refused."""
+    if n % parts:
+        raise ValueError(f"{n} samples can't be split into {parts} equal parts")
+    size = n // parts
+    own = df.filter(F.col("sample").between(0, n - 1))
+    return own.withColumns({"epoch": (F.col("epoch") * parts + F.floor(F.col("sample") / size)).cast("int"), "sample": (F.col("sample") % size).cast("int")})
+
+
 def complete_epochs(df: DataFrame, samples: int, keys: Sequence[str] = ("channel",)) -> DataFrame:
     """Drops epochs with fewer than `samples` samples."""
     full = df.groupBy(*keys, "epoch").count().filter(F.col("count") >= samples).select(*keys, "epoch")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +24,15 @@ class Sums:
         self.own, self.size = own, size
         freqs = np.fft.rfftfreq(size, 1 / rate)
         self.pick = np.flatnonzero((freqs >= lo) & (freqs <= hi))
-        self.freqs, self.rate = freqs[self.pick], rate
+        self.marks, self.rate = freqs[self.pick], rate
         self.upper = np.triu_indices(channels, 1)
         pairs, bins = len(self.upper[0]), len(self.pick)
         self.cross, self.power = np.zeros((bins, 3, pairs)), np.zeros((bins, channels))
         self.seen, self.together = np.zeros(channels), np.zeros(pairs)
 
-    def add(self, epoch: np.ndarray, present: np.ndarray, at_once: int = 64) -> None:
+    def add(self, epoch: np.ndarray, held: np.ndarray, at_once: int = 64) -> None:
         """An epoch of channels by samples; the cross-spectra of `at_once` frequencies are held at a time."""
+        present = held.any(axis=1)
         waves = np.fft.rfft(self.own[:, None] * epoch[None], self.size)[:, :, self.pick].transpose(2, 1, 0)  # bins, channels, tapers
         i, j = self.upper
         for at in range(0, len(waves), at_once):
@@ -62,20 +63,30 @@ def cross_blocks(df: DataFrame, channels: Sequence[str], rate: float, n: int, sm
     """
     own = tapers(n, max(1.0, smoothing * n / rate)) if windows is None else windows
     size = 1 << (n - 1).bit_length() if windows is None else n
+    return epoch_blocks(df, channels, n, keys, "freq double", lambda: Sums(len(channels), own, size, rate, lo, hi))
+
+
+def epoch_blocks(df: DataFrame, channels: Sequence[str], n: int, keys: Sequence[str], mark: str, make: Callable) -> DataFrame:
+    """keys, a mark (its name and type are given) and block: the sums over all epochs of each key, from samples (keys, channel, epoch, sample, value).
+
+    make() gives empty sums for a key: add(epoch, held) takes an epoch, channels by samples, and which samples it holds;
+    marks names what blocks() lists. Epochs are put together as cross_blocks says.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     place = F.array_position(F.array(*map(F.lit, channels)), F.col("channel")) - 1 if channels else F.lit(-1)
     rows = df.filter(F.col("value").isNotNull() & F.col("sample").between(0, n - 1) & F.col("channel").isNotNull())
     rows = rows.select(*keys, "epoch", place.cast("int").alias("_ch"), F.col("sample").cast("int").alias("_at"), F.col("value").cast("double").alias("_x"), F.xxhash64(F.lit(0), *keys).alias("_key"), F.xxhash64(*keys, "epoch").alias("_part")).filter("_ch >= 0")
     ordered = rows.repartition(*keys, "epoch").sortWithinPartitions(*keys, "epoch").select(*keys, "_ch", "_at", "_x", "_key", "_part")
+    name = mark.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Sums | None = None
+        sums = None
         key = part = names = None
-        epoch, present = np.zeros((len(channels), n)), np.zeros(len(channels))
+        epoch, held = np.zeros((len(channels), n)), np.zeros((len(channels), n), bool)
 
         def out() -> pa.RecordBatch:
             made = sums.blocks()
-            return pa.RecordBatch.from_arrays([*[pa.array([v] * len(made), t) for v, t in names], pa.array(sums.freqs), pa.array(made, pa.binary())], [*keys, "freq", "block"])
+            return pa.RecordBatch.from_arrays([*[pa.array([v] * len(made), t) for v, t in names], pa.array(sums.marks), pa.array(made, pa.binary())], [*keys, name, "block"])
 
         for b in batches:
             if not b.num_rows:
@@ -84,23 +95,23 @@ def cross_blocks(df: DataFrame, channels: Sequence[str], rate: float, n: int, sm
             edges = [0, *(np.flatnonzero((of_part[1:] != of_part[:-1]) | (of_key[1:] != of_key[:-1])) + 1).tolist(), b.num_rows]
             for first, end in zip(edges[:-1], edges[1:], strict=True):
                 if sums is not None and (of_key[first], of_part[first]) != (key, part):
-                    sums.add(epoch, present)
-                    epoch[:], present[:] = 0, 0
+                    sums.add(epoch, held)
+                    epoch[:], held[:] = 0, False
                     if of_key[first] != key:
                         yield out()
                         sums = None
                 if sums is None:
-                    sums = Sums(len(channels), own, size, rate, lo, hi)
+                    sums = make()
                     names = [(b.column(k)[first].as_py(), b.column(k).type) for k in keys]
                 key, part = of_key[first], of_part[first]
                 np.add.at(epoch, (ch[first:end], at[first:end]), x[first:end])
-                present[ch[first:end]] = 1
+                held[ch[first:end], at[first:end]] = True
         if sums is not None:
-            sums.add(epoch, present)
+            sums.add(epoch, held)
             yield out()
 
-    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + "freq double, block binary"
-    return added_blocks(ordered.mapInArrow(run, schema), [*keys, "freq"], schema)
+    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + f"{mark}, block binary"
+    return added_blocks(ordered.mapInArrow(run, schema), [*keys, name], schema)
 
 
 def added_blocks(df: DataFrame, keys: Sequence[str], schema: str) -> DataFrame:

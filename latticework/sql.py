@@ -123,19 +123,19 @@ class PhaseConnectivity:
                 held = np.flatnonzero(self.sums.upper[1] < len(old.seen))
                 self.sums.cross[:, :, held], self.sums.together[held] = old.cross, old.together
                 self.sums.power[:, : len(old.seen)], self.sums.seen[: len(old.seen)] = old.power, old.seen
-        epoch, present = np.zeros((len(self.names), n)), np.zeros(len(self.names))
+        epoch, held = np.zeros((len(self.names), n)), np.zeros((len(self.names), n), bool)
         for k, name in enumerate(self.names):
             for sample, value in (waves.get(name) or {}).items():
                 if value is not None and 0 <= sample < n:
                     epoch[k, sample] = value
-                    present[k] = 1
-        self.sums.add(epoch, present)
+                    held[k, sample] = True
+        self.sums.add(epoch, held)
 
     def terminate(self):
         if self.sums is None:
             return
         i, j = self.sums.upper
-        for freq, (s, a, q) in zip(self.sums.freqs.tolist(), self.sums.cross, strict=True):
+        for freq, (s, a, q) in zip(self.sums.marks.tolist(), self.sums.cross, strict=True):
             for k in np.flatnonzero(self.sums.together).tolist():
                 below = a[k] ** 2 - q[k]
                 pair = sorted((self.names[i[k]], self.names[j[k]]))
