@@ -34,6 +34,26 @@ def rotated(ch: DataFrame, nose: str) -> DataFrame:
     return ch.select("channel", (c * F.col("x") - s * F.col("y")).alias("x"), (s * F.col("x") + c * F.col("y")).alias("y"), "z")
 
 
+def placement(shift: Sequence[float] = (0, 0, 0), turn: Sequence[float] = (0, 0, 0), scale: Sequence[float] = (1, 1, 1)) -> np.ndarray:
+    """The homogeneous matrix that scales points, turns them about the z, the y and then the x axis (angles given as x, y, z), and moves them."""
+    cos, sin = np.cos(turn), np.sin(turn)
+    out = np.diag([*map(float, scale), 1.0])
+    for axis in (2, 1, 0):
+        a, b = (axis + 1) % 3, (axis + 2) % 3
+        m = np.eye(4)
+        m[a, a] = m[b, b] = cos[axis]
+        m[a, b], m[b, a] = -sin[axis], sin[axis]
+        out = m @ out
+    out[:3, 3] += np.asarray(shift, float)
+    return out
+
+
+def transformed(ch: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """Points under a homogeneous matrix of three or four rows; other columns stay."""
+    rows = np.asarray(matrix, float)[:3].tolist()
+    return ch.withColumns({c: F.col("x") * r[0] + F.col("y") * r[1] + F.col("z") * r[2] + r[3] for c, r in zip("xyz", rows, strict=True)})
+
+
 def spline_kernel(pairs: DataFrame, dist: str = "dist", terms: int = 7) -> DataFrame:
     """Adds g: the summed Legendre terms at e = 1 - dist over 4 pi."""
     p = legendre(1 - F.col(dist), terms)

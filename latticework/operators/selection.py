@@ -82,3 +82,14 @@ def median(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_o{i}"))
     return df.select(*keys).distinct().join(other, same, "left").select(*keys, "median")
+
+
+def matrix_median(conn: DataFrame, unit: Sequence[str], keys: Sequence[str], value: str = "w") -> DataFrame:
+    """keys, median: over all cells of all full matrices of each key, which have both triangles of the pairs (unit, i, j, value) and zeros on the diagonal; NaN and nulls take no part.
+
+    `unit` tells matrices apart and includes the keys.
+    """
+    cell = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    triangles = conn.select(*keys, F.explode(F.array_repeat(cell, 2)).alias("_cell"))
+    diagonal = conn.select(*unit, F.explode(F.array("i", "j")).alias("_node")).distinct().select(*keys, F.lit(0.0).alias("_cell"))
+    return median(triangles.unionByName(diagonal), "_cell", keys)

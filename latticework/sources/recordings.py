@@ -119,3 +119,10 @@ def read_subjects(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def upsert(df: DataFrame, path: str, by: str = "subject") -> None:
     """Replaces the partitions that df has rows of and leaves the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def save_dataset(df: DataFrame, path: str, stage: str, reference: str = "REFCZ", by: str = "subject") -> str:
+    """Writes a stage of the processing ("orig", "epochs") beside the others, with the reference channel's name on each row; subjects that df has no rows of stay. Returns where."""
+    where = f"{path.rstrip('/')}_{stage}"
+    upsert(df.withColumn("reference", F.lit(reference)), where, by)
+    return where
