@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("graphs", "signals", "subjects", "cohort", "covariates", "measured", "models", "ensembles", "sweeps", "statements")
+MODULES = ("graphs", "signals", "subjects", "cohort", "covariates", "measured", "models", "ensembles", "sweeps", "screenings", "statements")
 
 
 def _merged(kind: str) -> dict:
