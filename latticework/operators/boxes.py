@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticework.functions.keyed import same_keys
 from latticework.operators.selection import order_statistics
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -32,7 +33,7 @@ def box_table(df: DataFrame, value: str, keys: Sequence[str], reach: float = REA
     floors = [F.floor(_place(p)).cast("long") for p in QUARTILES.values()]
     ranks = F.array(*floors, *[F.least(f + 1, F.col("n")) for f in floors])
     found = order_statistics(rows, "_v", keys, ranks).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "_v"))).alias("_at"))  # six places at most
-    box = _joined(base, found, keys)
+    box = same_keys(base, found, keys)
     for name, share in QUARTILES.items():
         at, first = _place(share), F.floor(_place(share)).cast("long")
         lower, upper = F.col("_at")[first], F.col("_at")[F.least(first + 1, F.col("n"))]
@@ -41,14 +42,6 @@ def box_table(df: DataFrame, value: str, keys: Sequence[str], reach: float = REA
     fence = F.lit(reach) * (F.col("q3") - F.col("q1"))
     box = box.withColumns({"lo95": F.col("mean") - half, "hi95": F.col("mean") + half, "_lo": F.col("q1") - fence, "_hi": F.col("q3") + fence}).drop("_at")
     inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
-    ends = _joined(rows, box.select(*keys, "_lo", "_hi"), keys).groupBy(*keys).agg(F.min(F.when(inside, F.col("_v"))).alias("low"), F.max(F.when(inside, F.col("_v"))).alias("high"), F.count_if(~inside).alias("n_outliers"))
-    return _joined(box, ends, keys).select(*keys, "n", "mean", "sd", "lo95", "hi95", *QUARTILES, "low", "high", "n_outliers")
+    ends = same_keys(rows, box.select(*keys, "_lo", "_hi"), keys).groupBy(*keys).agg(F.min(F.when(inside, F.col("_v"))).alias("low"), F.max(F.when(inside, F.col("_v"))).alias("high"), F.count_if(~inside).alias("n_outliers"))
+    return same_keys(box, ends, keys).select(*keys, "n", "mean", "sd", "lo95", "hi95", *QUARTILES, "low", "high", "n_outliers")
 
-
-def _joined(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows with those of the same key, nulls included."""
-    named = other.withColumnsRenamed({k: f"_other{i}" for i, k in enumerate(keys)})
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_other{i}"))
-    return df.join(named, same).drop(*[f"_other{i}" for i in range(len(keys))])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions.scalar import r9
 from latticework.operators.graph import network_components
+from latticework.session import kept
 
 Keys = Sequence[str]
 
@@ -39,7 +40,7 @@ def permuted_wpli(csd: DataFrame, epochs: DataFrame, keys: Keys = (), perms: int
 
     csd(keys, epoch, bin, ch_i, ch_j, im) holds the bins of one band; a side's peak is the bin where its mean over pairs is
     largest, the first of equals, for each permutation anew. A task holds one channel's pairs at one bin: its epochs'
-    sums for all permutations are matrix products. Only means of bins are shuffled for each permutation, then the two
+    sums for all permutations are matrix products, which are written and read for the peaks and for the pairs. Only means of bins are shuffled for each permutation, then the two
     values that each pair needs of it. A pair without a value at a peak has none there.
     """
     keys = list(keys)
@@ -58,7 +59,7 @@ def permuted_wpli(csd: DataFrame, epochs: DataFrame, keys: Keys = (), perms: int
 
     rows = csd.select(*keys, "epoch", "bin", "ch_i", "ch_j", "im").join(dealt(epochs, keys, perms, seed), [*keys, "epoch"])
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "bin", "ch_i", "ch_j"]) + ", w0 array<double>, w1 array<double>"
-    each = rows.groupBy(*keys, "bin", "ch_i").applyInPandas(one, schema)
+    each = kept(rows.groupBy(*keys, "bin", "ch_i").applyInPandas(one, schema), "permuted")
     none = F.lit(None).cast("double")
     means = each.select(*keys, "bin", F.posexplode(F.arrays_zip("w0", "w1")).alias("perm", "w")).groupBy(*keys, "bin", "perm").agg(*[r9(F.avg(F.nanvl(f"w.w{s}", none))).alias(f"m{s}") for s in (0, 1)])
     peaks = means.groupBy(*keys, "perm").agg(*[F.max_by("bin", F.struct(f"m{s}", (-F.col("bin")).alias("b"))).alias(f"b{s}") for s in (0, 1)])

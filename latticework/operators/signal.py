@@ -324,39 +324,3 @@ def surface_laplacian(df: DataFrame, channels: pd.DataFrame, keys: Sequence[str]
         return out.assign(**{k: p[k].iloc[0] for k in keys})[[*keys, "channel", "sample", "value"]]
 
     return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", channel string, sample {kinds['sample']}, value double")
-
-
-def independent_components(df: DataFrame, keys: Sequence[str] = ("subject",), reject: Sequence[int] = (), rounds: int = 200, seed: int = 1) -> DataFrame:
-    """(keys, channel, sample, value) rebuilt from a recording's independent components less the rejected ones.
-
-    Components come by symmetric fixed-point iteration with tanh, in falling order of their absolute excess kurtosis. A
-    task holds one recording, channels by samples; samples must be numbered through the recording.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        wide = p.pivot_table(index="channel", columns="sample", values="value").dropna(axis=1)
-        x = wide.to_numpy()
-        if x.shape[1] < 2 or not x.std(axis=1).any():
-            return p[[*keys, "channel", "sample", "value"]]  # nothing to take apart
-        mean = x.mean(axis=1, keepdims=True)
-        u, s, _ = np.linalg.svd(np.atleast_2d(np.cov(x - mean)))
-        keep = s > s[0] * 1e-10
-        white, back = (u[:, keep] / np.sqrt(s[keep])).T, u[:, keep] * np.sqrt(s[keep])
-        z = white @ (x - mean)
-        w = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(z), len(z))))[0]
-        for _ in range(rounds):
-            t = np.tanh(w @ z)
-            new = t @ z.T / z.shape[1] - (1 - t * t).mean(axis=1)[:, None] * w
-            a, _, b = np.linalg.svd(new)
-            new, old = a @ b, w
-            w = new
-            if np.abs(np.abs((new * old).sum(axis=1)) - 1).max() < 1e-8:
-                break
-        sources = w @ z
-        order = np.argsort(-np.abs((sources**4).mean(axis=1) - 3), kind="stable")
-        sources[order[[k for k in reject if k < len(order)]]] = 0
-        out = pd.DataFrame(back @ w.T @ sources + mean, index=wide.index, columns=wide.columns).stack().rename("value").reset_index()
-        return out.assign(**{k: p[k].iloc[0] for k in keys})[[*keys, "channel", "sample", "value"]]
-
-    return df.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", channel string, sample {kinds['sample']}, value double")

@@ -14,6 +14,7 @@ from latticework.operators import classify as C
 from latticework.operators import geometry as M
 from latticework.operators import signal as S
 from latticework.operators import stats as T
+from latticework.operators.components import independent_components
 from latticework.operators.reference import nearest_density, thresholds
 from latticework.plans import cohort, covariates, measured, signals
 from latticework.session import table
@@ -56,7 +57,7 @@ def less_component(spark, d):
     """Weeks as recordings, without their least normal component."""
     s = signals.samples(spark, d)
     weeks = s.select(F.floor(F.col("epoch") / 7).cast("int").alias("week"), "channel", (F.col("epoch") * 24 + F.col("sample")).cast("int").alias("sample"), "value")
-    return signals.out(S.independent_components(weeks, ["week"], reject=[0]), ["week", "channel", "sample"], "value")
+    return signals.out(independent_components(weeks, ["week"], reject=[0]), ["week", "channel", "sample"], "value")
 
 
 def head_map(spark, d):

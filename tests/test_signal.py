@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.operators import signal as S
+from latticework.operators.components import independent_components
 
 
 def test_tapers_concentration():
@@ -85,7 +86,7 @@ def test_components_leave_out_the_spikes(spark):
     mix = np.array([[1.0, 0.6], [0.5, 1.0]]) @ np.stack([calm, spikes])
     rows = [("s", f"c{k}", t, float(mix[k, t])) for k in range(2) for t in range(n)]
     df = spark.createDataFrame(rows, "subject string, channel string, sample int, value double")
-    same = S.independent_components(df).toPandas().sort_values(["channel", "sample"])["value"].to_numpy()
+    same = independent_components(df).toPandas().sort_values(["channel", "sample"])["value"].to_numpy()
     assert np.allclose(same, mix.ravel(), atol=1e-6)
-    clean = S.independent_components(df, reject=[0]).toPandas().sort_values(["channel", "sample"])["value"].to_numpy().reshape(2, n)
+    clean = independent_components(df, reject=[0]).toPandas().sort_values(["channel", "sample"])["value"].to_numpy().reshape(2, n)
     assert abs(np.corrcoef(clean[0], calm)[0, 1]) > 0.97
