@@ -66,7 +66,7 @@ class Search:
             self.step = "done"
 
     def less(self, x: np.ndarray, reject: Sequence[int]) -> np.ndarray:
-        """A block rebuilt without the rejected components."""
+        """A block rebuilt without the rejected components; samples that lack a channel are NaN throughout."""
         if self.w is None:
             return x
         stay = np.ones(len(self.w))
@@ -74,12 +74,18 @@ class Search:
         return self.back @ self.w.T @ (stay[:, None] * (self.w @ (self.white @ (x - self.mean[:, None])))) + self.mean[:, None]
 
 
+def complete(x: np.ndarray) -> np.ndarray:
+    """The samples that no channel lacks."""
+    return x[:, ~np.isnan(x).any(axis=0)]
+
+
 def independent_components(df: DataFrame, keys: Sequence[str] = ("subject",), reject: Sequence[int] = (), rounds: int = 200, seed: int = 1, block: int = 1 << 13) -> DataFrame:
     """(keys, channel, sample, value) rebuilt from a recording's independent components less the rejected ones.
 
     Components come by symmetric fixed-point iteration with tanh, in falling order of their absolute excess kurtosis.
     Samples must be numbered through the recording; those that lack one of its channels, or have a null or NaN there, have no
-    row in the result, and repeated ones are averaged. A recording that can't be taken apart stays as it is.
+    row in the result, and repeated ones are averaged. A recording that can't be taken apart, as it has fewer than two
+    complete samples or is flat, keeps all values it has.
 
     A task holds one block of `block` samples, channels by samples. Recordings of one block are searched where they lie.
     Of longer ones each round adds up what its blocks tell, a channels-by-channels matrix for each task and recording,
@@ -101,15 +107,14 @@ def independent_components(df: DataFrame, keys: Sequence[str] = ("subject",), re
         total, count = np.zeros((len(montage), len(at))), np.zeros((len(montage), len(at)))
         np.add.at(total, (ch, where), t["value"].to_numpy())
         np.add.at(count, (ch, where), 1)
-        whole = count.all(axis=0)
-        x, single = total[:, whole] / count[:, whole], t["_single"][0].as_py()
+        x, single = np.where(count > 0, total / np.maximum(count, 1), np.nan), t["_single"][0].as_py()
         state = None
         if single:
             search = Search(seed, rounds)
             while search.step != "done":
-                search.follow(search.part(x))
+                search.follow(search.part(complete(x)))
             state = pickle.dumps(search)
-        return pa.table({**{k: pa.array([t[k][0].as_py()], t[k].type) for k in keys}, "names": pa.array([montage], pa.list_(pa.string())), "at": pa.array([at[whole].astype("<i8").tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary()), "own": pa.array([state], pa.binary())})
+        return pa.table({**{k: pa.array([t[k][0].as_py()], t[k].type) for k in keys}, "names": pa.array([montage], pa.list_(pa.string())), "at": pa.array([at.astype("<i8").tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary()), "own": pa.array([state], pa.binary())})
 
     schema = f"{typed}names array<string>, at binary, x binary, own binary"
     parts = kept(dealt.groupBy(*keys, F.floor(F.col("sample") / block).alias("_block")).applyInArrow(put, schema), "components")
@@ -122,7 +127,9 @@ def independent_components(df: DataFrame, keys: Sequence[str] = ("subject",), re
                 montage, at = b.column("names")[k].as_py(), np.frombuffer(b.column("at")[k].as_py(), "<i8")
                 out = pickle.loads(b.column("own")[k].as_py()).less(np.frombuffer(b.column("x")[k].as_py()).reshape(len(montage), len(at)), reject)
                 for name, v in zip(montage, out, strict=True):
-                    yield pa.RecordBatch.from_arrays([*[pa.array([b.column(c)[k].as_py()] * len(at), b.column(c).type) for c in keys], pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(v)], [*keys, "channel", "sample", "value"])
+                    there = ~np.isnan(v)
+                    n = int(there.sum())
+                    yield pa.RecordBatch.from_arrays([*[pa.array([b.column(c)[k].as_py()] * n, b.column(c).type) for c in keys], pa.array([name] * n, pa.string()), pa.array(at[there]), pa.array(v[there])], [*keys, "channel", "sample", "value"])
 
     whole = parts.filter("own is not null").select(*keys, "names", "at", "x", "own").unionByName(long)
     return whole.mapInArrow(rebuilt, f"{typed}channel string, sample long, value double").withColumn("sample", F.col("sample").cast(kinds["sample"]))
@@ -174,7 +181,7 @@ def _sums(parts: DataFrame, keys: list[str], typed: str) -> DataFrame:
             for k in range(b.num_rows):
                 own = [(b.column(c)[k].as_py(), b.column(c).type) for c in keys]
                 x = np.frombuffer(b.column("x")[k].as_py()).reshape(len(b.column("names")[k]), -1)
-                sums = pickle.loads(b.column("state")[k].as_py()).part(x)
+                sums = pickle.loads(b.column("state")[k].as_py()).part(complete(x))
                 if total is not None and own == key:
                     total += sums
                 else:

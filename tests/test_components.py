@@ -22,6 +22,7 @@ def recordings():
         rows += [(s, f"c{k}", t, float(x[k, t])) for k in range(3) for t in range(n) if (k, t) != (1, 450)]
         rows += [(s, "c0", 5, float(x[0, 5]))]  # a repeated sample
     rows += [("b", c, t, 4.0) for c in ("x", "y") for t in range(50)] + [("c", "x", 0, 1.5), ("c", "y", 0, float("nan")), ("c", "y", 1, None), (None, None, 3, 1.0)]
+    rows += [("d", f"c{t % 2}", t, float(t)) for t in range(600)]  # no sample is complete
     return rows, clean
 
 
@@ -34,8 +35,9 @@ def test_blocks_give_what_one_block_gives(spark, recordings):
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     whole, parts = (taken(independent_components(df, reject=[0], block=b, rounds=60)) for b in (1 << 13, 256))
     assert whole.keys() == parts.keys() and max(abs(whole[k] - parts[k]) for k in whole) < 1e-6
-    assert not any(k[2] == 450 and k[0] not in ("b", "c") for k in whole) and len([k for k in whole if k[0] == "a"]) == 3 * 899
+    assert not any(k[2] == 450 and k[0] not in ("b", "c", "d") for k in whole) and len([k for k in whole if k[0] == "a"]) == 3 * 899
     assert [whole["b", c, t] for c in ("x", "y") for t in (0, 49)] == [4.0] * 4 and ("c", "x", 0) in whole
+    assert {k: v for k, v in parts.items() if k[0] == "d"} == {("d", f"c{t % 2}", t): float(t) for t in range(600)}
     for s, source in clean.items():
         for k in range(3):
             own = np.array([parts[s, f"c{k}", t] for t in range(900) if t != 450])
