@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.llm.common import map_texts, materialize, table
-from latticework.llm.tokens import BYTE_BPE, encoder, slices, vocabulary
+from latticework.llm.tokens import BYTE_BPE, encoder, vocabulary
 
 CAPACITY = 2048
 END_ID = 0
@@ -26,22 +26,20 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_BPE,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen, end = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for b in slices(whole, 500):
-                out = []
-                for doc_id, raw in zip(b.column(0).to_pylist(), encoder(vocab).encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                    raw += end
-                    n = len(raw) // 4
-                    at, size, k = 0, (n - 1) % capacity + 1, 0
-                    while at < n:
-                        out.append((doc_id, k, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)]), seen[size]))
-                        seen[size] += 1
-                        at, size, k = at + size, capacity, k + 1
-                if out:
-                    columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-                    names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth"]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(out), part, np.int64))], [*names, "part"])
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for b in batches:
+            ids, ends = encoder(vocab).encode_array(b.column(1), end_id)
+            out = []
+            for doc_id, first, end in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                at, size, k = first, (end - first - 1) % capacity + 1, 0
+                while at < end:
+                    out.append((doc_id, k, at - first, size, zlib.crc32(ids[at : at + size]), seen[size]))
+                    seen[size] += 1
+                    at, size, k = at + size, capacity, k + 1
+            if out:
+                columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(out), part, np.int64))], [*names, "part"])
 
     schema = "doc_id long, piece long, start long, length long, ids_crc32 long, nth long, part long"
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)

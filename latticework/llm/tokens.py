@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +15,8 @@ from latticework.llm.common import map_texts, scratch_path, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 END_ID = 2
-_SPACES = re.compile(r"\s\s")
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: Marks that follow a word; letters below this character are letters in every version of Unicode.
-MARKS, LATIN_END = ".,;:!?", "\u0250"
+#: Letters below this character are letters in every version of Unicode.
+LATIN_END = "\u0250"
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
 BYTE_CHARS = {b: b for b in _PLAIN} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
@@ -32,14 +30,34 @@ def vocabulary(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
-class ChunkEncoder:
-    """Encodes whole texts, remembering the ids of chunks between single spaces.
+def _pairs(*pairs: tuple[int, int]) -> np.ndarray:
+    out = np.zeros((256, 256), bool)
+    for first, second in pairs:
+        out[first, second] = True
+    return out
+
+
+_WHITE, _LETTERS = np.zeros(256, bool), np.zeros(256, bool)
+_WHITE[[*range(9, 14), *range(28, 33)]] = True
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+#: Two bytes that begin a character that is, or may be, white space; the second table takes the two bytes before a place.
+_ODD = _pairs((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE1, 0xA0), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
+_AFTER = _ODD | _WHITE[:, None]
+_BEFORE = _ODD | _WHITE[None]
+#: Two bytes that end with a letter: an ASCII one, or one of U+00C0 to U+00FF.
+_ENDS_LETTER = _pairs(*[(0xC3, b) for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]) | _LETTERS[None]
+
 
-    The byte-level pattern always starts a new piece at a space that stands between two characters other than white
-    space, so the ids of a text are those of its chunks in order. Chunks not seen yet are encoded together; the chunks'
-    own ids are found by the leading space that only their first tokens have. A chunk of letters is one piece of the
-    pattern, and a mark after it another, so these skip the pattern and go to the byte pairs alone. At most `limit`
-    chunks are remembered, in two generations: when the younger one is full the older one is forgotten.
+class ChunkEncoder:
+    """Encodes whole texts, remembering the ids of chunks that the byte-level pattern never joins.
+
+    Texts are cut, in their bytes and all at once, where a piece of the pattern surely begins: at a space or around a line
+    feed that stands between two characters other than white space, and at a mark or digit after a letter. So the ids of
+    a text are those of its chunks in order. A batch's distinct chunks are looked up once each; those not seen yet are
+    encoded together, and the chunks' own ids are found by the leading space, or by the line feed between them, that no
+    other tokens have. A chunk of letters is one piece of the pattern, so these skip the pattern and go to the byte pairs
+    alone. At most `limit` chunks and those of one batch are remembered, in two generations: when the younger one is full
+    the older one is forgotten.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
@@ -53,54 +71,95 @@ class ChunkEncoder:
         vocab = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+        self.feeds = np.zeros(len(self.starts), bool)
+        self.feeds[vocab[chr(BYTE_CHARS[10])]] = True
+        added = {b for t in self.tokenizer.get_added_tokens_decoder().values() for b in t.content.encode()}
+        self.stops = np.zeros(256, bool)
+        self.stops[[b for b in range(33, 127) if not _LETTERS[b] and b not in added]] = True
+        self.looked = self.stops.copy()
+        self.looked[[10, 32]] = True
         self.limit, self.seen, self.older = limit, {}, {}
-        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _byte_pairs(self, lines: list[str]) -> list:
+        return self.pairs.encode_batch_fast([t.encode().decode("latin-1").translate(BYTE_CHARS) for t in lines], add_special_tokens=False)
+
     def _learn(self, new: list[str]) -> None:
-        letters, marked, others = [], [], []
+        spaced, bare, others, alone = [], [], [], []
         for c in new:
-            core = c[:-1] if c[-1:] in self.marks else c
+            core = c[1:] if c[:1] == " " else c
             if core.isalpha() and (core.isascii() or max(core) < LATIN_END):
-                if core is not c:
-                    marked.append(c)
-                    if core in self.seen:
-                        continue
-                letters.append(core)
+                (bare if core is c else spaced).append(c)
             else:
-                others.append(c)
-        letters = list(dict.fromkeys(letters))
-        self._learn_lines(letters, 100, lambda x: self.pairs.encode_batch_fast([t.encode().decode("latin-1").translate(BYTE_CHARS) for t in x], add_special_tokens=False))
-        self._learn_lines(others, 20, lambda x: self.tokenizer.encode_batch_fast(x, add_special_tokens=False))
-        self.seen.update((c, self.seen[c[:-1]] + self.marks[c[-1]]) for c in marked)
-
-    def _learn_lines(self, new: list[str], together: int, code: Callable) -> None:
-        """Encodes lines of a few chunks each. A line that holds other spaces or special tokens is taken apart."""
+                (others if core is not c and c.split() == [core] else alone).append(c)
+        self._learn_lines(spaced, 100, "", self.starts, self._byte_pairs)
+        self._learn_lines(bare, 100, "\n", self.feeds, self._byte_pairs)
+        self._learn_lines(others, 20, "", self.starts, lambda x: self.tokenizer.encode_batch_fast(x, add_special_tokens=False))
+        self.seen.update(zip(alone, self._ids(alone), strict=True))
+
+    def _learn_lines(self, new: list[str], together: int, between: str, marks: np.ndarray, code: Callable) -> None:
+        """Encodes lines of a few chunks each, joined by `between`; a token of `marks` begins a chunk, or stands between two. A line where others have one, too, is taken apart."""
         lines = [new[at : at + together] for at in range(0, len(new), together)]
-        for line, e in zip(lines, code([" " + " ".join(x) for x in lines]), strict=True):
+        skip = len(between)
+        for line, e in zip(lines, code([between.join(x) for x in lines]), strict=True):
             ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(self.starts[ids])
-            if len(cuts) == len(line) and not cuts[0]:
+            cuts = np.flatnonzero(marks[ids])
+            if len(cuts) == len(line) - skip and (skip or not cuts[0]):
                 raw, begin = ids.tobytes(), 0
-                for chunk, end in zip(line, [*(4 * cuts[1:]).tolist(), len(raw)], strict=True):
+                for chunk, end in zip(line, [*(4 * cuts[1 - skip :]).tolist(), len(raw)], strict=True):
                     self.seen[chunk] = raw[begin:end]
-                    begin = end
+                    begin = end + 4 * skip
             else:
-                self.seen.update(zip(line, self._ids([" " + x for x in line]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        parts = [_SAFE.split(x) if _SPACES.search(x) or x[:1].isspace() or x[-1:].isspace() else x.split(" ") for x in texts]
+                self.seen.update(zip(line, self._ids(line), strict=True))
+
+    def _cuts(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Where chunks begin in the bytes of texts, their own beginnings (edges, with the end of the last) left out."""
+        edge = np.zeros(len(data) + 2, bool)
+        edge[edges] = True
+        near = np.concatenate([np.full(3, 32, np.uint8), data, np.full(2, 32, np.uint8)])
+        at = np.flatnonzero(self.looked[data])
+        byte, one, two = near[at + 3], near[at + 2], near[at + 1]  # the byte, the one before it and the one before that
+        blank = ~self.stops[byte]
+        stop = at[~blank & _ENDS_LETTER[two, one] & ~edge[at]]
+        at, one, two, byte = at[blank], one[blank], two[blank], byte[blank]
+        apart = ~(edge[at] | edge[at + 1] | _BEFORE[two, one] | _ODD[near[at], two] | _AFTER[near[at + 4], near[np.minimum(at + 5, len(near) - 1)]])
+        begins = np.zeros(len(data) + 1, bool)
+        begins[stop] = begins[at[apart]] = begins[at[apart & (byte == 10)] + 1] = True
+        return np.flatnonzero(begins)
+
+    def encode_array(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, each text's followed by end_id if there is one, and where each text's begin, with the end of the last; a null text is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        edges = offsets - offsets[0]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        cuts = self._cuts(data, edges)
+        before = np.searchsorted(cuts, edges)
+        begin = np.append(np.insert(cuts, before[:-1], edges[:-1]), edges[-1])
+        chunks = pa.LargeStringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin), pa.py_buffer(data)).dictionary_encode()
+        keys, codes = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
         if 2 * len(self.seen) > self.limit:
             self.older, self.seen = self.seen, {}
-        fresh = set().union(*(p[1:] for p in parts)).difference(self.seen)
+        fresh = [c for c in keys if c not in self.seen]
         known = [c for c in fresh if c in self.older]
         self.seen.update(zip(known, map(self.older.__getitem__, known), strict=True))
-        self._learn(list(fresh.difference(known)))
-        get = self.seen.__getitem__
-        return [head + b"".join(map(get, p[1:])) for head, p in zip(self._ids([p[0] for p in parts]), parts, strict=True)]
+        self._learn([c for c in fresh if c not in self.older])
+        own = list(map(self.seen.__getitem__, keys))
+        first = before + np.arange(len(edges))
+        if end_id is not None:
+            codes = np.insert(codes, first[1:], len(own))
+            own.append(np.array([end_id], "<u4").tobytes())
+            first = first + np.arange(len(edges))
+        taken = pa.array(own, pa.large_binary()).take(pa.array(codes))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+        return np.frombuffer(taken.buffers()[2] or b"", "<u4"), ends[first] // 4
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        ids, at = self.encode_array(pa.array(texts, pa.string()))
+        return [ids[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -130,18 +189,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id:
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for b in slices(whole, 500):
-                ids = [x + end for x in encoder(vocab).encode([t or "" for t in b.column(1).to_pylist()])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(before + offsets[:-1].astype(np.int64)), pa.array(n), lists],
-                    ["doc_id", "part", "part_start", "n_tokens", "tokens"],
-                )
-                before += int(n.sum())
+        for b in batches:
+            ids, at = encoder(vocab).encode_array(b.column(1), end_id)
+            n = np.diff(at)
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view("<i4")))
+            coded = pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(before + at[:-1]), pa.array(n), lists],
+                ["doc_id", "part", "part_start", "n_tokens", "tokens"],
+            )
+            yield from slices(coded, 500)
+            before += int(at[-1])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = texts.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})  # rows may share an id, and a text too
