@@ -66,8 +66,8 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.pairs = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.pairs.pre_tokenizer = None
+        self.tokenizer = Tokenizer.from_file(path)
+        self.pairs = Tokenizer(self.tokenizer.model)  # the same model in memory, without the pattern
         vocab = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
