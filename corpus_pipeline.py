@@ -9,6 +9,8 @@ from latticework.llm import langid, mixing, packing, quality_votes, simhash
 from latticework.llm.common import id_remainder, materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of texts that the packing encodes at once: by then an executor's heap is full and its workers hold what near-dedup left there, so a whole batch may be too much.
+SLICE_BYTES = 2 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, copies too, with their sequences and offsets. Null and empty texts hold the end id alone; very long ones make several pieces; rows that share an id are packed one by one."""
-    return packing.pack(docs)
+    return packing.pack(docs, slice_bytes=SLICE_BYTES)
 
 
 STAGES = [

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +20,26 @@ CAPACITY = 2048
 END_ID = 0
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_BPE, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, and part and nth: the piece's place among those of its length in its task."""
+def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in order, in slices of whole texts (column 1) that hold `most` bytes at most; a longer text makes a slice alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_BPE, end_id: int = END_ID, slice_bytes: int | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, and part and nth: the piece's place among those of its length in its task. A batch is encoded at once, or in slices of slice_bytes."""
     vocab = vocabulary(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in batches:
+        for b in (s for batch in batches for s in (slices(batch, slice_bytes) if slice_bytes else [batch])):
             ids, ends = encoder(vocab).encode_array(b.column(1), end_id)
             out = []
             for doc_id, first, end in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
@@ -159,15 +171,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     return out + [e for room in sorted(groups) for e in groups[room]]
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_BPE, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYTE_BPE, end_id: int = END_ID, slice_bytes: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     Only the histogram of lengths, `capacity` numbers, reaches the driver. The k-th piece of a length takes the k-th
     place that the plan has for it; k is the piece's number in its task plus the counts of the tasks before, so no
     length is gathered anywhere. Null and empty texts hold just the end id; equal rows are packed one by one.
     Texts of any length are encoded whole, other columns don't matter, and an empty table gives an empty result.
+    slice_bytes: encode about so many bytes of texts at once, which takes less memory and more time.
     """
-    own = materialize(pieces(docs, capacity, tokenizer, end_id), "pieces")
+    own = materialize(pieces(docs, capacity, tokenizer, end_id, slice_bytes), "pieces")
     per = own.groupBy("part", "length").agg(F.count("*").alias("n"))
     per = materialize(per, "lengths")
     histogram = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most

@@ -213,15 +213,25 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
     return map_texts(rows, run, T.StructType([rows.schema["key"]]).add("cls", T.LongType()).add("fp", T.LongType()).add("sketch", T.BinaryType()))
 
 
+def sketch_rows(sketches: pa.Array) -> np.ndarray:
+    """Sketches as rows of bytes, in the array's own memory: copies of a tile's would stay in its worker, which the next stages share."""
+    sketches = sketches.cast(pa.large_binary())
+    at = np.frombuffer(sketches.buffers()[1], np.int64)[sketches.offset : sketches.offset + len(sketches) + 1]
+    return np.frombuffer(sketches.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].reshape(-1, SKETCH)
+
+
 class Tile:
-    """Classes of a tile in the order of their fingerprints' population counts: number, fingerprint, sketch, root."""
+    """Classes of a tile in the order of their fingerprints' population counts: number, fingerprint, root. Sketches stay where they lie."""
 
     def __init__(self, cls: pa.Array, fp: pa.Array, sketch: pa.Array, root: pa.Array):
         fps = fp.to_numpy(zero_copy_only=False).view(np.uint64)
-        order = np.argsort(np.bitwise_count(fps), kind="stable")
-        self.fps, self.counts = fps[order], np.bitwise_count(fps[order]).astype(np.int64)
-        self.cls, self.root = (v.to_numpy(zero_copy_only=False)[order] for v in (cls, root))
-        self.sketch = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, SKETCH)[order]
+        self.order = np.argsort(np.bitwise_count(fps), kind="stable")
+        self.fps, self.counts = fps[self.order], np.bitwise_count(fps[self.order]).astype(np.int64)
+        self.cls, self.root = (v.to_numpy(zero_copy_only=False)[self.order] for v in (cls, root))
+        self.sketch = sketch_rows(sketch)
+
+    def sketches(self, places: np.ndarray) -> np.ndarray:
+        return self.sketch[self.order[places]]
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -247,7 +257,7 @@ def root_links(left: Tile, right: Tile, radius: int, least: float, rows: int = 1
                 p, q = x[at : at + 4096], y[at : at + 4096]
                 apart = forest.label[x_root[p]] != forest.label[y_root[q]]
                 p, q = p[apart], q[apart]
-                hit = alike(left.sketch[p], right.sketch[q]) >= least
+                hit = alike(left.sketches(p), right.sketches(q)) >= least
                 if hit.any():
                     forest.join(x_root[p[hit]], y_root[q[hit]])
     moved = np.flatnonzero(forest.label != np.arange(len(numbers)))
@@ -288,12 +298,12 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     def within(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         cls, fp, sketch = (t.column(c).combine_chunks() for c in ("cls", "fp", "sketch"))
-        x = Tile(cls, fp, sketch, cls)
+        x, own = Tile(cls, fp, sketch, cls), cls.to_numpy(zero_copy_only=False)
         a, b = root_links(x, x, radius, least)
         order = np.argsort(a)
-        at = np.minimum(np.searchsorted(a[order], x.cls), max(0, len(a) - 1))
-        root = np.where(a[order][at] == x.cls, b[order][at], x.cls) if len(a) else x.cls
-        return pa.table({"cls": x.cls, "root": root.astype(np.int64), "fp": x.fps.view(np.int64), "sketch": pa.array([v.tobytes() for v in x.sketch], pa.binary()), "cell": np.full(len(root), t.column("cell")[0].as_py(), np.int32), "part": np.full(len(root), t.column("part")[0].as_py(), np.int32)})
+        at = np.minimum(np.searchsorted(a[order], own), max(0, len(a) - 1))
+        root = np.where(a[order][at] == own, b[order][at], own) if len(a) else own
+        return pa.table({"cls": cls, "root": root.astype(np.int64), "fp": fp, "sketch": sketch, "cell": np.full(len(root), t.column("cell")[0].as_py(), np.int32), "part": np.full(len(root), t.column("part")[0].as_py(), np.int32)})
 
     state = materialize(dealt.select("cls", "fp", "sketch", "cell", "part").groupBy("cell", "part").applyInArrow(within, "cls long, root long, fp long, sketch binary, cell int, part int"), "state")
 
